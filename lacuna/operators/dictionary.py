@@ -34,10 +34,10 @@ class Dictionary:
     def fit(cls, df: DataFrame, column: str, start: int = 0, value: Column | None = None) -> "Dictionary":
         v = value if value is not None else F.col(column)
         vals = df.select(v.alias("_v")).where(F.col("_v").isNotNull()).distinct()
+        rows = vals.orderBy("_v").limit(LITERAL_MAX + 1).collect()  # bounded by the limit
+        if len(rows) <= LITERAL_MAX:
+            return cls(column, start, len(rows), values=[r[0] for r in rows])
         n = vals.count()
-        if n <= LITERAL_MAX:
-            rows = vals.orderBy("_v").collect()  # bounded by the check above
-            return cls(column, start, n, values=[r[0] for r in rows])
         table = dense_codes(vals, "_v", "_idx", start)
         return cls(column, start, n, table=table)
 

@@ -62,14 +62,9 @@ def dense_codes(values: DataFrame, col: str, out: str = "idx", start: int = 0) -
     if n <= BROADCAST_MAX_ROWS:
         w = Window.orderBy(F.col(col))
         return values.select(col, (F.row_number().over(w) - 1 + start).cast("long").alias(out))
-    parts = max(1, n // 1_000_000)
-    ranged = values.repartitionByRange(parts, F.col(col)).withColumn("_pid", F.spark_partition_id())
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w_cum = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
-    w_row = Window.partitionBy("_pid").orderBy(F.col(col))
-    return (ranged.join(F.broadcast(offs), "_pid")
-            .select(col, (F.row_number().over(w_row) - 1 + F.col("_off") + start).cast("long").alias(out)))
+    # large: rank by value-range buckets (numeric) or hash-free range
+    # partitioning on the value itself (strings)
+    return ordered_positions(values, [col], out, start)
 
 
 def col_or(name_or_col) -> Column:
@@ -147,3 +142,82 @@ def first_k_flag(u: Column, key: Column, thr) -> Column:
     if thr[1] is None:
         return F.lit(True)
     return _before(u, key, thr)
+
+
+def numeric_key(df: DataFrame, col: str) -> Column:
+    """A double that never decreases when ``col`` increases (ties allowed):
+    epoch values for dates/timestamps, the first 6 bytes for strings."""
+    from pyspark.sql import types as T
+    t = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(t, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return c.cast("double")
+
+
+def range_bucket(df: DataFrame, col: str, n: int | None = None) -> Column:
+    """Bucket id monotone in ``col`` from approximate quantile bounds
+    (computed once on the driver: at most n-1 numbers).  Unlike
+    ``spark_partition_id()`` after ``repartitionByRange`` it is a pure
+    function of the value, so every branch and every retry agrees."""
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = numeric_key(df, col)
+    probs = [i / n for i in range(1, n)]
+    bounds = sorted(set(b for b in df.select(key.alias("_k")).approxQuantile("_k", probs, 0.001)
+                        if b is not None)) if probs else []
+    if not bounds:
+        return F.lit(0)
+    arr = F.array(*[F.lit(float(b)) for b in bounds])
+    return F.size(F.filter(arr, lambda b: b <= key)).cast("int")
+
+
+def ordered_positions(df: DataFrame, order_cols: list[str], out: str = "pos", start: int = 1) -> DataFrame:
+    """Exact position of every row in ``order_cols`` order without a
+    single-task sort: rows go to value-range buckets of the first order
+    column, a per-bucket count table (one row per bucket) gives offsets, and
+    rows are numbered inside their bucket."""
+    b = df.withColumn("_rb", range_bucket(df, order_cols[0]))
+    counts = b.groupBy("_rb").agg(F.count(F.lit(1)).alias("_n"))
+    w_cum = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_rb", F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
+    w_row = Window.partitionBy("_rb").orderBy(*[F.col(c) for c in order_cols])
+    return (b.join(F.broadcast(offs), "_rb")  # one row per bucket
+            .withColumn(out, (F.row_number().over(w_row) - 1 + F.col("_off") + start).cast("long"))
+            .drop("_rb", "_off"))
+
+
+def nearest_value(query_df: DataFrame, ref_df: DataFrame, col: str, out: str = "snapped") -> DataFrame:
+    """F-10: for each query row the nearest ``ref_df[col]`` value; ties go
+    to the larger value, values beyond the range clip to the ends.
+
+    A distributed as-of join in both directions: reference and query values
+    are put in value-range buckets; inside a bucket a running last/first
+    gives the neighbours, and neighbours in other buckets come from a
+    per-bucket (min, max) table of at most #buckets rows."""
+    ref = ref_df.select(F.col(col).alias("_v"), F.lit(1).alias("_is_ref")).distinct()
+    q = query_df.withColumn("_v", F.col(col)).withColumn("_is_ref", F.lit(0))
+    u = q.unionByName(ref, allowMissingColumns=True)
+    u = u.withColumn("_rb", range_bucket(ref, "_v"))
+    rv = F.when(F.col("_is_ref") == 1, F.col("_v"))
+    w = Window.partitionBy("_rb").orderBy("_v", "_is_ref")
+    inside = u.select(
+        "*",
+        F.last(rv, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"),
+        F.first(rv, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_hi"))
+    edges = u.groupBy("_rb").agg(F.min(rv).alias("_pmin"), F.max(rv).alias("_pmax"))
+    we = Window.orderBy("_rb")
+    edges = edges.select(
+        "_rb",
+        F.max("_pmax").over(we.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_lo"),
+        F.min("_pmin").over(we.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_hi"))
+    j = inside.where(F.col("_is_ref") == 0).join(F.broadcast(edges), "_rb")  # <= #buckets rows
+    lo = F.coalesce(F.col("_lo"), F.col("_carry_lo"))
+    hi = F.coalesce(F.col("_hi"), F.col("_carry_hi"))
+    v = F.col("_v")
+    pick = (F.when(hi.isNull(), lo).when(lo.isNull(), hi)
+            .when((v - lo) < (hi - v), lo).otherwise(hi))
+    return j.withColumn(out, pick).drop("_v", "_is_ref", "_rb", "_lo", "_hi", "_carry_lo", "_carry_hi")

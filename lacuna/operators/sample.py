@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.draws import uniform
 from lacuna.operators.dictionary import factorize
 from lacuna.operators.rank import first_k_flag, join_small, kth_keys, rank_by_draw
+from lacuna.session import cut_lineage
 from lacuna.spec import FeatureSpec, check_ratios
 
 
@@ -58,7 +59,8 @@ def split_guaranteed(df: DataFrame, spec: FeatureSpec, train_ratio: float = 0.7,
     max(0, floor(N*va) - #occ1) to valid, the rest to test."""
     check_ratios(train_ratio, val_ratio)
     item, rid = spec.item, spec.row_id
-    d = df.withColumn("_u", uniform(seed, "shuffle", rid))
+    # several passes read the input: materialise it once (reliable checkpoint)
+    d = cut_lineage(df.withColumn("_u", uniform(seed, "shuffle", rid)))
     s = F.struct(F.col("_u").alias("u"), F.col(rid).alias("k"))
     tbl = d.select(item, s.alias("_s"))
     t1 = tbl.groupBy(item).agg(F.min("_s").alias("_f1"))
@@ -67,7 +69,7 @@ def split_guaranteed(df: DataFrame, spec: FeatureSpec, train_ratio: float = 0.7,
           .groupBy(item).agg(F.min("_s").alias("_f2")))
     t3 = (join_small(tbl, t2, item, known_rows=n_classes).where(F.col("_s") > F.col("_f2"))
           .groupBy(item).agg(F.min("_s").alias("_f3")))
-    marks = t1.join(t2, item, "left").join(t3, item, "left")
+    marks = cut_lineage(t1.join(t2, item, "left").join(t3, item, "left"))
     tot = marks.agg(F.count(F.lit(1)).alias("n0"), F.count("_f2").alias("n1")).first()
     n_rows = d.count()
     need_train = max(0, int(n_rows * train_ratio) - tot["n0"])

@@ -17,21 +17,7 @@ from lacuna.plans import oracle as O
 from lacuna.session import cut_lineage
 from lacuna.sources.fixtures import POLICY_SPEC, POLICY_SQL, policy, with_sql
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return deco
-
-
-def r6(c):
-    return F.round(c, 6)
+from lacuna.plans.registry import QUERIES, SQL, query, r6  # noqa: F401
 
 
 # ---------------------------------------------------------------- minimum slice
@@ -85,3 +71,7 @@ def q_split(spark, sf):
 SELECT split, product_item, count(*) AS n FROM split GROUP BY split, product_item""")
 def q_split_counts(spark, sf):
     return policy_split(spark, sf).groupBy("split", "product_item").agg(F.count(F.lit(1)).alias("n"))
+
+
+# the other query groups register themselves on import
+from lacuna.plans import q_clean, q_prep  # noqa: E402,F401

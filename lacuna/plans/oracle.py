@@ -30,8 +30,8 @@ def split_sql(src: str, item: str = "product_item", seed: int = 42, tr: float =
   SELECT count(*) AS n, count(*) FILTER (WHERE _cc = 0) AS n0, count(*) FILTER (WHERE _cc = 1) AS n1
   FROM {name}_cc),
 {name}_lim AS (
-  SELECT greatest(0, CAST(floor(n * {tr!r}) AS BIGINT) - n0) AS nt,
-         greatest(0, CAST(floor(n * {va!r}) AS BIGINT) - n1) AS nv FROM {name}_tot),
+  SELECT greatest(0, CAST(floor(n * CAST({tr!r} AS DOUBLE)) AS BIGINT) - n0) AS nt,
+         greatest(0, CAST(floor(n * CAST({va!r} AS DOUBLE)) AS BIGINT) - n1) AS nv FROM {name}_tot),
 {name}_rest AS (
   SELECT {row_id}, row_number() OVER (ORDER BY _u, {row_id}) - 1 AS _r FROM {name}_cc WHERE _cc > 2),
 {name} AS (

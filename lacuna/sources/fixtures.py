@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.draws import sql_uniform, uniform
 from lacuna.operators.dictionary import factorize
 from lacuna.operators.rank import join_small
+from lacuna.session import cut_lineage
 from lacuna.sources.tables import read_table
 from lacuna.spec import FeatureSpec
 
@@ -41,6 +42,7 @@ def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_acctbal").alias("bal"),
         (F.lit(2002) - F.year("o_orderdate")).cast("long").alias("age"),
         F.concat_ws("|", "o_orderpriority", "o_orderstatus").alias("product_item"))
+    j = cut_lineage(j)  # dictionary fits and the final projection read it
     j = factorize(j, "seg")
     j = factorize(j, "product_item")
     return j.select("row_id", "seg", "nation", "region", "price", "bal", "age", "product_item")
@@ -80,3 +82,27 @@ planted AS (
 
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes)
+
+
+# ---- policy with injected missing cells (T-05, ratio 0.2, seed 7) ---------
+NULL_RATIO, NULL_SEED = 0.2, 7
+
+
+def policy_nulls(spark: SparkSession, sf_dir: str, planted: bool = False) -> DataFrame:
+    from lacuna.operators.missing import inject_missing
+    base = policy_planted(spark, sf_dir) if planted else policy(spark, sf_dir)
+    spec = PLANTED_SPEC if planted else POLICY_SPEC
+    return cut_lineage(inject_missing(base, spec, NULL_RATIO, NULL_SEED, "random"))
+
+
+def sql_mask_random(src: str, spec: FeatureSpec, ratio: float, seed: int, name: str) -> str:
+    cols = []
+    for c in spec.features:
+        u = sql_uniform(seed, f"miss|{c}", "row_id")
+        cols.append(f"CASE WHEN {c} IS NOT NULL AND row_number() OVER (PARTITION BY {c} IS NULL ORDER BY {u}, row_id)"
+                    f" <= floor(count({c}) OVER () * CAST({ratio!r} AS DOUBLE)) THEN NULL ELSE {c} END AS {c}")
+    return f"{name} AS (SELECT row_id, {', '.join(cols)}, {spec.item} FROM {src})"
+
+
+NULLS_SQL = POLICY_SQL + ",\n" + sql_mask_random("policy", POLICY_SPEC, NULL_RATIO, NULL_SEED, "pnull")
+PLANTED_NULLS_SQL = PLANTED_SQL + ",\n" + sql_mask_random("planted", PLANTED_SPEC, NULL_RATIO, NULL_SEED, "pnull")
