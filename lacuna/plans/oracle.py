@@ -79,12 +79,13 @@ def topk_sql(src: str, name: str = "rk") -> str:
 def auc_sql(src: str, name: str = "aucc") -> str:
     """Per-class OvR AUC from long (row_id, y, cid, p): ties count 1/2."""
     return f"""{name}_g AS (
-  SELECT cid, p, sum(CASE WHEN y = cid THEN 1 ELSE 0 END) AS P, sum(CASE WHEN y = cid THEN 0 ELSE 1 END) AS N
+  SELECT cid, p, sum(CASE WHEN y = cid THEN 1 ELSE 0 END) AS npos, sum(CASE WHEN y = cid THEN 0 ELSE 1 END) AS nneg
   FROM {src} GROUP BY cid, p),
 {name}_w AS (
-  SELECT *, coalesce(sum(N) OVER (PARTITION BY cid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-         AS nb FROM {name}_g),
+  SELECT *, coalesce(sum(nneg) OVER (PARTITION BY cid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                     0) AS nb FROM {name}_g),
 {name} AS (
   SELECT cid AS class_id,
-         CASE WHEN sum(P) > 0 AND sum(N) > 0 THEN sum(P * nb + 0.5 * P * N) / (sum(P) * sum(N)) END AS auc
+         CASE WHEN sum(npos) > 0 AND sum(nneg) > 0
+              THEN sum(npos * nb + 0.5 * npos * nneg) / (sum(npos) * sum(nneg)) END AS auc
   FROM {name}_w GROUP BY cid)"""
