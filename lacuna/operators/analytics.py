@@ -95,8 +95,9 @@ def welch(df: DataFrame, target: str, keys: list[str], model: str, value: str, a
                                                F.col("m").alias("baseline_mean"), F.col("v").alias("vb"))
     j = a.join(b, keys)
     sa, sb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    t = (F.col("target_mean") - F.col("baseline_mean")) / F.sqrt(sa + sb)
-    dof = F.pow(sa + sb, 2) / (F.pow(sa, 2) / (F.col("na") - 1) + F.pow(sb, 2) / (F.col("nb") - 1))
+    ok = (F.col("na") > 1) & (F.col("nb") > 1) & ((F.col("va") > 0) | (F.col("vb") > 0))  # else undefined
+    t = F.when(ok, (F.col("target_mean") - F.col("baseline_mean")) / F.sqrt(sa + sb))
+    dof = F.when(ok, F.pow(sa + sb, 2) / (F.pow(sa, 2) / (F.col("na") - 1) + F.pow(sb, 2) / (F.col("nb") - 1)))
     better = F.when(F.col(metric_col).isin(list(lower_is_better)), F.col("target_mean") < F.col("baseline_mean")) \
         .otherwise(F.col("target_mean") > F.col("baseline_mean")) if metric_col in keys else \
         (F.col("target_mean") > F.col("baseline_mean"))

@@ -15,6 +15,7 @@ from lacuna.operators.dictionary import factorize
 from lacuna.operators.sample import rare_class_filter
 from lacuna.sources.raw import (AGE_MAP, CAR_YEAR_MAP, CLEAN_COLS, DRIVING_EXP_MAP, INVALID_BRANDS, MAKE_MAP,
                                 OCCUPATION_MAP)
+from lacuna.session import cut_lineage
 from lacuna.sources.tables import union_sources
 
 
@@ -36,10 +37,11 @@ def prepare_quotes(src1: DataFrame, src2: DataFrame, names1: list[str], names2:
         "DrivingExp": C.to_number(C.strip_non_digits(C.replace_values("DrivingExp", DRIVING_EXP_MAP))),
         "Occupation": C.trim_ws(C.replace_values(C.keep_cjk_tail(C.cut_after("Occupation")), OCCUPATION_MAP)),
     })
+    df = cut_lineage(df)  # the dictionary fits below re-read it: materialise once
     df = factorize(df, "Occupation", null_code=-1)
     df = df.withColumn("Occupation", C.null_if_code("Occupation"))
     df = df.withColumn("product_item", C.composite_filled("Insurer", "Coverage"))
-    df = rare_class_filter(df, "product_item", min_count=2).drop("Insurer", "Coverage")
+    df = cut_lineage(rare_class_filter(df, "product_item", min_count=2).drop("Insurer", "Coverage"))
     df = df.withColumn("NCD", C.to_number("NCD"))
     df = factorize(df, "NCD", null_code=-1).withColumn("NCD", C.null_if_code("NCD"))
     make = C.replace_values(C.tokens_to_null(C.unbom_upper(C.trim_ws("Make")), INVALID_BRANDS), MAKE_MAP)

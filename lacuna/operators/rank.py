@@ -203,11 +203,14 @@ def nearest_value(query_df: DataFrame, ref_df: DataFrame, col: str, out: str = "
     u = q.unionByName(ref, allowMissingColumns=True)
     u = u.withColumn("_rb", range_bucket(ref, "_v"))
     rv = F.when(F.col("_is_ref") == 1, F.col("_v"))
+    # both neighbours from running (growing) frames: an "unbounded
+    # following" frame would be recomputed per row (quadratic)
     w = Window.partitionBy("_rb").orderBy("_v", "_is_ref")
+    w_desc = Window.partitionBy("_rb").orderBy(F.col("_v").desc(), F.col("_is_ref").desc())
     inside = u.select(
         "*",
         F.last(rv, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"),
-        F.first(rv, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_hi"))
+        F.last(rv, ignorenulls=True).over(w_desc.rowsBetween(Window.unboundedPreceding, 0)).alias("_hi"))
     edges = u.groupBy("_rb").agg(F.min(rv).alias("_pmin"), F.max(rv).alias("_pmax"))
     we = Window.orderBy("_rb")
     edges = edges.select(

@@ -150,9 +150,10 @@ def q_factor_means(spark, sf):
 , st AS (SELECT dataset, metric, model, count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM log
          GROUP BY dataset, metric, model)
 SELECT a.dataset, a.metric, b.model AS baseline, round(a.m, 4) AS target_mean, round(b.m, 4) AS baseline_mean,
-       round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t,
-       round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 4)
-         AS df,
+       CASE WHEN a.n > 1 AND b.n > 1 AND (a.v > 0 OR b.v > 0)
+            THEN round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) END AS t,
+       CASE WHEN a.n > 1 AND b.n > 1 AND (a.v > 0 OR b.v > 0) THEN round(power(a.v / a.n + b.v / b.n, 2)
+            / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 4) END AS df,
        CASE WHEN a.metric = 'logloss' THEN a.m < b.m ELSE a.m > b.m END AS improved
 FROM st a JOIN st b ON a.dataset = b.dataset AND a.metric = b.metric AND a.model = '1-URGENT' AND b.model <> '1-URGENT'
 """)
