@@ -149,7 +149,7 @@ def q_factor_means(spark, sf):
 @query("welch_t", LOG_SQL + """
 , st AS (SELECT dataset, metric, model, count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM log
          GROUP BY dataset, metric, model)
-SELECT a.dataset, a.metric, b.model AS baseline, round(a.m, 4) AS target_mean, round(b.m, 4) AS baseline_mean,
+SELECT a.dataset, a.metric, b.model AS baseline, round(a.m, 6) AS target_mean, round(b.m, 6) AS baseline_mean,
        CASE WHEN a.n > 1 AND b.n > 1 AND (a.v > 0 OR b.v > 0)
             THEN round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) END AS t,
        CASE WHEN a.n > 1 AND b.n > 1 AND (a.v > 0 OR b.v > 0) THEN round(power(a.v / a.n + b.v / b.n, 2)
@@ -161,8 +161,8 @@ def q_welch_t(spark, sf):
     """A-09: Welch t statistic and degrees of freedom, target vs each
     baseline per (dataset, metric); p-values: ``welch_p``."""
     w = A.welch(stand_in_log(spark, sf), "1-URGENT", ["dataset", "metric"], "model", "score", with_p=False)
-    return w.select("dataset", "metric", "baseline", F.round("target_mean", 4).alias("target_mean"),
-                    F.round("baseline_mean", 4).alias("baseline_mean"), r6(F.col("t")).alias("t"),
+    return w.select("dataset", "metric", "baseline", r6(F.col("target_mean")).alias("target_mean"),
+                    r6(F.col("baseline_mean")).alias("baseline_mean"), r6(F.col("t")).alias("t"),
                     F.round("df", 4).alias("df"), "improved")
 
 
