@@ -74,4 +74,4 @@ def q_split_counts(spark, sf):
 
 
 # the other query groups register themselves on import
-from lacuna.plans import q_clean, q_prep, q_rank, q_models  # noqa: E402,F401
+from lacuna.plans import q_clean, q_prep, q_rank, q_models, q_embed  # noqa: E402,F401
