@@ -197,3 +197,27 @@ def q_rec_gbt(spark, sf):
     """M-07..M-09 one-vs-rest boosted trees (preset: 20 rounds, depth 5)."""
     from lacuna.models.trees import BoostedRecommender
     return _fit_score(spark, sf, BoostedRecommender(SPEC, n_estimators=20, max_depth=5))
+
+
+@query("impute_mice_bayes")
+def q_impute_mice(spark, sf):
+    """I-01 + I-10: chained Bayesian-ridge posterior draws (10 rounds),
+    fitted on train, replayed on the test split (rows-only check; the
+    sufficient statistics it consumes are oracle-checked in ``moments``)."""
+    from lacuna.operators.mice import MiceImputer
+    s = planted_split(spark, sf, nulls=True)
+    imp = MiceImputer(FEATS, rounds=10, seed=42).fit(s.where(F.col("split") == "train").select("row_id", *FEATS))
+    out = imp.transform(s.where(F.col("split") == "test").select("row_id", *FEATS))
+    return out.select("row_id", *[r6(F.col(c)).alias(c) for c in FEATS])
+
+
+@query("impute_views")
+def q_impute_views(spark, sf):
+    """I-11: M = 3 seeded completions of train (view 0 also completes the
+    test split), long form with a view column."""
+    from lacuna.operators.mice import completions
+    s = planted_split(spark, sf, nulls=True)
+    frames = {"train": s.where(F.col("split") == "train").select("row_id", *FEATS),
+              "test": s.where(F.col("split") == "test").select("row_id", *FEATS)}
+    c = completions(frames["train"], frames, FEATS, m=3, seed=42, rounds=3)
+    return c.select("row_id", "view", "split", *[r6(F.col(c_)).alias(c_) for c_ in FEATS])
