@@ -173,3 +173,19 @@ def q_welch_p(spark, sf):
     w = A.welch(stand_in_log(spark, sf), "1-URGENT", ["dataset", "metric"], "model", "score", with_p=True)
     return w.select("dataset", "metric", "baseline", r6(F.col("p_value")).alias("p_value"), "significant",
                     "improved")
+
+
+@query("result_sink_roundtrip", LOG_SQL + """
+SELECT dataset AS experiment, model, metric, round(avg(score), 6) AS score FROM log GROUP BY dataset, model, metric""")
+def q_result_sink(spark, sf):
+    """S-06/S-07: per-experiment results written partitioned by experiment
+    (written twice: the second write replaces, never duplicates), read back."""
+    import uuid
+    from lacuna.session import checkpoint_dir
+    from lacuna.sources.io import read_results, write_results
+    res = (stand_in_log(spark, sf).groupBy(F.col("dataset").alias("experiment"), "model", "metric")
+           .agg(r6(F.avg("score")).alias("score")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    write_results(res, path)
+    write_results(res, path)
+    return read_results(spark, path).select("experiment", "model", "metric", "score")
