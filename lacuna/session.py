@@ -1,19 +1,21 @@
 """Session helpers: a local session for tests/bench and lineage cutting.
 
-Lineage is cut with reliable ``checkpoint()`` into the directory named by
-``spark.checkpoint.dir`` (a shared folder on a cluster).  A directory is only
-chosen here when the session has none (local tests); never a
-``localCheckpoint``, which dies with its executor.
+Lineage is cut by writing Parquet below the folder named by
+``spark.checkpoint.dir`` (shared on a cluster) and reading it back.  A folder
+is only chosen here for a single local JVM; never a copy held by one executor.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
+_LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def get_session(master: str | None = None, partitions: int | None = None,
@@ -40,21 +42,59 @@ def get_session(master: str | None = None, partitions: int | None = None,
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor and the driver can see: ``spark.checkpoint.dir``.
+
+    A scratch folder is chosen only where the setting is absent *and* the
+    master is a single local JVM (tests); a cluster without the setting is an
+    error, because a machine-local folder would be lost or unreadable there.
+    """
+    conf = spark.sparkContext.getConf().get(_CKPT_KEY, None) or spark.conf.get(_CKPT_KEY, None)
+    if conf:
+        return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"set {_CKPT_KEY} to a shared folder (master is {master})")
+    if master not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[master] = tempfile.mkdtemp(prefix="lacuna-shared-")
+    return _LOCAL_SCRATCH[master]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set a scratch one only when unset."""
+    """The session's reliable checkpoint folder (below ``shared_folder``)."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
-    if not conf:
-        # only reached in local tests: a cluster names a shared folder
-        conf = tempfile.mkdtemp(prefix="lacuna-ckpt-")
-    spark.sparkContext.setCheckpointDir(conf)
-    return spark.sparkContext.getCheckpointDir() or conf
+    folder = shared_folder(spark)
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir() or folder
+
+
+def stage(df: DataFrame, tag: str = "t") -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back:
+    a columnar lineage cut that survives executor loss, prunes columns and
+    keeps statistics.  ``unstage`` deletes it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}/{tag}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables whose readers have finished."""
+    for f in frames:
+        path = getattr(f, "_staged_path", None)
+        if path is None:
+            continue
+        sc = f.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        f._staged_path = None
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder (survives
-    executor loss) and return a DataFrame with a short lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` into the shared folder (survives executor loss) and
+    return a DataFrame with a short lineage."""
+    return stage(df, "cut")
