@@ -36,11 +36,13 @@ SALTS = 64
 #: Bits of a level for each digest that is still without a slot.
 GAMMA = 2.0
 _LAST = 9223372036854775807
+#: Fixed value: a run of ASCII white space.
+WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest): SHA-256 of the text with white-space runs as one space."""
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE_RUN, " ")
     return docs.select(F.col(id_col).cast("long").alias("id"),
                        F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"))
 
@@ -200,9 +202,12 @@ def dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id", text_col: st
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact dedup keeps, with all their columns."""
-    verdict = dedup(docs, None, id_col, text_col).where("kept").select(
-        F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    tagged = docs.withColumn("_key", F.unhex(F.sha2(norm.cast("binary"), 256)))
-    return (tagged.join(verdict, (F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-                        & (F.col("_key") == F.col("_digest")), "left_semi").drop("_key"))
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own_id, own_text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    dropped = (dedup(docs, None, id_col, text_col).where(~F.col("kept"))
+               .select(F.col("id").alias("drop_id"), F.col("digest").alias("drop_digest")).distinct())
+    norm = F.regexp_replace(F.coalesce(F.col(own_text), F.lit("")), WHITE_RUN, " ")
+    digest = F.unhex(F.sha2(norm.cast("binary"), 256))
+    match = F.col(own_id).cast("long").eqNullSafe(F.col("drop_id")) & (digest == F.col("drop_digest"))
+    return flat.join(dropped, match, "left_anti").toDF(*names)

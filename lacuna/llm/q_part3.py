@@ -1,10 +1,10 @@
-"""Queries of nearest neighbours and near copies."""
+"""Queries of nearest neighbours, near copies and repeated substrings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lacuna.llm import near_dedup, vector_search
+from lacuna.llm import near_dedup, substring_dedup, vector_search
 from lacuna.llm.registry import documents, query
 
 
@@ -18,3 +18,9 @@ def op6(spark, sf_dir):
 def op4(spark, sf_dir):
     """Near copies among all documents: 4-word shingles, similarity 0.8."""
     return near_dedup.near_dedup(documents(spark, sf_dir), words=4, percent=80)
+
+
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    """Words of windows that an earlier document has."""
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("kept")
