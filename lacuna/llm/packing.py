@@ -27,10 +27,14 @@ pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,44 +51,89 @@ PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, se
           "tier int, step_id long")
 
 
+#: Words of these characters alone are normal (NFC) as they are, and lower
+#: letter by letter; other words go through the whole tokenizer.
+_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*")
+
+
 class WordTokens:
     """Token ids of texts from a word-level tokenizer file: white space is
-    dropped and words never merge, so each distinct word is encoded once."""
+    dropped and words never merge, so each distinct word is encoded once.
+
+    Plain words are cut into the pieces of the file's own pattern, and each
+    distinct piece goes to the merges alone; a file of another make than NFC,
+    lower case and byte-level pieces takes the whole tokenizer throughout."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = lambda part, many: [x["type"] for x in (spec[part] or {}).get(many, [])]
+        self.pattern = None
+        if kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and \
+                kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]:
+            self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._clear()
 
     def _clear(self):
         self.known: dict[str, int] = {}
+        self.pieces: dict[str, list] = {}
         self.ids, self.offs = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _piece(self, piece: str) -> list:
+        got = self.pieces.get(piece)
+        if got is None:
+            mapped = piece if piece.isascii() else self.byte_level.pre_tokenize_str(piece)[0][0]
+            got = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
+        return got
+
+    def _ids_of(self, words: list[str]) -> list[list]:
+        plain = _PLAIN.fullmatch
+        out, rest = [], []
+        for i, w in enumerate(words):
+            if self.pattern is None or plain(w) is None or "<|" in w and any(s in w for s in self.specials):
+                rest.append(i)
+                out.append(None)
+                continue
+            parts = self.pattern(w.lower())
+            out.append(self._piece(parts[0]) if len(parts) == 1 else [k for p in parts for k in self._piece(p)])
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
+
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self._clear()
         fresh = [w for w in words if w not in self.known]
         if fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            got = self._ids_of(fresh)
             base = len(self.known)
-            self.known.update((w, base + k) for k, w in enumerate(fresh))
+            self.known.update(zip(fresh, range(base, base + len(fresh))))
             n = np.fromiter(map(len, got), np.int64, len(got))
             self.offs = np.concatenate([self.offs, len(self.ids) + np.cumsum(n)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(n.sum()))])
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end_id``, and their offsets."""
         buf, offs = A.text_buffer(col)
         words, woffs = A.words_of(buf, offs)
         code, distinct = A.coded(words)
-        place = self._places(distinct.to_pylist())[code]
-        n = self.offs[place + 1] - self.offs[place]
-        per_text = np.concatenate([[0], np.cumsum(n)])[woffs]
-        ids = self.ids[np.repeat(self.offs[place], n) + A.runs(n)]
-        ids = np.insert(ids, per_text[1:], np.uint32(end_id))
-        return ids, per_text + np.arange(len(per_text))
+        place = self._places(distinct.to_pylist())
+        first, n = self.offs[place][code].astype(np.int32), (self.offs[place + 1] - self.offs[place])[code].astype(np.int32)
+        # the end of a text is one more word, found behind all others
+        first = np.insert(first, woffs[1:], np.int32(len(self.ids)))
+        n = np.insert(n, woffs[1:], np.int32(1))
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(first - (ends - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.append(self.ids, np.uint32(end_id))[at]
+        return ids, np.concatenate([[0], ends[woffs[1:] + np.arange(len(woffs) - 1)]])
 
 
 class Pool:
