@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as text stripping knows it, and a decimal numeral.
+WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+NUMERAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
@@ -34,8 +39,11 @@ def tokens_to_null(c, tokens: list) -> Column:
 
 
 def to_number(c) -> Column:
-    """P-07: lenient numeric parse (unparseable -> NULL, never an error)."""
-    return _c(c).try_cast("double")
+    """P-07: lenient numeric parse.  Only decimal numerals (sign, digits,
+    point, exponent) count, with white space around them; all else, 'nan' and
+    type suffixes such as '10d' included, is NULL and never an error."""
+    text = trim_ws(_c(c).cast("string"))
+    return F.when(text.rlike(NUMERAL), text.try_cast("double"))
 
 
 def strip_non_digits(c) -> Column:
@@ -54,8 +62,9 @@ def keep_cjk_tail(c) -> Column:
 
 
 def trim_ws(c) -> Column:
-    """P-11: strip leading/trailing whitespace (``trim`` strips spaces only)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """P-11: strip leading/trailing Unicode white space, U+3000 included
+    (``trim`` strips spaces only)."""
+    return F.regexp_replace(_c(c), f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def unbom_upper(c) -> Column:

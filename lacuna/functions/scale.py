@@ -70,12 +70,22 @@ class MinMax:
 
 @dataclass
 class MeanFillScale:
-    """F-07: mean-fill then z-score; a missing cell becomes 0 (MIWAE input)."""
+    """F-07: mean-fill then z-score; a missing cell becomes 0.  The deviation
+    is that of the filled column: over all rows, missing ones at the mean."""
     z: ZScore
 
     @classmethod
     def fit(cls, df: DataFrame, cols: list[str]) -> "MeanFillScale":
-        return cls(ZScore.fit(df, cols))
+        if not cols:
+            return cls(ZScore())
+        # squares about the mean of the observed cells, over all rows
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for c in cols:
+            aggs += [F.avg(c).alias(f"m_{c}"), (F.var_pop(c) * F.count(c)).alias(f"s_{c}")]
+        r = df.agg(*aggs).first()
+        std = {c: ((r[f"s_{c}"] or 0.0) / max(r["n"], 1)) ** 0.5 for c in cols}
+        return cls(ZScore({c: r[f"m_{c}"] if r[f"m_{c}"] is not None else 0.0 for c in cols},
+                          {c: v if v > 0 else 1.0 for c, v in std.items()}))
 
     def expr(self, c: str) -> Column:
         return F.coalesce(self.z.expr(c), F.lit(0.0))

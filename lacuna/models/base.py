@@ -17,10 +17,9 @@ from pyspark.sql import types as T
 from lacuna.functions.scale import ZScore
 from lacuna.operators.metrics import score_all
 from lacuna.operators.ranking import recommend_wide, topk_long
+from lacuna.session import stage
 from lacuna.spec import FeatureSpec
 
-MAX_CLASSES = 10_000
-
 
 def numpy_scores(df: DataFrame, inputs: list[Column], fn, out: str = "proba") -> DataFrame:
     """Append ``out`` = fn(X) per Arrow batch: X is the (rows x inputs)
@@ -63,8 +62,6 @@ class Recommender:
             self.scaler = ZScore.fit(train, list(self.spec.dense))
         n = train.agg(F.max(self.spec.item).alias("m")).first()["m"]
         self.n_classes = int(n) + 1
-        if self.n_classes > MAX_CLASSES:
-            raise ValueError(f"{self.n_classes} classes exceed {MAX_CLASSES}")
         return self._features(train)
 
     def _features(self, df: DataFrame) -> DataFrame:
@@ -80,7 +77,7 @@ class Recommender:
 
     def _check(self):
         if not self.is_trained:
-            raise ValueError("model is not trained")
+            raise RuntimeError(f"{self.name}: call fit before scoring")
 
     # -- contract -------------------------------------------------------
     def fit(self, train: DataFrame) -> "Recommender":
@@ -96,4 +93,7 @@ class Recommender:
         return recommend_wide(self.proba(df), self.k, self.spec.row_id)
 
     def score(self, df: DataFrame, methods=("auc", "logloss", "hr_k", "ndcg_k")) -> DataFrame:
-        return score_all(self.proba(df), self.k, methods, self.spec.item)
+        """Metrics of one scoring pass: row metrics and the per-class ranking
+        both read the staged (label, probabilities)."""
+        scored = stage(self.proba(df).select(self.spec.item, "proba"), "scores")
+        return score_all(scored, self.k, methods, self.spec.item)

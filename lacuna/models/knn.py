@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.scale import ZScore
+from lacuna.functions.clean import round_half_even
 from lacuna.models.base import Recommender
 from lacuna.operators.neighbors import knn_candidates
 from lacuna.operators.ranking import proba_wide
@@ -51,8 +51,8 @@ class KNNImputer:
     """I-05: mean of the 5 nearest train donors that have the column
     (nan-Euclidean distance); no donor -> train column mean."""
 
-    def __init__(self, cols: list[str], k: int = 5, row_id: str = "row_id"):
-        self.cols, self.k, self.row_id = list(cols), k, row_id
+    def __init__(self, cols: list[str], k: int = 5, row_id: str = "row_id", codes: tuple = ()):
+        self.cols, self.k, self.row_id, self.codes = list(cols), k, row_id, codes
 
     def fit(self, train: DataFrame) -> "KNNImputer":
         self.train = train.select(self.row_id, *self.cols)
@@ -72,5 +72,9 @@ class KNNImputer:
         fill = cand.groupBy(rid).pivot("col", self.cols).agg(F.avg("value"))
         fill = fill.select(rid, *[F.col(c).alias(f"_f_{c}") for c in self.cols])
         out = df.join(fill, rid, "left")
-        return out.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}"), F.lit(self.means[c])).alias(c)
-                            if c in self.cols else F.col(c) for c in df.columns])
+
+        def value(c):
+            v = F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}"), F.lit(self.means[c]))
+            return round_half_even(v).cast("double") if c in self.codes else v
+
+        return out.select(*[value(c).alias(c) if c in self.cols else F.col(c) for c in df.columns])

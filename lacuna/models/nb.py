@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from lacuna.models.base import Recommender, numpy_scores, softmax_rows
 
 
+#: Cells (rows x classes) that a scoring block holds.
+CELLS = 2_000_000
+
+
 class GaussianNB(Recommender):
     name = "NB"
 
@@ -29,7 +33,7 @@ class GaussianNB(Recommender):
         aggs = [F.count(F.lit(1)).alias("_n")]
         for c in feats:
             aggs += [F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}")]
-        rows = x.groupBy(item).agg(*aggs).orderBy(item).collect()  # K rows (checked K <= MAX_CLASSES)
+        rows = x.groupBy(item).agg(*aggs).orderBy(item).collect()  # one row per class: the model
         n = sum(r["_n"] for r in rows)
         self.classes = [int(r[item]) for r in rows]
         self.prior = [r["_n"] / n for r in rows]
@@ -50,8 +54,17 @@ class GaussianNB(Recommender):
         var[pos] = np.array(self.var)
         const = log_prior - 0.5 * np.log(2 * np.pi * var).sum(axis=1)
 
+        step = max(1, CELLS // k)
+
         def fn(x):
-            d = x[:, None, :] - theta[None, :, :]
-            return softmax_rows(const[None, :] - 0.5 * (d * d / var[None, :, :]).sum(axis=2))
+            # a block of rows x classes at a time, features added one by one
+            out = np.empty((len(x), k))
+            for s in range(0, len(x), step):
+                acc = np.repeat(const[None, :], len(x[s:s + step]), axis=0)
+                for j in range(x.shape[1]):
+                    d = x[s:s + step, j, None] - theta[None, :, j]
+                    acc -= 0.5 * d * d / var[None, :, j]
+                out[s:s + step] = softmax_rows(acc)
+            return out
 
         return numpy_scores(df, [self.fcol(c) for c in self.spec.features], fn)

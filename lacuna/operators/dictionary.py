@@ -1,13 +1,10 @@
 """F-01..F-03: sorted factorisation and vocabularies.
 
 A dictionary is the sorted distinct non-null values of a column mapped to
-consecutive codes.  Fitting is one ``distinct`` (partial aggregation) and a
-rank over the distinct set.  Applying it:
-
-* up to ``LITERAL_MAX`` entries the mapping is inlined as a literal map
-  expression (no join, stays in whole-stage codegen);
-* up to ``BROADCAST_MAX_ROWS`` a broadcast left join;
-* beyond, a shuffle left join (never broadcast an unbounded table).
+consecutive codes.  Fitting is one ``distinct`` (partial aggregation) and
+distributed positions over the distinct set, staged as a (value, code) table.
+Applying it is a left join, which adaptive execution broadcasts if the table's
+measured bytes allow.
 """
 
 from __future__ import annotations
@@ -17,54 +14,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators.rank import BROADCAST_MAX_ROWS, dense_codes, join_small
-
-LITERAL_MAX = 10_000
+from lacuna.operators.rank import dense_codes
+from lacuna.session import stage
 
 
 @dataclass
 class Dictionary:
     column: str
-    start: int
-    size: int
-    values: list | None = None      # inlined when small
-    table: DataFrame | None = None  # (value, idx) otherwise
+    table: DataFrame   # (_v, _idx)
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, start: int = 0, value: Column | None = None) -> "Dictionary":
         v = value if value is not None else F.col(column)
         vals = df.select(v.alias("_v")).where(F.col("_v").isNotNull()).distinct()
-        rows = vals.orderBy("_v").limit(LITERAL_MAX + 1).collect()  # bounded by the limit
-        if len(rows) <= LITERAL_MAX:
-            return cls(column, start, len(rows), values=[r[0] for r in rows])
-        n = vals.count()
-        table = dense_codes(vals, "_v", "_idx", start)
-        return cls(column, start, n, table=table)
-
-    def code(self, value: Column, default: int | None) -> Column:
-        """Literal-map lookup (only when inlined)."""
-        assert self.values is not None
-        if not self.values:
-            return F.lit(default).cast("long")
-        pairs = []
-        for i, v in enumerate(self.values):
-            pairs += [F.lit(v), F.lit(i + self.start)]
-        m = F.create_map(*pairs)
-        looked = F.try_element_at(m, value)
-        return F.coalesce(looked.cast("long"), F.lit(default).cast("long")) if default is not None \
-            else looked.cast("long")
+        return cls(column, stage(dense_codes(vals, "_v", "_idx", start), "dictionary"))
 
     def apply(self, df: DataFrame, out: str | None = None, default: int | None = -1,
               value: Column | None = None) -> DataFrame:
-        out = out or self.column
         v = value if value is not None else F.col(self.column)
-        if self.values is not None:
-            return df.withColumn(out, self.code(v, default))
-        keyed = df.withColumn("_v", v)
-        joined = join_small(keyed, self.table, on="_v", how="left", known_rows=self.size,
-                            max_rows=BROADCAST_MAX_ROWS)
+        joined = df.withColumn("_v", v).join(self.table, "_v", "left")
         code = F.col("_idx") if default is None else F.coalesce(F.col("_idx"), F.lit(default))
-        return joined.withColumn(out, code.cast("long")).drop("_v", "_idx")
+        return joined.withColumn(out or self.column, code.cast("long")).drop("_v", "_idx")
 
 
 def factorize(df: DataFrame, column: str, out: str | None = None, null_code: int | None = -1,

@@ -51,7 +51,10 @@ def auc_per_class(df: DataFrame, label: str = "product_item", proba: str = "prob
                        (F.col("_y") == F.col("class_id")).cast("long").alias("pos"))
     per = long.groupBy("class_id", "s").agg(F.sum("pos").alias("P"),
                                             F.sum(F.lit(1) - F.col("pos")).alias("N"))
-    per = per.withColumn("b", F.least(F.floor(F.col("s") * 65536), F.lit(65535)).cast("long"))
+    # buckets by log-odds: probabilities pile up near 0 and 1 and spread there
+    s = F.col("s")
+    odds = F.when(s <= 0, F.lit(-800.0)).when(s >= 1, F.lit(800.0)).otherwise(F.log(s) - F.log(F.lit(1.0) - s))
+    per = per.withColumn("b", F.floor(odds * F.lit(256.0)).cast("long"))
     bt = per.groupBy("class_id", "b").agg(F.sum("N").alias("bn"))
     wb = Window.partitionBy("class_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("n_below_b", F.coalesce(F.sum("bn").over(wb), F.lit(0))).drop("bn")

@@ -1,15 +1,19 @@
-"""I-01 chained-equation imputation with Bayesian ridge conditionals
-(posterior draws), I-10 fit/apply separation, I-11 multiple completions.
-
-Per round and column the regression needs only the sufficient statistics
-(n, sum x, X'X, X'y, y'y) of the rows where the column is observed: ONE
-aggregation (N-03).  The evidence iteration for the noise/weight
-precisions runs on the p x p matrix on the driver; the fitted coefficients
-and posterior covariance are literals in the column expressions that
-fill the missing cells.  Draws are keyed by (seed, round, column, row_id),
-so completions do not depend on partitioning, and every round is cut from
-the lineage with a reliable checkpoint (while fitting, every column step,
-since the next step's statistics read the state it leaves).
+"""Chained-equation imputation (I-01, I-02, I-06, I-07, I-10, I-11).
+
+``MiceImputer`` uses Bayesian ridge conditionals with posterior draws.  Per
+round and column the regression needs only sufficient statistics of the rows
+where the column is observed.  One Arrow kernel replays the steps of the round
+so far on each batch and emits the batch's partial sums, which one aggregation
+adds up; the evidence iteration runs on the p x p result.  The state of the
+training rows is staged once per round and the previous stage deleted, so a
+fit writes ``rounds`` narrow tables, not one per column.  ``transform`` is
+row-local: all fitted steps are replayed in one kernel without any stage.
+
+``TreeChain`` uses Spark ML forests or boosted trees as conditionals, without
+draws.  Both clip to the training range and round the codes half to even.
+
+Draws are keyed by (seed, round, column, row id), so completions do not
+depend on partitioning, and only missing cells draw.
 """
 
 from __future__ import annotations
@@ -18,21 +22,21 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lacuna.functions.clean import round_half_even
 from lacuna.functions.draws import uniform
-from lacuna.operators.stats import gram
-from lacuna.session import cut_lineage
+from lacuna.session import stage, unstage
 
-_ALPHA1 = _ALPHA2 = _LAMBDA1 = _LAMBDA2 = 1e-6
+#: The shapes and rates of the precisions' gamma priors.
+PRIOR = 1e-6
 
 
 def bayesian_ridge(st: dict, max_iter: int = 300, tol: float = 1e-3):
     """Evidence maximisation for y = Xw + b from sufficient statistics.
-    Returns (coef, intercept, alpha, sigma) with sigma the posterior
+    Returns (coef, intercept, alpha, sigma, means) with sigma the posterior
     covariance of the coefficients (centred features)."""
     n = st["n"]
     mu = st["sx"] / n
@@ -50,8 +54,8 @@ def bayesian_ridge(st: dict, max_iter: int = 300, tol: float = 1e-3):
         coef_new = vec @ ((vec.T @ xty) / (eig + lam / alpha))
         rss = max(yty - 2 * coef_new @ xty + coef_new @ xtx @ coef_new, 0.0)
         gamma = float(np.sum(alpha * eig / (lam + alpha * eig)))
-        lam = (gamma + 2 * _LAMBDA1) / (float(coef_new @ coef_new) + 2 * _LAMBDA2)
-        alpha = (n - gamma + 2 * _ALPHA1) / (rss + 2 * _ALPHA2)
+        lam = (gamma + 2 * PRIOR) / (float(coef_new @ coef_new) + 2 * PRIOR)
+        alpha = (n - gamma + 2 * PRIOR) / (rss + 2 * PRIOR)
         done = np.sum(np.abs(coef - coef_new)) < tol
         coef = coef_new
         if done:
@@ -60,21 +64,16 @@ def bayesian_ridge(st: dict, max_iter: int = 300, tol: float = 1e-3):
     return coef, float(ybar - mu @ coef), float(alpha), sigma, mu
 
 
-def _phi(x):
-    return 0.5 * (1.0 + np.vectorize(math.erf)(x / math.sqrt(2.0)))
-
-
-def _phi_inv(p):
-    from statistics import NormalDist
-    nd = NormalDist()
-    p = np.clip(p, 1e-15, 1 - 1e-15)
-    return np.array([nd.inv_cdf(float(v)) for v in np.ravel(p)]).reshape(np.shape(p))
+def _normal_table(reach: float = 8.3, per_unit: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    z = np.linspace(-reach, reach, int(2 * reach * per_unit) + 1)
+    return z, np.array([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in z])
 
 
 @dataclass
 class Step:
-    column: str
-    others: list
+    """One fitted conditional: ``column`` from all others."""
+    column: int
+    rnd: int
     coef: np.ndarray
     intercept: float
     alpha: float
@@ -82,104 +81,254 @@ class Step:
     mu: np.ndarray
 
 
+class _Replay:
+    """Fills the missing cells of a (rows x columns) matrix step by step."""
+
+    def __init__(self, lo, hi, posterior: bool):
+        self.lo, self.hi, self.posterior = lo, hi, posterior
+        self.z, self.p = _normal_table()
+
+    def step(self, x: np.ndarray, missing: np.ndarray, st: Step, u: np.ndarray) -> None:
+        rows = np.flatnonzero(missing[:, st.column])
+        if not len(rows):
+            return
+        others = np.delete(x[rows], st.column, axis=1) - st.mu
+        pred = st.intercept + st.mu @ st.coef + others @ st.coef
+        lo, hi = self.lo[st.column], self.hi[st.column]
+        if self.posterior:
+            sd = np.sqrt(np.maximum(1.0 / st.alpha + np.einsum("ij,jk,ik->i", others, st.sigma, others), 1e-24))
+            a, b = (np.interp((v - pred) / sd, self.z, self.p) for v in (lo, hi))
+            pred = pred + sd * np.interp(a + u[rows] * (b - a), self.p, self.z)
+        x[rows, st.column] = np.clip(pred, lo, hi)
+
+
+def _matrix(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
+    return np.column_stack([batch.column(first + i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(n)]) \
+        if n else np.zeros((batch.num_rows, 0))
+
+
 @dataclass
 class MiceImputer:
-    """Chained equations: start at train means, columns by ascending
-    missing count, ``rounds`` rounds, Bayesian-ridge posterior draws
-    clipped to the train [min, max]."""
+    """Chained Bayesian ridge: start at train means, columns by ascending
+    number of missing cells, ``rounds`` rounds, posterior draws within the
+    train [min, max]; ``codes`` are rounded half to even in the end."""
     cols: list
     rounds: int = 10
     seed: int = 42
     row_id: str = "row_id"
     sample_posterior: bool = True
+    codes: tuple = ()
     steps: list = field(default_factory=list)
 
-    def fit(self, train: DataFrame) -> "MiceImputer":
-        stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in self.cols],
-                          *[F.min(c).alias(f"lo_{c}") for c in self.cols],
-                          *[F.max(c).alias(f"hi_{c}") for c in self.cols],
-                          *[F.count(c).alias(f"n_{c}") for c in self.cols]).first()
-        self.means = {c: float(stats[f"m_{c}"] or 0.0) for c in self.cols}
-        self.lo = {c: float(stats[f"lo_{c}"] or 0.0) for c in self.cols}
-        self.hi = {c: float(stats[f"hi_{c}"] or 0.0) for c in self.cols}
-        counts = {c: stats[f"n_{c}"] for c in self.cols}
-        self.order = sorted(self.cols, key=lambda c: (-counts[c], self.cols.index(c)))
-        self.steps = []
-        self._fit_mode = True
-        self._run(train, fit=True)
-        return self
+    def _start(self, train: DataFrame) -> None:
+        stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in self.cols], *[F.min(c).alias(f"lo_{c}") for c in self.cols],
+                          *[F.max(c).alias(f"hi_{c}") for c in self.cols], *[F.count(c).alias(f"n_{c}") for c in self.cols]).first()
+        of = lambda part: np.array([float(stats[f"{part}_{c}"] or 0.0) for c in self.cols])
+        self.means, self.lo, self.hi = of("m"), of("lo"), of("hi")
+        seen = of("n")
+        self.order = sorted(range(len(self.cols)), key=lambda i: (-seen[i], i))
 
-    def _fill_expr(self, st: Step, rnd: int) -> Column:
-        """One Arrow kernel per (round, column): prediction, posterior
-        variance x' S x + 1/alpha and the truncated draw in NumPy.  Its
-        inputs are plain columns, so chained steps never nest expressions."""
-        coef, mu, sigma = st.coef, st.mu, st.sigma
-        base = st.intercept + float(mu @ coef)
-        inv_alpha, lo, hi, post = 1.0 / st.alpha, self.lo[st.column], self.hi[st.column], self.sample_posterior
-
-        @F.pandas_udf(T.DoubleType())
-        def _draw(*cols: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(float) for c in cols[:-1]]) - mu[None, :]
-            pred = base + x @ coef
-            if not post:
-                return pd.Series(np.clip(pred, lo, hi))
-            sd = np.sqrt(np.maximum(inv_alpha + np.einsum("ij,jk,ik->i", x, sigma, x), 0.0))
-            s_ = np.maximum(sd, 1e-12)
-            a, b = _phi((lo - pred) / s_), _phi((hi - pred) / s_)
-            q = a + cols[-1].to_numpy(float) * (b - a)
-            return pd.Series(np.clip(pred + s_ * _phi_inv(q), lo, hi))
-
-        u = uniform(self.seed, f"mice|{rnd}|{st.column}", self.row_id)
-        return _draw(*[F.col(f"_x_{o}") for o in st.others], u)
-
-    def _run(self, df: DataFrame, fit: bool) -> DataFrame:
-        cur = df.select(self.row_id, *[F.col(c).isNull().alias(f"_na_{c}") for c in self.cols],
-                        *[F.coalesce(F.col(c).cast("double"), F.lit(self.means[c])).alias(f"_x_{c}")
-                          for c in self.cols])
-        cur = cut_lineage(cur)
-        k = 0
+    def _draws(self, steps: list) -> list:
+        """One uniform column per step, drawn for missing cells only."""
+        return [F.when(F.col(f"_m{s.column}"),
+                       uniform(self.seed, f"mice|{s.rnd}|{self.cols[s.column]}", self.row_id)).alias(f"_u{k}")
+                for k, s in enumerate(steps)]
+
+    def _opened(self, df: DataFrame) -> DataFrame:
+        """Row id, missing flags and values with the missing ones at the mean."""
+        return df.select(self.row_id, *[F.col(c).isNull().alias(f"_m{i}") for i, c in enumerate(self.cols)],
+                         *[F.coalesce(F.col(c).cast("double"), F.lit(float(m))).alias(f"_x{i}")
+                           for i, (c, m) in enumerate(zip(self.cols, self.means))])
+
+    def _replayed(self, state: DataFrame, steps: list, emit, schema: str) -> DataFrame:
+        """``emit(row ids, missing, x)`` of each batch after ``steps``."""
+        p, replay = len(self.cols), _Replay(self.lo, self.hi, self.sample_posterior)
+
+        def kernel(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                missing, x = _matrix(b, 1, p) > 0, _matrix(b, 1 + p, p).copy()
+                for k, st in enumerate(steps):
+                    u = b.column(1 + 2 * p + k).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    replay.step(x, missing, st, u)
+                yield emit(b.column(0), missing, x)
+
+        return state.select(self.row_id, *[F.col(f"_m{i}").cast("int") for i in range(p)],
+                            *[f"_x{i}" for i in range(p)], *self._draws(steps)).mapInArrow(kernel, schema)
+
+    def _statistics(self, state: DataFrame, steps: list, column: int) -> dict:
+        """Centred-safe sums for the regression of ``column`` on the others,
+        about the train means, over rows where it is observed."""
+        p, mean = len(self.cols), self.means
+
+        def emit(_, missing, x):
+            seen = ~missing[:, column]
+            d = x[seen] - mean
+            others, y = np.delete(d, column, axis=1), d[:, column]
+            flat = np.concatenate([[seen.sum()], others.sum(axis=0), [y.sum(), y @ y], others.T @ y, (others.T @ others).ravel()])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(float))], ["k", "v"])
+
+        rows = (self._replayed(state, steps, emit, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
+                .collect())  # p * p + 2 p + 1 sums
+        flat = np.zeros(1 + (p - 1) + 2 + (p - 1) + (p - 1) ** 2)
+        for r in rows:
+            flat[r["k"]] = r["v"]
+        q = p - 1
+        return {"n": flat[0], "sx": flat[1:p], "sy": flat[p], "yy": flat[p + 1], "xy": flat[p + 2:p + 2 + q],
+                "xx": flat[p + 2 + q:].reshape(q, q)}
+
+    def _emit_state(self, row, missing, x):
+        p = len(self.cols)
+        return pa.RecordBatch.from_arrays([row, *[pa.array(missing[:, i]) for i in range(p)],
+                                           *[pa.array(x[:, i]) for i in range(p)]],
+                                          [self.row_id, *[f"_m{i}" for i in range(p)], *[f"_x{i}" for i in range(p)]])
+
+    def fit(self, train: DataFrame) -> "MiceImputer":
+        self._start(train)
+        state = stage(self._opened(train), "chain")
+        self.steps, p = [], len(self.cols)
+        schema = f"{self.row_id} long, " + ", ".join(f"_m{i} boolean" for i in range(p)) + ", " + ", ".join(
+            f"_x{i} double" for i in range(p))
         for rnd in range(self.rounds):
+            own: list = []
             for c in self.order:
-                others = [o for o in self.cols if o != c]
-                if fit:
-                    obs = cur.where(~F.col(f"_na_{c}"))
-                    st = gram(obs, [f"_x_{o}" for o in others], f"_x_{c}")
-                    if st["n"] < 2:
-                        continue
-                    coef, b, alpha, sigma, mu = bayesian_ridge(st)
-                    self.steps.append(Step(c, others, coef, b, alpha, sigma, mu))
-                step = next((s for s in self.steps[k:k + 1] if s.column == c), None)
-                if step is None:
+                st = self._statistics(state, own, c)
+                if st["n"] < 2:
                     continue
-                k += 1
-                cur = cur.withColumn(f"_x_{c}", F.when(F.col(f"_na_{c}"), self._fill_expr(step, rnd))
-                                     .otherwise(F.col(f"_x_{c}")))
-                if fit:  # the next column's statistics read this state
-                    cur = cut_lineage(cur)
-            if not fit:
-                cur = cut_lineage(cur)  # one reliable checkpoint per round
-        self._last = cur
-        return cur
+                coef, b, alpha, sigma, mu = bayesian_ridge(st)
+                mean = np.delete(self.means, c)
+                own.append(Step(c, rnd, coef, b + self.means[c] - mean @ coef, alpha, sigma, mu + mean))
+            self.steps += own
+            if rnd + 1 < self.rounds:
+                nxt = stage(self._replayed(state, own, self._emit_state, schema), "chain")
+                unstage(state)
+                state = nxt
+        unstage(state)
+        return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Replay the fitted per-round regressors on any split."""
-        done = self._run(df, fit=False)
-        filled = done.select(self.row_id, *[F.col(f"_x_{c}").alias(c) for c in self.cols])
-        rest = [c for c in df.columns if c not in self.cols]
-        return df.select(*rest).join(filled, self.row_id)
+        """All columns of ``df`` with the chained ones complete."""
+        p, rest = len(self.cols), [c for c in df.columns if c not in self.cols]
+        kind = dict(df.dtypes)[self.row_id]
+        schema = f"{self.row_id} {kind}, " + ", ".join(f"_x{i} double" for i in range(p))
+
+        def emit(row, _, x):
+            return pa.RecordBatch.from_arrays([row, *[pa.array(x[:, i]) for i in range(p)]],
+                                              [self.row_id, *[f"_x{i}" for i in range(p)]])
 
+        filled = self._replayed(self._opened(df), self.steps, emit, schema)
+        named = filled.select(self.row_id, *[
+            (round_half_even(F.col(f"_x{i}")).cast("double") if c in self.codes else F.col(f"_x{i}")).alias(c)
+            for i, c in enumerate(self.cols)])
+        return named if rest == [self.row_id] else df.select(*rest).join(named, self.row_id)
 
-def completions(train: DataFrame, frames: dict, cols: list, m: int = 3, seed: int = 42, rounds: int = 3,
-                row_id: str = "row_id") -> DataFrame:
-    """I-11: M completions with seeds s..s+M-1, row-aligned by row_id, in
-    long form with a ``view`` column; view 0's imputer also serves the
-    other splits (returned under their names in ``split``)."""
+
+def completions(train: DataFrame, frames: dict, cols: list, m: int = 3, seed: int = 42, rounds: int = 10,
+                row_id: str = "row_id", codes: tuple = ()) -> DataFrame:
+    """I-11: M completions of train with seeds s..s+M-1, row-aligned by
+    row_id, in long form with a ``view`` column; view 0's imputer also serves
+    the other splits (returned under their names in ``split``)."""
     out = None
     for v in range(m):
-        imp = MiceImputer(cols, rounds=rounds, seed=seed + v, row_id=row_id).fit(train)
+        imp = MiceImputer(cols, rounds=rounds, seed=seed + v, row_id=row_id, codes=codes).fit(train)
         for name, f in frames.items():
             if v > 0 and name != "train":
                 continue
             t = imp.transform(f).withColumn("view", F.lit(v)).withColumn("split", F.lit(name))
             out = t if out is None else out.unionByName(t)
     return out
+
+
+@dataclass
+class TreeChain:
+    """I-02, I-06, I-07: chained equations with Spark ML tree conditionals of
+    20 trees of depth 5 (the reference's setting), predictions clipped to the
+    train range.  ``kind`` is "forest" or "boosted".  Rounds end early when no
+    cell moves by ``tol`` of the largest observed size."""
+    cols: list
+    kind: str = "forest"
+    rounds: int = 10
+    trees: int = 20
+    depth: int = 5
+    seed: int = 42
+    row_id: str = "row_id"
+    codes: tuple = ()
+    tol: float = 1e-3
+    steps: list = field(default_factory=list)
+
+    def _regressor(self, column: str):
+        from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+        common = dict(featuresCol="_f", labelCol=column, predictionCol="_p", maxDepth=self.depth, seed=self.seed)
+        return RandomForestRegressor(numTrees=self.trees, **common) if self.kind == "forest" \
+            else GBTRegressor(maxIter=self.trees, **common)
+
+    def _vector(self, df: DataFrame, column: str) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+        return VectorAssembler(inputCols=[f"_x_{c}" for c in self.cols if c != column], outputCol="_f").transform(df)
+
+    def _filled(self, state: DataFrame, column: str, model) -> DataFrame:
+        out = model.transform(self._vector(state, column))
+        value = F.greatest(F.lit(self.lo[column]), F.least(F.lit(self.hi[column]), F.col("_p")))
+        return out.withColumn(f"_x_{column}", F.when(F.col(f"_m_{column}"), value).otherwise(F.col(f"_x_{column}"))
+                              ).drop("_f", "_p")
+
+    def _opened(self, df: DataFrame) -> DataFrame:
+        return df.select(self.row_id, *[F.col(c).isNull().alias(f"_m_{c}") for c in self.cols],
+                         *[F.coalesce(F.col(c).cast("double"), F.lit(self.means[c])).alias(f"_x_{c}") for c in self.cols])
+
+    def fit(self, train: DataFrame) -> "TreeChain":
+        r = train.agg(*[f(c).alias(f"{n}_{c}") for c in self.cols
+                        for n, f in (("m", F.avg), ("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
+        part = lambda n: {c: float(r[f"{n}_{c}"] or 0.0) for c in self.cols}
+        self.means, self.lo, self.hi, seen = part("m"), part("lo"), part("hi"), part("n")
+        order = sorted(self.cols, key=lambda c: (-seen[c], self.cols.index(c)))
+        state, self.steps = stage(self._opened(train), "trees"), []
+        scale = max([abs(v) for part in (self.lo, self.hi) for v in part.values()], default=0.0)
+        for _ in range(self.rounds):
+            own = state.withColumns({f"_o_{c}": F.col(f"_x_{c}") for c in self.cols})
+            for c in order:
+                if seen[c] < 2:
+                    continue
+                model = self._regressor(f"_x_{c}").fit(self._vector(own.where(~F.col(f"_m_{c}")), c))
+                self.steps.append((c, model))
+                own = self._filled(own, c, model)
+            nxt = stage(own, "trees")
+            unstage(state)
+            state = nxt
+            moved = state.agg(F.max(F.greatest(*[F.abs(F.col(f"_x_{c}") - F.col(f"_o_{c}")) for c in self.cols], F.lit(0.0)))).first()[0]
+            if moved is None or moved < self.tol * scale:
+                break   # the chain has settled
+        unstage(state)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        cur, per_round = self._opened(df), max(1, len(self.cols))
+        for k, (c, model) in enumerate(self.steps):
+            cur = self._filled(cur, c, model)
+            if (k + 1) % per_round == 0 and k + 1 < len(self.steps):
+                cur = stage(cur, "trees")   # bounds the plan: one stage a round
+        named = cur.select(self.row_id, *[
+            (round_half_even(F.col(f"_x_{c}")).cast("double") if c in self.codes else F.col(f"_x_{c}")).alias(c)
+            for c in self.cols])
+        rest = [c for c in df.columns if c not in self.cols]
+        return named if rest == [self.row_id] else df.select(*rest).join(named, self.row_id)
+
+
+#: I-10: imputers by name.
+IMPUTERS = ("mean", "knn", "mice_bayes", "mice_forest", "mice_boosted")
+
+
+def imputer(name: str, cols: list, codes: tuple = (), seed: int = 42, rounds: int = 10):
+    """An unfitted imputer by name; unknown names raise."""
+    from lacuna.models.knn import KNNImputer
+    from lacuna.operators.impute import MeanImputer
+    from lacuna.spec import check_choice
+    check_choice("imputer", name, IMPUTERS)
+    if name == "mean":
+        return MeanImputer(cols, codes=codes)
+    if name == "knn":
+        return KNNImputer(cols, 5, codes=codes)
+    if name == "mice_bayes":
+        return MiceImputer(cols, rounds=rounds, seed=seed, codes=codes)
+    return TreeChain(cols, kind=name.removeprefix("mice_"), rounds=rounds, seed=seed, codes=codes)

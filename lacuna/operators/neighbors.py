@@ -1,8 +1,8 @@
 """Exact k-nearest neighbours between a query table and a donor table
 (M-04 recommender, I-05 imputer).
 
-No global cross join is emitted: queries and donors are cut into tiles of
-at most ``TILE_ROWS`` rows; every (query tile, donor tile) pair meets once
+No global cross join is emitted: queries and donors are dealt to tiles of
+about ``TILE_ROWS`` rows; every (query tile, donor tile) pair meets once
 in a ``cogroup`` whose Arrow kernel computes the distances in NumPy and emits
 only its local k best per query.  The global k best per query are then the
 k smallest of (#donor tiles x k) candidates - a bounded window.  Ties are
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.draws import uniform
 
-TILE_ROWS = 50_000
+#: Mean rows of a tile (tiles are keyed draws) and rows of a block in memory.
+TILE_ROWS, BLOCK = 8_192, 1_024
 
 
 def _tiles(df: DataFrame, key: str, n_tiles: int, salt: str) -> DataFrame:
@@ -50,42 +51,55 @@ def knn_candidates(queries: DataFrame, donors: DataFrame, qid: str, did: str, fe
     p = len(feats)
     schema = "_q long, _col string, _d long, _d2 double, _v double"
 
+    def distances(x, y):
+        """Squared distances of a block, NaN where no coordinate is shared;
+        coordinates are added in the order of ``feats``."""
+        acc, present = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+        for j in range(p):
+            diff = x[:, j, None] - y[None, :, j]
+            ok = ~np.isnan(diff)
+            acc += np.where(ok, diff * diff, 0.0)
+            present += ok
+        if not nan_euclidean:
+            return acc
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(present > 0, (float(p) / present) * acc, np.nan)
+
+    def nearest(d2, eligible):
+        """(row, donor place) of the k least distances of each row, ties by
+        the donors' order."""
+        d2 = np.where(eligible[None, :] & ~np.isnan(d2), d2, np.inf)
+        if d2.shape[1] > k:
+            edge = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
+            row, at = np.nonzero((d2 <= edge) & (d2 < np.inf))
+        else:
+            row, at = np.nonzero(d2 < np.inf)
+        order = np.lexsort((at, d2[row, at], row))
+        row, at = row[order], at[order]
+        first = np.searchsorted(row, np.arange(len(d2)))
+        keep = np.arange(len(row)) - first[row] < k
+        return row[keep], at[keep]
+
     def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or dpdf.empty:
-            return pd.DataFrame({"_q": [], "_col": [], "_d": [], "_d2": [], "_v": []})
-        dpdf = dpdf.sort_values("_id", kind="stable")
-        X = qpdf[feats].to_numpy(dtype="float64", na_value=np.nan)
-        Y = dpdf[feats].to_numpy(dtype="float64", na_value=np.nan)
-        dids = dpdf["_id"].to_numpy()
-        qids = qpdf["_id"].to_numpy()
-        out = []
-        for s in range(0, len(X), 2048):
-            xb = X[s:s + 2048]
-            acc = np.zeros((len(xb), len(Y)))
-            present = np.zeros((len(xb), len(Y)))
-            for j in range(p):                       # same summation order as the SQL text
-                diff = xb[:, j][:, None] - Y[:, j][None, :]
-                ok = ~np.isnan(diff)
-                acc += np.where(ok, diff * diff, 0.0)
-                present += ok
-            if nan_euclidean:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d2 = np.where(present > 0, (float(p) / present) * acc, np.nan)
-                targets = [(c, ~np.isnan(dpdf[c].to_numpy(dtype="float64", na_value=np.nan))) for c in cols]
-            else:
-                d2 = acc
-                targets = [("", np.ones(len(Y), dtype=bool))]
-            for c, elig in targets:
-                dd = np.where(elig[None, :], d2, np.nan)
-                order = np.argsort(np.where(np.isnan(dd), np.inf, dd), axis=1, kind="stable")[:, :k]
-                vals = dpdf[c].to_numpy(dtype="float64", na_value=np.nan) if c else np.zeros(len(Y))
-                dsel = np.take_along_axis(dd, order, axis=1)
-                ok = ~np.isnan(dsel)
-                qq = np.repeat(qids[s:s + len(xb)], order.shape[1]).reshape(order.shape)
-                out.append(pd.DataFrame({"_q": qq[ok], "_col": c, "_d": dids[order][ok], "_d2": dsel[ok],
-                                         "_v": vals[order][ok]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"_q": [], "_col": [], "_d": [], "_d2": [], "_v": []})
+        cells = {c: [] for c in ("_q", "_col", "_d", "_d2", "_v")}
+        if not (qpdf.empty or dpdf.empty):
+            dpdf = dpdf.sort_values("_id", kind="stable")
+            x, y = (f[feats].to_numpy(dtype="float64", na_value=np.nan) for f in (qpdf, dpdf))
+            dids, qids = dpdf["_id"].to_numpy(), qpdf["_id"].to_numpy()
+            for s in range(0, len(x), BLOCK):
+                # donors in blocks as well: a few arrays of BLOCK x BLOCK are live
+                for t in range(0, len(y), BLOCK):
+                    part = y[t:t + BLOCK]
+                    d2 = distances(x[s:s + BLOCK], part)
+                    for c in cols or [""]:
+                        values = part[:, feats.index(c)] if c else np.zeros(len(part))
+                        row, at = nearest(d2, ~np.isnan(values))
+                        cells["_q"].append(qids[s + row])
+                        cells["_col"].append(np.full(len(row), c, object))
+                        cells["_d"].append(dids[t + at])
+                        cells["_d2"].append(d2[row, at])
+                        cells["_v"].append(values[at])
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in cells.items()})
 
     cand = q.groupBy("_pair").cogroup(d.groupBy("_pair")).applyInPandas(kernel, schema)
     w = Window.partitionBy("_q", "_col").orderBy("_d2", "_d")

@@ -49,7 +49,6 @@ def prepare_quotes(src1: DataFrame, src2: DataFrame, names1: list[str], names2:
     df = factorize(df, "Make", null_code=-1).withColumn("Make", C.null_if_code("Make"))
     year = C.to_number(C.replace_values(C.trim_ws(F.col("`Car.year`")), CAR_YEAR_MAP))
     df = df.withColumn("Car.year", C.null_if_negative(C.age_from("Date", year)))
-    return (df.select("row_id", "Date", "Age", "DrivingExp", "Occupation", "NCD", "Make",
-                      F.col("`Car.year`").alias("Car.year"), F.col("`Car.price`").alias("Car.price"),
-                      "product_item")
-            .orderBy("Date", "row_id").drop("Date"))                 # U-03
+    # U-03: a table keeps no row order; where one is needed, ``ordered_positions`` gives it as a column
+    return df.select("row_id", "Age", "DrivingExp", "Occupation", "NCD", "Make", F.col("`Car.year`").alias("Car.year"),
+                     F.col("`Car.price`").alias("Car.price"), "product_item")

@@ -1,4 +1,4 @@
-"""N-02: distributed exact rank by a keyed draw, and size-checked joins.
+"""N-02: distributed exact ranks, by a keyed draw and by value.
 
 An unpartitioned ``Window.orderBy`` plans ``Exchange SinglePartition`` and
 would pull every row through one task.  Instead rows are placed in 65,536
@@ -19,23 +19,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.draws import bucket_of
+from lacuna.session import stage
 
-# small tables broadcast below this many rows (dictionaries, offsets, models)
-BROADCAST_MAX_ROWS = 2_000_000
+#: Rows of one value-range bucket that positions are numbered in.
+BUCKET_ROWS = 500_000
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Join ``small`` into ``big``; broadcast it only when its row count is
-    proven <= ``max_rows`` (counted unless the caller knows it), otherwise a
-    normal shuffle join so nothing unbounded is shipped to every executor."""
-    n = known_rows if known_rows is not None else small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on=on, how=how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a side that is usually small.  Nothing is counted beforehand and
+    no broadcast is forced: adaptive execution measures the side's bytes once
+    and broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``."""
+    return big.join(small, on=on, how=how)
 
 
 def rank_by_draw(df: DataFrame, u: str, key: str, parts: list[str] | None = None,
-                 out: str = "_rank", small_parts: bool = True) -> DataFrame:
+                 out: str = "_rank") -> DataFrame:
     """0-based exact rank of each row within ``parts`` ordered by (u, key).
 
     ``u`` must be a column in [0, 1) (a keyed draw); ``key`` breaks ties."""
@@ -45,30 +43,17 @@ def rank_by_draw(df: DataFrame, u: str, key: str, parts: list[str] | None = None
     w_cum = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, "_bkt",
                             F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
-    joined = join_small(b, offsets, on=parts + ["_bkt"], how="inner") if small_parts \
-        else b.join(offsets, on=parts + ["_bkt"])
+    joined = b.join(offsets, on=parts + ["_bkt"])
     w_row = Window.partitionBy(*parts, "_bkt").orderBy(F.col(u), F.col(key))
     return (joined.withColumn(out, (F.row_number().over(w_row) - 1 + F.col("_off")).cast("long"))
             .drop("_bkt", "_off"))
 
 
 def dense_codes(values: DataFrame, col: str, out: str = "idx", start: int = 0) -> DataFrame:
-    """Sorted distinct values of ``col`` -> consecutive codes from ``start``.
-
-    ``values`` must already be distinct and non-null.  Small dictionaries are
-    ranked in one task (bounded by the check); large ones by range
-    partitioning + per-partition offsets, so the sort stays distributed."""
-    n = values.count()
-    if n <= BROADCAST_MAX_ROWS:
-        w = Window.orderBy(F.col(col))
-        return values.select(col, (F.row_number().over(w) - 1 + start).cast("long").alias(out))
-    # large: rank by value-range buckets (numeric) or hash-free range
-    # partitioning on the value itself (strings)
-    return ordered_positions(values, [col], out, start)
-
-
-def col_or(name_or_col) -> Column:
-    return name_or_col if isinstance(name_or_col, Column) else F.col(name_or_col)
+    """Sorted distinct values of ``col`` -> consecutive codes from ``start``
+    (``values`` must already be distinct and non-null), by the same
+    distributed positions at every size."""
+    return ordered_positions(values.select(col), [col], out, start)
 
 
 def _before(u: Column, key: Column, thr) -> Column:
@@ -78,7 +63,7 @@ def _before(u: Column, key: Column, thr) -> Column:
 
 
 def kth_keys(df: DataFrame, k_by_group: dict, g: str, u: str, key: str,
-             max_exact: int = 1 << 20) -> dict:
+             max_exact: int = 1 << 14) -> dict:
     """Exact selection: for each group value, the key (u*, key*) of its k-th
     smallest row by (u, key) (1-based).
 
@@ -144,48 +129,25 @@ def first_k_flag(u: Column, key: Column, thr) -> Column:
     return _before(u, key, thr)
 
 
-def numeric_key(df: DataFrame, col: str) -> Column:
-    """A double that never decreases when ``col`` increases (ties allowed):
-    epoch values for dates/timestamps, the first 6 bytes for strings."""
-    from pyspark.sql import types as T
-    t = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(t, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(t, (T.StringType, T.BinaryType)):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return c.cast("double")
-
-
-def range_bucket(df: DataFrame, col: str, n: int | None = None) -> Column:
-    """Bucket id monotone in ``col`` from approximate quantile bounds
-    (computed once on the driver: at most n-1 numbers).  Unlike
-    ``spark_partition_id()`` after ``repartitionByRange`` it is a pure
-    function of the value, so every branch and every retry agrees."""
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = numeric_key(df, col)
-    probs = [i / n for i in range(1, n)]
-    bounds = sorted(set(b for b in df.select(key.alias("_k")).approxQuantile("_k", probs, 0.001)
-                        if b is not None)) if probs else []
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= key)).cast("int")
+def _ranged(df: DataFrame, order_cols: list[str]) -> DataFrame:
+    """``df`` staged in range partitions of the whole order key, with the
+    partition's number in ``_rb`` (fixed by the write, so every later branch
+    and retry agrees).  The number of partitions follows the row count."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + df.count() // BUCKET_ROWS)
+    return stage(df.repartitionByRange(n, *order_cols).withColumn("_rb", F.spark_partition_id()), "ranged")
 
 
 def ordered_positions(df: DataFrame, order_cols: list[str], out: str = "pos", start: int = 1) -> DataFrame:
     """Exact position of every row in ``order_cols`` order without a
-    single-task sort: rows go to value-range buckets of the first order
-    column, a per-bucket count table (one row per bucket) gives offsets, and
-    rows are numbered inside their bucket."""
-    b = df.withColumn("_rb", range_bucket(df, order_cols[0]))
+    single-task sort: rows go to range partitions of the whole key, a table
+    with one count per partition gives offsets, and rows are numbered inside
+    their partition."""
+    b = _ranged(df, order_cols)
     counts = b.groupBy("_rb").agg(F.count(F.lit(1)).alias("_n"))
     w_cum = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_rb", F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
     w_row = Window.partitionBy("_rb").orderBy(*[F.col(c) for c in order_cols])
-    return (b.join(F.broadcast(offs), "_rb")  # one row per bucket
+    return (b.join(F.broadcast(offs), "_rb")  # one row per range partition: a proven bound
             .withColumn(out, (F.row_number().over(w_row) - 1 + F.col("_off") + start).cast("long"))
             .drop("_rb", "_off"))
 
@@ -194,14 +156,14 @@ def nearest_value(query_df: DataFrame, ref_df: DataFrame, col: str, out: str = "
     """F-10: for each query row the nearest ``ref_df[col]`` value; ties go
     to the larger value, values beyond the range clip to the ends.
 
-    A distributed as-of join in both directions: reference and query values
-    are put in value-range buckets; inside a bucket a running last/first
-    gives the neighbours, and neighbours in other buckets come from a
-    per-bucket (min, max) table of at most #buckets rows."""
-    ref = ref_df.select(F.col(col).alias("_v"), F.lit(1).alias("_is_ref")).distinct()
-    q = query_df.withColumn("_v", F.col(col)).withColumn("_is_ref", F.lit(0))
-    u = q.unionByName(ref, allowMissingColumns=True)
-    u = u.withColumn("_rb", range_bucket(ref, "_v"))
+    A distributed as-of join in both directions over *distinct* values (so a
+    value held by any number of rows is looked up once): values are range
+    partitioned, a running last value in each order gives the neighbours
+    inside a partition, and those in other partitions come from a table with
+    one (min, max) per partition.  Query rows then join their value."""
+    ref = ref_df.select(F.col(col).alias("_v")).where("_v IS NOT NULL").distinct().withColumn("_is_ref", F.lit(1))
+    ask = query_df.select(F.col(col).alias("_v")).where("_v IS NOT NULL").distinct().withColumn("_is_ref", F.lit(0))
+    u = _ranged(ask.unionByName(ref), ["_v"])
     rv = F.when(F.col("_is_ref") == 1, F.col("_v"))
     # both neighbours from running (growing) frames: an "unbounded
     # following" frame would be recomputed per row (quadratic)
@@ -217,10 +179,10 @@ def nearest_value(query_df: DataFrame, ref_df: DataFrame, col: str, out: str = "
         "_rb",
         F.max("_pmax").over(we.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_lo"),
         F.min("_pmin").over(we.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_hi"))
-    j = inside.where(F.col("_is_ref") == 0).join(F.broadcast(edges), "_rb")  # <= #buckets rows
+    j = inside.where(F.col("_is_ref") == 0).join(F.broadcast(edges), "_rb")  # one row per range partition
     lo = F.coalesce(F.col("_lo"), F.col("_carry_lo"))
     hi = F.coalesce(F.col("_hi"), F.col("_carry_hi"))
     v = F.col("_v")
-    pick = (F.when(hi.isNull(), lo).when(lo.isNull(), hi)
-            .when((v - lo) < (hi - v), lo).otherwise(hi))
-    return j.withColumn(out, pick).drop("_v", "_is_ref", "_rb", "_lo", "_hi", "_carry_lo", "_carry_hi")
+    pick = F.when(hi.isNull(), lo).when(lo.isNull(), hi).when((v - lo) < (hi - v), lo).otherwise(hi)
+    found = j.select("_v", pick.alias(out))
+    return query_df.join(found, query_df[col] == found["_v"], "left").drop("_v")

@@ -3,8 +3,8 @@ guaranteed split, membership filter.
 
 The split never sorts all rows in one task: the shuffle order is the keyed
 draw ``u(seed, 'shuffle', row_id)``; the first three rows of each class come
-from three ``min(struct(u, row_id))`` aggregations (partial aggregation, so a
-class holding a third of the data is still combined map-side), and the
+from three minima of (draw, row id) packed into one decimal (partial hash
+aggregation, so a class holding a third of the data is combined map-side), and the
 train/valid cut points among the remaining rows are found by exact bucketed
 selection (``kth_keys``).
 """
@@ -29,7 +29,7 @@ def head_limit(df: DataFrame, n: int | None, order_by: str = "row_id") -> DataFr
 
 
 def member_filter(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """U-04: ``isin`` as a left-semi join (size-checked broadcast)."""
+    """U-04: ``isin`` as a left-semi join."""
     return join_small(df, keys, on=on, how="left_semi")
 
 
@@ -59,27 +59,26 @@ def split_guaranteed(df: DataFrame, spec: FeatureSpec, train_ratio: float = 0.7,
     max(0, floor(N*va) - #occ1) to valid, the rest to test."""
     check_ratios(train_ratio, val_ratio)
     item, rid = spec.item, spec.row_id
-    # several passes read the input: materialise it once (reliable checkpoint)
+    # several passes read the input: materialise it once
     d = cut_lineage(df.withColumn("_u", uniform(seed, "shuffle", rid)))
-    s = F.struct(F.col("_u").alias("u"), F.col(rid).alias("k"))
-    tbl = d.select(item, s.alias("_s"))
+    # (draw, row id) as one number: a fixed-width minimum stays in hash aggregation
+    whole = lambda n: F.expr(f"CAST('{n}' AS DECIMAL(20,0))")
+    order = (F.floor(F.col("_u") * F.lit(float(2 ** 52))).cast("decimal(17,0)") * whole(2 ** 64)
+             + F.col(rid).cast("decimal(20,0)") + whole(2 ** 63)).cast("decimal(38,0)")
+    d = d.withColumn("_s", order)
+    tbl = d.select(item, "_s")
     t1 = tbl.groupBy(item).agg(F.min("_s").alias("_f1"))
-    n_classes = t1.count()
-    t2 = (join_small(tbl, t1, item, known_rows=n_classes).where(F.col("_s") > F.col("_f1"))
-          .groupBy(item).agg(F.min("_s").alias("_f2")))
-    t3 = (join_small(tbl, t2, item, known_rows=n_classes).where(F.col("_s") > F.col("_f2"))
-          .groupBy(item).agg(F.min("_s").alias("_f3")))
+    t2 = tbl.join(t1, item).where(F.col("_s") > F.col("_f1")).groupBy(item).agg(F.min("_s").alias("_f2"))
+    t3 = tbl.join(t2, item).where(F.col("_s") > F.col("_f2")).groupBy(item).agg(F.min("_s").alias("_f3"))
     marks = cut_lineage(t1.join(t2, item, "left").join(t3, item, "left"))
     tot = marks.agg(F.count(F.lit(1)).alias("n0"), F.count("_f2").alias("n1")).first()
     n_rows = d.count()
     need_train = max(0, int(n_rows * train_ratio) - tot["n0"])
     need_val = max(0, int(n_rows * val_ratio) - tot["n1"])
-    m = join_small(d, marks, item, how="left", known_rows=n_classes)
-    cc = (F.when(F.struct(F.col("_u").alias("u"), F.col(rid).alias("k")) == F.col("_f1"), 0)
-          .when(F.struct(F.col("_u").alias("u"), F.col(rid).alias("k")) == F.col("_f2"), 1)
-          .when(F.struct(F.col("_u").alias("u"), F.col(rid).alias("k")) == F.col("_f3"), 2)
-          .otherwise(3))
-    m = m.withColumn("_cc", cc).drop("_f1", "_f2", "_f3")
+    m = join_small(d, marks, item, how="left")
+    cc = (F.when(F.col("_s") == F.col("_f1"), 0).when(F.col("_s") == F.col("_f2"), 1)
+          .when(F.col("_s") == F.col("_f3"), 2).otherwise(3))
+    m = m.withColumn("_cc", cc).drop("_f1", "_f2", "_f3", "_s")
     rest = (m.where(F.col("_cc") == 3)
             .select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("_g"), "_u", rid))
     thr = kth_keys(rest, {"a": need_train, "b": need_train + need_val}, "_g", "_u", rid)

@@ -19,9 +19,9 @@ def suff_stats(df: DataFrame, xs: list[str], y: str | None = None) -> DataFrame:
     for i, a in enumerate(xs):
         aggs.append(F.sum(F.col(a).cast("double")).alias(f"sum_{a}"))
         if y is not None:
-            aggs.append(F.sum(F.col(a) * F.col(y).cast("double")).alias(f"xy_{a}"))
+            aggs.append(F.sum(F.col(a).cast("double") * F.col(y).cast("double")).alias(f"xy_{a}"))
         for b in xs[i:]:
-            aggs.append(F.sum(F.col(a) * F.col(b)).cast("double").alias(f"xx_{a}_{b}"))
+            aggs.append(F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"xx_{a}_{b}"))
     row = df.agg(*aggs)
     names = row.columns
     pairs = ", ".join(f"'{n}', `{n}`" for n in names)
@@ -64,15 +64,19 @@ def class_counts(df: DataFrame, item: str) -> DataFrame:
     return df.where(F.col(item).isNotNull()).groupBy(item).agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A-02: per column rows, max, min, nunique in one aggregation."""
+def column_profile(df: DataFrame, cols: list[str], distinct: list[str] | None = None) -> DataFrame:
+    """A-02: per column rows, max and min from one aggregation; the number of
+    distinct values (of ``distinct``, by default every column) from one
+    two-step aggregation per column over that column alone, so no row is
+    expanded for several distinct counts."""
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for c in cols:
-        aggs += [F.max(c).cast("double").alias(f"max_{c}"), F.min(c).cast("double").alias(f"min_{c}"),
-                 F.countDistinct(c).alias(f"nu_{c}")]
-    row = df.agg(*aggs)
-    parts = ", ".join(f"'{c}', n_rows, `max_{c}`, `min_{c}`, `nu_{c}`" for c in cols)
-    return row.selectExpr(f"stack({len(cols)}, {parts}) AS (col, n_rows, max, min, nunique)")
+        aggs += [F.max(c).cast("double").alias(f"max_{c}"), F.min(c).cast("double").alias(f"min_{c}")]
+    parts = ", ".join(f"'{c}', n_rows, `max_{c}`, `min_{c}`" for c in cols)
+    flat = df.agg(*aggs).selectExpr(f"stack({len(cols)}, {parts}) AS (col, n_rows, max, min)")
+    counts = [df.groupBy(c).agg(F.lit(1).alias("_one")).agg(F.count(c).alias("nunique")).select(F.lit(c).alias("col"), "nunique")
+              for c in (cols if distinct is None else distinct)]
+    return flat.join(F.broadcast(reduce(DataFrame.unionByName, counts)), "col", "left")  # one row per column
 
 
 def missing_pct(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -13,7 +13,16 @@ from lacuna.sources.raw import (AGE_MAP, CAR_YEAR_MAP, DRIVING_EXP_MAP, INVALID_
                                 RAW_SQL, SOURCE1_COLS, SOURCE2_COLS, raw_quotes, raw_sources)
 from lacuna.sources.tables import read_table, scan_renamed, table_path, union_sources
 
-TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+# Unicode white space, spelled out (the engine's own class is ASCII only)
+_WHITE = (r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+TRIM = "regexp_replace({x}, '^[" + _WHITE.replace("{", "{{").replace("}", "}}") + "]+|[" + _WHITE.replace("{", "{{").replace(
+    "}", "}}") + "]+$', '', 'g')"
+_NUMERAL = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def _number(x: str) -> str:
+    """Numerals as double, all else NULL ('nan' and '10d' count as missing)."""
+    return f"(CASE WHEN regexp_full_match({_trim(x)}, '{_NUMERAL}') THEN TRY_CAST({_trim(x)} AS DOUBLE) END)"
 
 
 def _trim(x: str) -> str:
@@ -32,17 +41,19 @@ def _occ_sql(x: str) -> str:
 
 
 def _caryear_sql(x: str, date: str) -> str:
-    v = f"TRY_CAST({sql_map(_trim(x), CAR_YEAR_MAP)} AS DOUBLE)"
+    v = _number(sql_map(_trim(x), CAR_YEAR_MAP))
     return f"(CASE WHEN year({date}) - {v} >= 0 THEN year({date}) - {v} END)"
 
 
 @query("scan_prune_rename", with_sql(RAW_SQL) + """
-SELECT row_id, "Age", "DrivingExp" AS "Driving exp", "Insurer", "CarYear" AS "Year of manufacturer"
-FROM raw WHERE "Coverage" = 'F'""")
+SELECT row_id, "Age", "DrivingExp" AS "Driving exp", "Insurer", "CarYear" AS "Year of manufacturer" FROM raw""")
 def q_scan_prune_rename(spark, sf):
-    """S-01..S-03: only the listed source columns, renamed."""
-    a, _ = raw_sources(spark, sf)
-    return a.select("row_id", "Age", "`Driving exp`", "Insurer", "`Year of manufacturer`")
+    """S-01..S-03: only the listed columns of both sources, under the names
+    of the first."""
+    a, b = raw_sources(spark, sf)
+    names = {"row_id": "row_id", "Age": "Age", "DE": "Driving exp", "Insur Co": "Insurer", "Man. Year": "Year of manufacturer"}
+    return union_sources([a.select("row_id", "Age", "`Driving exp`", "Insurer", "`Year of manufacturer`"),
+                          b.select(*[F.col(f"`{o}`").alias(n) for o, n in names.items()])])
 
 
 @query("union_sources", with_sql(RAW_SQL) + """
@@ -57,7 +68,7 @@ def q_union_sources(spark, sf):
 
 @query("clean_scalars", with_sql(RAW_SQL) + f"""
 SELECT row_id,
-  TRY_CAST({sql_map('"Age"', AGE_MAP)} AS DOUBLE) AS age,
+  {_number(sql_map('"Age"', AGE_MAP))} AS age,
   TRY_CAST(regexp_replace({sql_map('"DrivingExp"', DRIVING_EXP_MAP)}, '[^0-9]', '', 'g') AS DOUBLE) AS drive_exp,
   {_make_sql('"Make"')} AS make,
   {_caryear_sql('"CarYear"', '"Date"')} AS car_age
@@ -107,7 +118,7 @@ def q_composite_nullprop(spark, sf):
 @query("date_age", with_sql(RAW_SQL) + f"""
 , d AS (SELECT row_id, upper(strftime("Date", '%d-%b-%y')) AS ds, "CarYear" FROM raw)
 SELECT row_id, ds, CAST(strptime(ds, '%d-%b-%y') AS DATE) AS d,
-       year(CAST(strptime(ds, '%d-%b-%y') AS DATE)) - TRY_CAST({sql_map(_trim('"CarYear"'), CAR_YEAR_MAP)} AS DOUBLE)
+       year(CAST(strptime(ds, '%d-%b-%y') AS DATE)) - {_number(sql_map(_trim('"CarYear"'), CAR_YEAR_MAP))}
          AS age
 FROM d""")
 def q_date_age(spark, sf):
@@ -131,7 +142,7 @@ dd AS (SELECT min(row_id) AS row_id, "Age", "DrivingExp", "Occupation", "Coverag
        GROUP BY "Age", "DrivingExp", "Occupation", "Coverage", "Insurer", "NCD", "Date", "Make", "Car.year",
                 "Car.price"),
 c1 AS (SELECT row_id,
-         TRY_CAST({sql_map('"Age"', AGE_MAP)} AS DOUBLE) AS "Age",
+         {_number(sql_map('"Age"', AGE_MAP))} AS "Age",
          TRY_CAST(regexp_replace({sql_map('"DrivingExp"', DRIVING_EXP_MAP)}, '[^0-9]', '', 'g') AS DOUBLE)
            AS "DrivingExp",
          {_occ_sql('"Occupation"')} AS occ, "Coverage", "Insurer", "NCD", "Date", "Make", "Car.year", "Car.price"
@@ -171,11 +182,11 @@ def q_sort_by_date(spark, sf):
 @query("csv_roundtrip", with_sql(RAW_SQL) + """
 SELECT row_id, "Age", "Make" FROM raw""")
 def q_csv_roundtrip(spark, sf):
-    """S-02: write the raw quotes as CSV to the checkpoint folder and read
+    """S-02: write the raw quotes as CSV to the shared folder and read
     back only two columns with an explicit schema (no inference)."""
     import uuid
-    from lacuna.session import checkpoint_dir
-    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    from lacuna.session import shared_folder
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     (raw_quotes(spark, sf).select("row_id", "Age", "Make").write.option("header", "true")
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
     return scan_renamed(spark, path, {"row_id": "row_id", "Age": "Age", "Make": "Make"}, fmt="csv",

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lacuna.functions.draws import sql_uniform, uniform
-from lacuna.models.knn import KNNImputer, KNNRecommender
+from lacuna.models.knn import KNNRecommender
 from lacuna.models.nb import GaussianNB
 from lacuna.operators.impute import MeanImputer
 from lacuna.operators.ranking import proba_long
@@ -61,41 +61,56 @@ def q_knn_proba(spark, sf):
 
 _ACC, _PRES = _d2_sql("q", "d", FEATS, True)
 _P = len(FEATS)
-_KNN_IMP_SQL = with_sql(PLANTED_NULLS_SQL := (PLANTED_SQL + ",\n" + sql_mask_random(
-    "planted", SPEC, NULL_RATIO, 7, "pnull")), O.split_sql("pnull")) + f"""
-, q AS (SELECT * FROM split WHERE split = 'test'),
+PLANTED_NULLS_SQL = PLANTED_SQL + ",\n" + sql_mask_random("planted", SPEC, NULL_RATIO, 7, "pnull")
+
+
+def _rounded(c: str, x: str) -> str:
+    """Codes are rounded half to even after imputation, the rest to 6 places."""
+    return f"round_even({x}, 0)" if c in SPEC.sparse else f"round({x}, 6)"
+
+
+_KNN_IMP_SQL = with_sql(PLANTED_NULLS_SQL, O.split_sql("pnull")) + f"""
+, q AS (SELECT * FROM split WHERE {' OR '.join(f'{c} IS NULL' for c in FEATS)}),
 d AS (SELECT * FROM split WHERE split = 'train'),
 pr AS (SELECT q.row_id AS qid, d.row_id AS did,
               CASE WHEN ({_PRES}) > 0 THEN (CAST({_P} AS DOUBLE) / ({_PRES})) * ({_ACC}) END AS d2,
-              {', '.join(f'd.{c} AS v_{c}' for c in FEATS)}
-       FROM q, d WHERE {' OR '.join(f'q.{c} IS NULL' for c in FEATS)}),
-""" + ",\n".join(
-    f"f_{c} AS (SELECT qid, avg(v_{c}) AS f FROM (SELECT qid, v_{c}, row_number() OVER (PARTITION BY qid ORDER BY d2,"
-    f" did) AS rn FROM pr WHERE v_{c} IS NOT NULL AND d2 IS NOT NULL) WHERE rn <= 5 GROUP BY qid)" for c in FEATS) + f""",
+              {', '.join(f'd.{c} AS v_{c}' for c in FEATS)} FROM q, d),
+f AS (SELECT qid, {', '.join(
+    f"list_avg(list_transform(min(row(d2, did, CAST(v_{c} AS DOUBLE)), 5) FILTER (WHERE v_{c} IS NOT NULL AND d2 IS NOT NULL), "
+    f"lambda x: x[3])) AS f_{c}" for c in FEATS)}
+      FROM pr GROUP BY qid),
 m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in FEATS)} FROM d)
-SELECT q.row_id, {', '.join(f'round(coalesce(CAST(q.{c} AS DOUBLE), f_{c}.f, m_{c}), 6) AS {c}' for c in FEATS)}
-FROM q {' '.join(f'LEFT JOIN f_{c} ON f_{c}.qid = q.row_id' for c in FEATS)} CROSS JOIN m"""
+SELECT s.row_id, s.split, {', '.join(_rounded(c, f'coalesce(CAST(s.{c} AS DOUBLE), f_{c}, m_{c})') + f' AS {c}' for c in FEATS)}
+FROM split s LEFT JOIN f ON f.qid = s.row_id CROSS JOIN m"""
+
+
+def _named(df, *keys):
+    return df.select(*keys, *[(F.col(c) if c in SPEC.sparse else r6(F.col(c))).alias(c) for c in FEATS])
+
+
+def _imputed(spark, sf, name: str, rounds: int = 10):
+    """I-10: an imputer fitted on train fills train, valid and test."""
+    from lacuna.operators.mice import imputer
+    s = planted_split(spark, sf, nulls=True)
+    imp = imputer(name, FEATS, codes=tuple(SPEC.sparse), rounds=rounds)
+    imp.fit(s.where(F.col("split") == "train").select("row_id", *FEATS))
+    return _named(imp.transform(s.select("row_id", "split", *FEATS)), "row_id", "split")
 
 
 @query("impute_knn", _KNN_IMP_SQL)
 def q_impute_knn(spark, sf):
-    """I-05 + I-10: fit on train, fill the test split; mean of the 5 nearest
-    donors having the column (nan-Euclidean), else the train mean."""
-    s = planted_split(spark, sf, nulls=True)
-    imp = KNNImputer(FEATS, 5).fit(s.where(F.col("split") == "train"))
-    out = imp.transform(s.where(F.col("split") == "test").select("row_id", *FEATS))
-    return out.select("row_id", *[r6(F.col(c)).alias(c) for c in FEATS])
+    """I-05 + I-10: mean of the 5 nearest train donors having the column
+    (nan-Euclidean), else the train mean; every split is filled."""
+    return _imputed(spark, sf, "knn")
 
 
 @query("impute_mean", with_sql(PLANTED_NULLS_SQL, O.split_sql("pnull")) + f"""
 , m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in FEATS)} FROM split WHERE split = 'train')
-SELECT row_id, split, {', '.join(f'round(coalesce(CAST({c} AS DOUBLE), m_{c}), 6) AS {c}' for c in FEATS)}
+SELECT row_id, split, {', '.join(_rounded(c, f'coalesce(CAST({c} AS DOUBLE), m_{c})') + f' AS {c}' for c in FEATS)}
 FROM split, m""")
 def q_impute_mean(spark, sf):
     """I-12 + I-10: train means fill every split."""
-    s = planted_split(spark, sf, nulls=True)
-    imp = MeanImputer(FEATS).fit(s.where(F.col("split") == "train"))
-    return imp.transform(s).select("row_id", "split", *[r6(F.col(c)).alias(c) for c in FEATS])
+    return _imputed(spark, sf, "mean")
 
 
 @query("class_weights", with_sql(*_PSPLIT) + """
@@ -201,23 +216,48 @@ def q_rec_gbt(spark, sf):
 
 @query("impute_mice_bayes")
 def q_impute_mice(spark, sf):
-    """I-01 + I-10: chained Bayesian-ridge posterior draws (10 rounds),
-    fitted on train, replayed on the test split (rows-only check; the
-    sufficient statistics it consumes are oracle-checked in ``moments``)."""
-    from lacuna.operators.mice import MiceImputer
-    s = planted_split(spark, sf, nulls=True)
-    imp = MiceImputer(FEATS, rounds=10, seed=42).fit(s.where(F.col("split") == "train").select("row_id", *FEATS))
-    out = imp.transform(s.where(F.col("split") == "test").select("row_id", *FEATS))
-    return out.select("row_id", *[r6(F.col(c)).alias(c) for c in FEATS])
+    """I-01 + I-10: chained Bayesian-ridge posterior draws, 10 rounds, fitted
+    on train, replayed on every split (rows-only check; the chain is tested
+    against NumPy)."""
+    return _imputed(spark, sf, "mice_bayes")
+
+
+@query("impute_mice_forest")
+def q_impute_forest(spark, sf):
+    """I-02 + I-10: chained random forests."""
+    return _imputed(spark, sf, "mice_forest")
+
+
+@query("impute_mice_boosted")
+def q_impute_boosted(spark, sf):
+    """I-06, I-07 + I-10: chained boosted trees."""
+    return _imputed(spark, sf, "mice_boosted")
 
 
 @query("impute_views")
 def q_impute_views(spark, sf):
-    """I-11: M = 3 seeded completions of train (view 0 also completes the
-    test split), long form with a view column."""
+    """I-11: M = 3 seeded completions of train over 10 rounds (view 0 also
+    completes valid and test), long form with a view column."""
     from lacuna.operators.mice import completions
     s = planted_split(spark, sf, nulls=True)
-    frames = {"train": s.where(F.col("split") == "train").select("row_id", *FEATS),
-              "test": s.where(F.col("split") == "test").select("row_id", *FEATS)}
-    c = completions(frames["train"], frames, FEATS, m=3, seed=42, rounds=3)
-    return c.select("row_id", "view", "split", *[r6(F.col(c_)).alias(c_) for c_ in FEATS])
+    frames = {n: s.where(F.col("split") == n).select("row_id", *FEATS) for n in ("train", "valid", "test")}
+    c = completions(frames["train"], frames, FEATS, m=3, seed=42, rounds=10, codes=tuple(SPEC.sparse))
+    return _named(c, "row_id", "view", "split")
+
+
+_STEP_SQL = with_sql(PLANTED_NULLS_SQL) + """
+, o AS (SELECT CAST(price AS DOUBLE) AS x, CAST(premium AS DOUBLE) AS y FROM pnull WHERE price IS NOT NULL AND premium IS NOT NULL)
+SELECT count(*) AS n, round(regr_slope(y, x), 4) AS slope FROM o"""
+
+
+@query("ridge_step", _STEP_SQL)
+def q_ridge_step(spark, sf):
+    """I-01: one Bayesian-ridge conditional (premium from price) by
+    sufficient statistics; with one strong predictor the evidence leaves the
+    least-squares slope."""
+    from lacuna.operators.mice import bayesian_ridge
+    from lacuna.operators.stats import gram
+    d = policy_nulls(spark, sf, planted=True)
+    st = gram(d, ["price"], "premium")
+    return d.where("price IS NOT NULL AND premium IS NOT NULL").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "slope", F.round(F.lit(float(bayesian_ridge(st)[0][0])), 4))

@@ -155,11 +155,12 @@ def q_miss_noop(spark, sf):
 
 # ---------------------------------------------------------------- P-01, P-03, P-19, I-12
 
-@query("complete_cases", with_sql(NULLS_SQL) + """
-SELECT row_id, seg, price, product_item FROM pnull WHERE seg IS NOT NULL AND price IS NOT NULL""")
+@query("complete_cases", with_sql(NULLS_SQL) + f"""
+SELECT row_id, {', '.join(FEATS)}, product_item FROM pnull
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FEATS + ['product_item'])}""")
 def q_complete_cases(spark, sf):
-    """P-01 + P-03: project, then drop rows with any NULL."""
-    return policy_nulls(spark, sf).select("row_id", "seg", "price", "product_item").na.drop("any")
+    """P-01 + P-03: drop rows with any NULL among all features."""
+    return policy_nulls(spark, sf).select("row_id", *FEATS, "product_item").na.drop("any")
 
 
 @query("round_codes", with_sql(NULLS_SQL) + """
@@ -222,29 +223,40 @@ def q_zscore(spark, sf):
     return s.select("row_id", *[r6(z.expr(c)).alias(c) for c in ("price", "bal", "age")])
 
 
-@query("minmax", with_sql(NULLS_SQL) + """
-, m AS (SELECT min(coalesce(price, 0)) lo, max(coalesce(price, 0)) hi FROM pnull)
-SELECT row_id, round((price - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) AS price01,
-       round(((price - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END) * CASE WHEN hi = lo THEN 1 ELSE hi - lo END
-             + lo, 4) AS price_back
-FROM pnull, m""")
-def q_minmax(spark, sf):
-    """F-06: min-max with NULL read as 0 at fit time, and its inverse."""
-    d = policy_nulls(spark, sf)
-    mm = MinMax.fit(d, ["price"], null_as_zero=True)
-    s = mm.expr("price")
-    return d.select("row_id", r6(s).alias("price01"), F.round(mm.inverse("price", s), 4).alias("price_back"))
+_DENSE = POLICY_SPEC.dense
 
 
-@query("mean_fill_scale", with_sql(NULLS_SQL) + """
-, m AS (SELECT avg(bal) mb, stddev_pop(bal) sb FROM pnull)
-SELECT row_id, round(coalesce((bal - mb) / CASE WHEN sb = 0 OR sb IS NULL THEN 1 ELSE sb END, 0.0), 6) AS bal_z
-FROM pnull, m""")
+@query("minmax", with_sql(NULLS_SQL) + ", m AS (SELECT " + ", ".join(
+    f"CAST(min(coalesce({c}, 0)) AS DOUBLE) AS lo_{c}, CAST(max(coalesce({c}, 0)) AS DOUBLE) AS hi_{c}" for c in _DENSE)
+    + " FROM pnull),\nr AS (SELECT pnull.*, " + ", ".join(
+    f"lo_{c}, CASE WHEN hi_{c} = lo_{c} THEN 1 ELSE hi_{c} - lo_{c} END AS rg_{c}" for c in _DENSE)
+    + " FROM pnull, m)\nSELECT row_id, " + ", ".join(
+    f"round(({c} - lo_{c}) / rg_{c}, 6) AS {c}01, round((({c} - lo_{c}) / rg_{c}) * rg_{c} + lo_{c}, 4) AS {c}_back"
+    for c in _DENSE) + " FROM r")
+def q_minmax(spark, sf):
+    """F-06: min-max of every dense column with NULL read as 0 at fit time,
+    and its inverse."""
+    d = policy_nulls(spark, sf)
+    mm = MinMax.fit(d, list(_DENSE), null_as_zero=True)
+    cols = []
+    for c in _DENSE:
+        s = mm.expr(c)
+        cols += [r6(s).alias(f"{c}01"), F.round(mm.inverse(c, s), 4).alias(f"{c}_back")]
+    return d.select("row_id", *cols)
+
+
+@query("mean_fill_scale", with_sql(NULLS_SQL) + ", a AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}" for c in _DENSE) + " FROM pnull),\nf AS (SELECT row_id, " + ", ".join(
+    f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}, m_{c}" for c in _DENSE) + " FROM pnull, a),\nd AS (SELECT " + ", ".join(
+    f"stddev_pop({c}) AS s_{c}" for c in _DENSE) + " FROM f)\nSELECT row_id, " + ", ".join(
+    f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1 ELSE s_{c} END, 6) AS {c}_z" for c in _DENSE)
+    + " FROM f, d")
 def q_mean_fill_scale(spark, sf):
-    """F-07: mean-fill + z-score -> missing reads 0."""
+    """F-07 over every dense column: mean-fill, then z-score with the filled
+    column's deviation -> missing reads 0."""
     d = policy_nulls(spark, sf)
-    m = MeanFillScale.fit(d, ["bal"])
-    return d.select("row_id", r6(m.expr("bal")).alias("bal_z"))
+    m = MeanFillScale.fit(d, list(_DENSE))
+    return d.select("row_id", *[r6(m.expr(c)).alias(f"{c}_z") for c in _DENSE])
 
 
 @query("missing_mask", with_sql(NULLS_SQL) + """
@@ -256,15 +268,15 @@ def q_missing_mask(spark, sf):
     return policy_nulls(spark, sf).select("row_id", missing_mask(FEATS).alias("mask"))
 
 
-@query("uniform_bins", with_sql(NULLS_SQL) + """
-, m AS (SELECT min(price) lo, max(price) hi FROM pnull)
-SELECT row_id, CAST(greatest(0, least(4, floor((price - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 5)))
-  AS BIGINT) AS price_bin FROM pnull, m""")
+@query("uniform_bins", with_sql(NULLS_SQL) + ", m AS (SELECT " + ", ".join(
+    f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in _DENSE) + " FROM pnull)\nSELECT row_id, " + ", ".join(
+    f"CAST(greatest(0, least(4, floor(({c} - lo_{c}) / CASE WHEN hi_{c} = lo_{c} THEN 1 ELSE hi_{c} - lo_{c} END * 5))) "
+    f"AS BIGINT) AS {c}_bin" for c in _DENSE) + " FROM pnull, m")
 def q_uniform_bins(spark, sf):
-    """F-09: 5 equal-width bins (NULL stays NULL)."""
+    """F-09: 5 equal-width bins of every dense column (NULL stays NULL)."""
     d = policy_nulls(spark, sf)
-    b = UniformBins.fit(d, ["price"], 5)
-    return d.select("row_id", b.expr("price").alias("price_bin"))
+    b = UniformBins.fit(d, list(_DENSE), 5)
+    return d.select("row_id", *[b.expr(c).alias(f"{c}_bin") for c in _DENSE])
 
 
 @query("snap_nearest", with_sql(*_SPLIT_NULL) + """

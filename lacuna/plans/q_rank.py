@@ -181,11 +181,11 @@ def q_result_sink(spark, sf):
     """S-06/S-07: per-experiment results written partitioned by experiment
     (written twice: the second write replaces, never duplicates), read back."""
     import uuid
-    from lacuna.session import checkpoint_dir
+    from lacuna.session import shared_folder
     from lacuna.sources.io import read_results, write_results
     res = (stand_in_log(spark, sf).groupBy(F.col("dataset").alias("experiment"), "model", "metric")
            .agg(r6(F.avg("score")).alias("score")))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
     write_results(res, path)
     write_results(res, path)
     return read_results(spark, path).select("experiment", "model", "metric", "score")

@@ -42,7 +42,7 @@ def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_acctbal").alias("bal"),
         (F.lit(2002) - F.year("o_orderdate")).cast("long").alias("age"),
         F.concat_ws("|", "o_orderpriority", "o_orderstatus").alias("product_item"))
-    j = cut_lineage(j)  # dictionary fits and the final projection read it
+    # each fit reads its own column only; nothing is staged but the dictionaries
     j = factorize(j, "seg")
     j = factorize(j, "product_item")
     return j.select("row_id", "seg", "nation", "region", "price", "bal", "age", "product_item")

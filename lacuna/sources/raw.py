@@ -35,16 +35,16 @@ CLEAN_COLS = ["Age", "DrivingExp", "Occupation", "Coverage", "Insurer", "NCD", "
 # (upper bound of the draw band, value) per raw column; the last band's value
 # is an expression over the real row.
 _BANDS = {
-    "Age": [(0.03, "'70歲以上'"), (0.06, "'70+'"), (None, "CAST(18 + CAST(floor({v} * 50) AS BIGINT) AS STRING)")],
+    "Age": [(0.03, "'70歲以上'"), (0.06, "'70+'"), (0.07, "'nan'"), (0.08, "'10d'"), (0.09, "' 1e2 '"), (None, "CAST(18 + CAST(floor({v} * 50) AS BIGINT) AS STRING)")],
     "DrivingExp": [(0.08, "'多於 10 年'"), (0.10, "'暫准駕駛執照 ( P牌 ）'"), (0.12, "'+10 years'"),
                    (0.13, "'Option One'"), (0.14, "'>'"),
                    (None, "concat(CAST(CAST(floor({v} * 10) AS BIGINT) AS STRING), ' years')")],
     "Occupation": [(0.16, "'clekr'"), (0.17, "'Option One'"),
-                   (0.30, "concat(lower(c_mktsegment), ' 文員|', n_name)"),
+                   (0.28, "concat(lower(c_mktsegment), ' 文員|', n_name)"), (0.30, "'\u3000文員\u3000'"),
                    (None, "concat('  ', c_mktsegment, ' ')")],
     "Make": [(0.32, "'---------------'"), (0.33, "'nan'"), (0.35, "concat(chr(65279), lower(n_name))"),
              (0.36, "'mitsubishi fuso'"), (None, "concat(' ', n_name, ' ')")],
-    "CarYear": [(0.38, "'1980 或之前'"), (0.39, "'VOXY'"), (0.40, "'MODEL S'"),
+    "CarYear": [(0.38, "'1980 或之前'"), (0.39, "'VOXY'"), (0.40, "'MODEL S'"), (0.41, "'nan'"),
                 (None, "CAST(1985 + CAST(floor({v} * 20) AS BIGINT) AS STRING)")],
 }
 

@@ -37,17 +37,14 @@ def spec_from_metadata(meta: dict | str | Path, item: str = "product_item",
     ignored; metadata order is kept."""
     if not isinstance(meta, dict):
         meta = json.loads(Path(meta).read_text())
-    cols = meta["tables"]["table"]["columns"]
-    sparse, dense = [], []
-    for name, info in cols.items():
-        if name == item:
-            continue
-        kind = info.get("sdtype")
-        if kind == "categorical":
-            sparse.append(name)
-        elif kind == "numerical":
-            dense.append(name)
-    return FeatureSpec(item=item, sparse=tuple(sparse), dense=tuple(dense), row_id=row_id)
+    declared = meta["tables"]["table"]["columns"]
+    role = {"categorical": "sparse", "numerical": "dense"}
+    found: dict[str, list[str]] = {"sparse": [], "dense": []}
+    for column in (c for c in declared if c != item):
+        part = role.get(declared[column].get("sdtype"))
+        if part is not None:
+            found[part].append(column)
+    return FeatureSpec(item=item, row_id=row_id, **{k: tuple(v) for k, v in found.items()})
 
 
 def metadata_schema(meta: dict, item: str = "product_item"):
@@ -88,8 +85,9 @@ def pick_params(defaults: dict, overrides: dict, allowed: list[str]) -> dict:
 
 def check_ratios(train_ratio: float, val_ratio: float) -> None:
     """P-20: the two split fractions must leave room for a test split."""
-    if not (0 < train_ratio + val_ratio < 1):
-        raise ValueError("The sum of train_ratio and val_ratio must be between 0 and 1.")
+    left = 1 - train_ratio - val_ratio
+    if left <= 0 or left >= 1:
+        raise ValueError(f"train {train_ratio} and valid {val_ratio} leave {left:g} for the test split")
 
 
 def check_choice(kind: str, name: str, allowed) -> None:
