@@ -24,6 +24,18 @@ class KNNRecommender(Recommender):
         self.is_trained = True
         return self
 
+    def state(self) -> dict:
+        return {"neighbors": self.k_neighbors}
+
+    def restore(self, state: dict) -> None:
+        self.k_neighbors = state["neighbors"]
+
+    def save_parts(self, path: str) -> None:
+        self.train.write.mode("overwrite").parquet(f"{path}/donors")
+
+    def load_parts(self, spark, path: str) -> None:
+        self.train = spark.read.parquet(f"{path}/donors")
+
     def _zcols(self, df):
         return df.select(self.spec.row_id, *[self.fcol(c).alias(c) for c in self.spec.features])
 

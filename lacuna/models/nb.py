@@ -42,6 +42,12 @@ class GaussianNB(Recommender):
         self.is_trained = True
         return self
 
+    def state(self) -> dict:
+        return {"classes": self.classes, "prior": self.prior, "theta": self.theta, "var": self.var}
+
+    def restore(self, state: dict) -> None:
+        self.classes, self.prior, self.theta, self.var = (state[x] for x in ("classes", "prior", "theta", "var"))
+
     def proba(self, df: DataFrame) -> DataFrame:
         self._check()
         k = self.n_classes

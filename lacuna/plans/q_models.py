@@ -3,12 +3,14 @@ M-21, M-22, I-05, I-10, I-12)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from lacuna.functions.draws import sql_uniform, uniform
 from lacuna.models.knn import KNNRecommender
 from lacuna.models.nb import GaussianNB
-from lacuna.operators.impute import MeanImputer
+from lacuna.models.registry import recommender
+from lacuna.operators import metrics as M
 from lacuna.operators.ranking import proba_long
 from lacuna.operators.sample import split_guaranteed
 from lacuna.plans import oracle as O
@@ -123,67 +125,66 @@ def q_class_weights(spark, sf):
     return balanced_weights(s, "product_item").select("product_item", "n", r6(F.col("weight")).alias("weight"))
 
 
-# ---- ensembles: three NB members on keyed 80 % bags of the planted table
-_BAG_SEEDS = (1, 2, 3)
+# ---- ensembles: members differ by imputer and see all rows
+_MEMBERS = ("mean", "knn")
+
+
+def _member_ctes():
+    """The split with missing cells, filled by each member's imputer."""
+    keep = "row_id, split, product_item, "
+    mean = ", ".join(_rounded(c, f"coalesce(CAST(s.{c} AS DOUBLE), m_{c})") + f" AS {c}" for c in FEATS)
+    knn = ", ".join(_rounded(c, f"coalesce(CAST(s.{c} AS DOUBLE), f_{c}, m_{c})") + f" AS {c}" for c in FEATS)
+    body = _KNN_IMP_SQL[len("WITH "):_KNN_IMP_SQL.rindex("SELECT s.row_id")].rstrip()
+    return [body, f"filled_mean AS (SELECT s.{keep}{mean} FROM split s CROSS JOIN m)",
+            f"filled_knn AS (SELECT s.{keep}{knn} FROM split s LEFT JOIN f ON f.qid = s.row_id CROSS JOIN m)"]
+
 
+def _ensemble_sql():
+    ctes = _member_ctes()
+    for x in _MEMBERS:
+        ctes += [O.zscore_sql(f"filled_{x}", SPEC, name=f"z_{x}"), O.nb_proba_sql(f"z_{x}", SPEC, name=f"nb_{x}")]
+    return with_sql(*ctes) + "\nSELECT row_id, cid AS class_id, round(avg(p), 6) AS proba FROM (" + " UNION ALL ".join(
+        f"SELECT row_id, cid, p FROM nb_{x}" for x in _MEMBERS) + ") GROUP BY row_id, cid"
 
-def _bag_sql():
-    us = ", ".join(f"{sql_uniform(s, 'bag', 'row_id')} AS _u{s}" for s in _BAG_SEEDS)
-    ctes = [PLANTED_SQL, f"pu AS (SELECT *, {us} FROM planted)"]
-    for s in _BAG_SEEDS:
-        ctes.append(O.zscore_sql("pu", SPEC, name=f"z{s}", fit_where=f"_u{s} < 0.8"))
-        ctes.append(O.nb_proba_sql(f"z{s}", SPEC, name=f"nbp{s}", fit_where=f"_u{s} < 0.8", score_where="TRUE"))
-    return ctes
+
+def _filled_by(spark, sf):
+    from lacuna.operators.mice import imputer
+    s = planted_split(spark, sf, nulls=True)
+    out = {}
+    for x in _MEMBERS:
+        imp = imputer(x, FEATS, codes=tuple(SPEC.sparse)).fit(s.where("split = 'train'").select("row_id", *FEATS))
+        out[x] = cut_lineage(imp.transform(s.select("row_id", "split", "product_item", *FEATS)))
+    return out
 
 
-@query("ensemble_average", with_sql(*_bag_sql()) + "\nSELECT row_id, cid AS class_id, round(avg(p), 6) AS proba FROM ("
-       + " UNION ALL ".join(f"SELECT row_id, cid, p FROM nbp{s}" for s in _BAG_SEEDS)
-       + ") GROUP BY row_id, cid")
+@query("ensemble_average", _ensemble_sql())
 def q_ensemble(spark, sf):
-    """M-21: M members (seed s+i) -> union of long probabilities ->
-    groupBy(row, class).avg."""
-    d = cut_lineage(policy_planted(spark, sf))
+    """M-21: members with an imputer of their own, fitted on all train rows;
+    their long probabilities are averaged by (row, class)."""
     longs = []
-    for s in _BAG_SEEDS:
-        m = GaussianNB(SPEC).fit(d.where(uniform(s, "bag", "row_id") < 0.8))
-        longs.append(proba_long(m.proba(d)))
-    u = longs[0]
-    for x in longs[1:]:
-        u = u.unionByName(x)
+    for filled in _filled_by(spark, sf).values():
+        m = GaussianNB(SPEC).fit(filled.where("split = 'train'"))
+        longs.append(proba_long(m.proba(filled.where("split = 'test'"))))
+    u = reduce(lambda a, b: a.unionByName(b), longs)
     return u.groupBy("row_id", "class_id").agg(r6(F.avg("proba")).alias("proba"))
 
 
 def _augment_sql():
-    ctes = [PLANTED_SQL]
-    views = []
-    for s in _BAG_SEEDS:
-        ctes.append(sql_mask_random("planted", SPEC, NULL_RATIO, 100 + s, f"m{s}"))
-        fill = ", ".join(f"coalesce(CAST({c} AS DOUBLE), avg({c}) OVER ()) AS {c}" for c in FEATS)
-        ctes.append(f"f{s} AS (SELECT row_id, {fill}, product_item FROM m{s})")
-        views.append(f"SELECT *, 'train' AS split FROM f{s}")
-    views.append("SELECT row_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATS)
-                 + ", product_item, 'score' AS split FROM planted")
-    ctes.append("aug AS (" + " UNION ALL ".join(views) + ")")
-    ctes.append(O.zscore_sql("aug", SPEC))
-    ctes.append(O.nb_proba_sql("z", SPEC, score_where="split = 'score'"))
-    return with_sql(*ctes) + "\nSELECT row_id, cid AS class_id, round(p, 6) AS proba FROM nbp"
+    both = " UNION ALL ".join(f"SELECT * FROM filled_{x} WHERE split = 'train'" for x in _MEMBERS)
+    ctes = _member_ctes() + [f"aug AS ({both} UNION ALL SELECT * FROM filled_mean WHERE split = 'test')",
+                             O.zscore_sql("aug", SPEC), O.nb_proba_sql("z", SPEC)]
+    return with_sql(*ctes) + "\nSELECT row_id, cid AS class_id, round(p, 4) AS proba FROM nbp"
 
 
 @query("augment_union", _augment_sql())
 def q_augment(spark, sf):
-    """M-22: M completions (mask seed 100+i, mean fill) stacked as training
-    rows of one model; scored on the complete table."""
-    from lacuna.operators.missing import inject_missing
-    base = cut_lineage(policy_planted(spark, sf))
-    views = []
-    for s in _BAG_SEEDS:
-        v = inject_missing(base, SPEC, NULL_RATIO, 100 + s, "random")
-        views.append(MeanImputer(FEATS).fit(v).transform(v))
-    aug = views[0]
-    for v in views[1:]:
-        aug = aug.unionByName(v)
-    m = GaussianNB(SPEC).fit(cut_lineage(aug))
-    return proba_long(m.proba(base)).select("row_id", "class_id", r6(F.col("proba")).alias("proba"))
+    """M-22: the completions of one train table stacked as training rows of
+    one model; test rows are filled by the first imputer."""
+    filled = _filled_by(spark, sf)
+    train = reduce(lambda a, b: a.unionByName(b), [f.where("split = 'train'") for f in filled.values()])
+    m = GaussianNB(SPEC).fit(cut_lineage(train))
+    return proba_long(m.proba(filled[_MEMBERS[0]].where("split = 'test'"))).select(
+        "row_id", "class_id", F.round("proba", 4).alias("proba"))
 
 
 def _fit_score(spark, sf, model):
@@ -195,23 +196,70 @@ def _fit_score(spark, sf, model):
 
 @query("rec_lr")
 def q_rec_lr(spark, sf):
-    """M-02 multinomial LR with balanced weights (rows-only check)."""
-    from lacuna.models.linear import LogisticRecommender
-    return _fit_score(spark, sf, LogisticRecommender(SPEC, max_iter=100))
+    """M-02 multinomial LR with balanced weights and its default 1000
+    iterations at most (rows-only check; tested against the class prior)."""
+    return _fit_score(spark, sf, recommender("LR", SPEC))
 
 
 @query("rec_rf")
 def q_rec_rf(spark, sf):
-    """M-06 random forest, tuned depth 8."""
-    from lacuna.models.trees import ForestRecommender
-    return _fit_score(spark, sf, ForestRecommender(SPEC, n_estimators=20, max_depth=8))
+    """M-06 random forest of 100 trees, depth 8."""
+    return _fit_score(spark, sf, recommender("RF", SPEC, n_estimators=100, max_depth=8))
 
 
 @query("rec_gbt")
 def q_rec_gbt(spark, sf):
-    """M-07..M-09 one-vs-rest boosted trees (preset: 20 rounds, depth 5)."""
-    from lacuna.models.trees import BoostedRecommender
-    return _fit_score(spark, sf, BoostedRecommender(SPEC, n_estimators=20, max_depth=5))
+    """M-07 one-vs-rest boosted trees (20 rounds of depth 5)."""
+    return _fit_score(spark, sf, recommender("XGB", SPEC, n_estimators=20, max_depth=5, learning_rate=0.1))
+
+
+@query("rec_lgbm")
+def q_rec_lgbm(spark, sf):
+    """M-08 (20 rounds)."""
+    return _fit_score(spark, sf, recommender("LGBM", SPEC, n_estimators=20))
+
+
+@query("rec_catb")
+def q_rec_catb(spark, sf):
+    """M-09 with nominal sparse features (20 rounds of depth 3)."""
+    return _fit_score(spark, sf, recommender("CatB", SPEC, n_estimators=20, max_depth=3, learning_rate=0.1))
+
+
+@query("rec_bn")
+def q_rec_bn(spark, sf):
+    """M-05 tree-augmented Bayes net over binned features."""
+    return _fit_score(spark, sf, recommender("BN", SPEC))
+
+
+@query("bn_cmi", with_sql(*_PSPLIT) + """
+, b AS (SELECT product_item AS y, seg AS a, region AS r FROM split WHERE split = 'train'),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM b),
+j AS (SELECT y, a, r, count(*) AS c FROM b GROUP BY y, a, r),
+py AS (SELECT y, count(*) AS c FROM b GROUP BY y),
+pa AS (SELECT y, a, count(*) AS c FROM b GROUP BY y, a),
+pr AS (SELECT y, r, count(*) AS c FROM b GROUP BY y, r)
+SELECT round(sum(j.c / n * ln(CAST(j.c AS DOUBLE) * py.c / (CAST(pa.c AS DOUBLE) * pr.c))), 6) AS cmi
+FROM j JOIN py USING (y) JOIN pa USING (y, a) JOIN pr USING (y, r), n""")
+def q_bn_cmi(spark, sf):
+    """M-05: conditional mutual information of segment and region."""
+    from lacuna.models.bayes import mutual_information
+    m = recommender("BN", SPEC).fit(planted_split(spark, sf).where("split = 'train'"))
+    i, j = SPEC.features.index("seg"), SPEC.features.index("region")
+    return spark.range(1).select(F.round(F.lit(mutual_information(m.tables[i, j])), 6).alias("cmi"))
+
+
+@query("model_roundtrip", with_sql(*_PSPLIT, O.zscore_sql("split", SPEC), O.nb_proba_sql("z", SPEC)) + """
+SELECT row_id, cid AS class_id, round(p, 6) AS proba FROM nbp""")
+def q_model_roundtrip(spark, sf):
+    """S-08: a fitted model written, read back and scored."""
+    import uuid
+    from lacuna.models.registry import load_model, save_model
+    from lacuna.session import shared_folder
+    s = planted_split(spark, sf)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    save_model(recommender("NB", SPEC).fit(s.where("split = 'train'")), spark, path)
+    p = load_model(spark, path).proba(s.where("split = 'test'"))
+    return proba_long(p).select("row_id", "class_id", r6(F.col("proba")).alias("proba"))
 
 
 @query("impute_mice_bayes")
@@ -261,3 +309,83 @@ def q_ridge_step(spark, sf):
     st = gram(d, ["price"], "premium")
     return d.where("price IS NOT NULL AND premium IS NOT NULL").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "slope", F.round(F.lit(float(bayesian_ridge(st)[0][0])), 4))
+
+
+# ---- X-01, X-02, X-04: runs over the planted table
+
+def _run_sql(ratio: float, seed: int, name: str, only_train: bool) -> tuple[list, str]:
+    """CTEs and metric rows of one NB run with the mean imputer."""
+    parts, ctes = [], []
+    for part in ("train", "valid", "test"):
+        src = f"{name}_{part}0"
+        ctes.append(f"{src} AS (SELECT * FROM split WHERE split = '{part}')")
+        if only_train and part != "train":
+            parts.append(f"SELECT row_id, split, product_item, {', '.join(FEATS)} FROM {src}")
+            continue
+        masked = sql_mask_random(src, SPEC, ratio, seed, f"{name}_{part}")
+        ctes.append(masked)
+        parts.append(f"SELECT row_id, '{part}' AS split, product_item, {', '.join(FEATS)} FROM {name}_{part}")
+    ctes.append(f"{name}_all AS ({' UNION ALL '.join(parts)})")
+    ctes.append(f"{name}_m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in FEATS)} FROM {name}_all WHERE split = 'train')")
+    fill = ", ".join((f"round_even(coalesce(CAST({c} AS DOUBLE), m_{c}), 0)" if c in SPEC.sparse
+                      else f"coalesce(CAST({c} AS DOUBLE), m_{c})") + f" AS {c}" for c in FEATS)
+    ctes.append(f"{name}_f AS (SELECT row_id, split, product_item, {fill} FROM {name}_all, {name}_m)")
+    ctes += [O.zscore_sql(f"{name}_f", SPEC, name=f"{name}_z"), O.nb_proba_sql(f"{name}_z", SPEC, name=f"{name}_p"),
+             O.topk_sql(f"{name}_p", name=f"{name}_k"), O.auc_sql(f"{name}_p", name=f"{name}_a")]
+    eps = f"CAST({M.EPS!r} AS DOUBLE)"
+    ctes.append(f"{name}_h AS (SELECT row_id, min(CASE WHEN cid = y AND rnk <= 3 THEN rnk END) AS r FROM {name}_k GROUP BY row_id)")
+    values = [("auc", f"SELECT avg(auc) FROM {name}_a"),
+              ("logloss", f"SELECT -avg(ln(greatest(least(p, 1.0 - {eps}), {eps}))) FROM {name}_p WHERE cid = y"),
+              ("hr_k", f"SELECT avg(CASE WHEN r IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM {name}_h"),
+              ("ndcg_k", f"SELECT avg(coalesce(1.0 / log2(r + 1), 0.0)) FROM {name}_h")]
+    rows = " UNION ALL ".join(
+        f"SELECT 'NB' AS model, 'mean' AS imputer, CAST({ratio!r} AS DOUBLE) AS ratio, CAST({seed} AS BIGINT) AS seed, "
+        f"{i} AS ord, '{m}' AS metric, round(({q}), 6) AS score" for i, (m, q) in enumerate(values))
+    return ctes, rows
+
+
+def _rounded_scores(df):
+    return df.withColumn("score", r6(F.col("score")))
+
+
+_RUN = _run_sql(0.2, 0, "r0", False)
+
+
+@query("pipeline_run", with_sql(*_PSPLIT, *_RUN[0]) + "\n" + _RUN[1])
+def q_pipeline_run(spark, sf):
+    """X-04: split, inject 20 % missing cells in every split, mean-impute,
+    fit NB, score."""
+    from lacuna.experiment import run
+    return _rounded_scores(run(policy_planted(spark, sf), SPEC, model="NB", fill="mean", ratio=0.2, seed=0))
+
+
+_GRID = [_run_sql(r, s, f"g{i}{j}", True) for i, r in enumerate((0.1, 0.3)) for j, s in enumerate((1, 2))]
+
+
+@query("sweep_missing", with_sql(*_PSPLIT, *[c for g in _GRID for c in g[0]]) + "\n" + " UNION ALL ".join(g[1] for g in _GRID))
+def q_sweep(spark, sf):
+    """X-01: missing ratio x imputer x seed, train rows masked."""
+    from lacuna.experiment import sweep
+    return _rounded_scores(sweep(policy_planted(spark, sf), SPEC, fills=("mean",), ratios=(0.1, 0.3), seeds=(1, 2)))
+
+
+@query("fit_timing")
+def q_fit_timing(spark, sf):
+    """X-02: seconds of the fit beside the scores of a run (rows-only)."""
+    from lacuna.experiment import run
+    return run(policy_planted(spark, sf), SPEC, model="NB", fill="mean", ratio=0.2, seed=0, timed=True)
+
+
+@query("parameter_search", None)
+def q_search(spark, sf):
+    """X-03: the variance smoothing of NB with the best valid log-loss, over
+    a stated list of candidates (rows-only)."""
+    s = planted_split(spark, sf)
+    rows = []
+    for v in (1e-9, 1e-6, 1e-3, 1e-1):
+        m = recommender("NB", SPEC, var_smoothing=v).fit(s.where("split = 'train'"))
+        rows.append(m.score(s.where("split = 'valid'"), ("logloss",)).select(
+            F.lit(v).alias("var_smoothing"), r6(F.col("score")).alias("logloss")))
+    u = cut_lineage(reduce(lambda a, b: a.unionByName(b), rows))
+    best = u.agg(F.min_by("var_smoothing", F.struct("logloss", "var_smoothing")).alias("best"))
+    return u.join(F.broadcast(best), how="inner").withColumn("chosen", F.col("var_smoothing") == F.col("best")).drop("best")
