@@ -52,3 +52,19 @@ def prepare_quotes(src1: DataFrame, src2: DataFrame, names1: list[str], names2:
     # U-03: a table keeps no row order; where one is needed, ``ordered_positions`` gives it as a column
     return df.select("row_id", "Age", "DrivingExp", "Occupation", "NCD", "Make", F.col("`Car.year`").alias("Car.year"),
                      F.col("`Car.price`").alias("Car.price"), "product_item")
+
+
+def prepare_portfolio(df: DataFrame, parts: list[str], sparse: list[str], nullable: list[str], keep: list[str],
+                      date_text: str | None = None, made: str | None = None) -> DataFrame:
+    """E3 for portfolio files: the target is the plain concatenation of
+    ``parts``, whose missing values form a class of their own (-1);
+    ``sparse`` columns become codes, missing ones -1 or, if ``nullable``,
+    NULL; a 'dd-MMM-yy' date and a year give the age."""
+    df = df.withColumn("product_item", C.composite_nullprop(*parts))
+    if date_text is not None:
+        df = df.withColumn("Car.year", C.age_from(C.parse_dd_mon_yy(date_text), F.col(made)))
+    codes = ["product_item", *sparse, *nullable]
+    df = cut_lineage(df.select("row_id", *keep, *codes, *(["`Car.year`"] if date_text is not None else [])))
+    for c in codes:
+        df = factorize(df, c, null_code=-1)
+    return df.withColumns({c: C.null_if_code(c) for c in nullable}) if nullable else df

@@ -191,3 +191,46 @@ def q_csv_roundtrip(spark, sf):
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
     return scan_renamed(spark, path, {"row_id": "row_id", "Age": "Age", "Make": "Make"}, fmt="csv",
                         schema="row_id BIGINT, Age STRING, Make STRING")
+
+
+def _code_sql(col: str) -> str:
+    """Sorted codes with missing values as -1."""
+    return (f"CASE WHEN {col} IS NULL THEN -1 ELSE CAST(dense_rank() OVER "
+            f"(PARTITION BY {col} IS NULL ORDER BY {col}) - 1 AS BIGINT) END")
+
+
+@query("prepare_health", with_sql(RAW_SQL) + f""",
+p AS (SELECT *, "Coverage" || "Insurer" || "NCD" AS pk, nullif("DrivingExp", '>') AS de,
+             CASE WHEN _c = 0 THEN NULL ELSE "Occupation" END AS occ
+      FROM (SELECT *, row_id % 11 AS _c FROM raw))
+SELECT row_id, "Price", {_code_sql('de')} AS "DrivingExp", {_factor_sql('occ')} AS "Occupation", {_code_sql('pk')} AS product_item
+FROM p""")
+def q_prepare_health(spark, sf):
+    """E3 in the health files' shape: null-propagating target with the null
+    class -1, codes with -1, codes with NULL."""
+    from lacuna.operators.prepare import prepare_portfolio
+    r = raw_quotes(spark, sf)
+    r = r.withColumns({"DrivingExp": F.nullif(F.col("DrivingExp"), F.lit(">")),
+                       "Occupation": F.when(F.col("row_id") % 11 != 0, F.col("Occupation"))})
+    return prepare_portfolio(r, ["Coverage", "Insurer", "NCD"], ["DrivingExp"], ["Occupation"], ["Price"])
+
+
+@query("prepare_vehicle", with_sql(RAW_SQL) + f""",
+p AS (SELECT *, "Insurer" || "Coverage" AS pk, nullif("Make", 'nan') AS mk, {_number('"CarYear"')} AS made,
+             upper(strftime("Date", '%d-%b-%y')) AS ds FROM raw)
+SELECT row_id, "Price", {_factor_sql('mk')} AS "Make", {_code_sql('pk')} AS product_item,
+       year(CAST(strptime(ds, '%d-%b-%y') AS DATE)) - made AS "Car.year"
+FROM p""")
+def q_prepare_vehicle(spark, sf):
+    """E3 in the vehicle files' shape: two files, a 'dd-MMM-yy' date, the
+    vehicle's age, null-propagating target with the null class -1."""
+    from lacuna.operators.prepare import prepare_portfolio
+    a, b = raw_sources(spark, sf)
+    names = {"row_id": "row_id", "Insur Co": "Insurer", "Man. Year": "Year of manufacturer", "Sum Insured": "Sum of insured"}
+    cols = ["row_id", "Insurer", "Coverage", "Make", "Settlement Date", "Year of manufacturer", "Sum of insured"]
+    b = b.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in b.columns])
+    u = union_sources([a.select(*[f"`{c}`" for c in cols]), b.select(*[f"`{c}`" for c in cols])])
+    u = u.select("row_id", "Insurer", "Coverage", F.nullif(F.col("Make"), F.lit("nan")).alias("Make"),
+                 F.col("`Sum of insured`").alias("Price"), C.to_number(F.col("`Year of manufacturer`")).alias("made"),
+                 F.upper(F.date_format("Settlement Date", "dd-MMM-yy")).alias("ds"))
+    return prepare_portfolio(u, ["Insurer", "Coverage"], [], ["Make"], ["Price"], "ds", "made")
