@@ -146,7 +146,8 @@ def _search(dim: int, radius: int, k: int):
                         out["query"].append(names[q])
                         out["ids"].append(ids[c])
                         out["score"].append(score)
-        return pd.DataFrame(out)
+        return pd.DataFrame({"query": pd.Series(out["query"], dtype="int64"), "ids": pd.Series(out["ids"], dtype=object),
+                             "score": pd.Series(out["score"], dtype="float64")})
 
     return kernel
 
