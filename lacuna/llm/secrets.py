@@ -65,27 +65,29 @@ _HEX = _flags("0123456789abcdef")
 _B64 = _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 
 
-def _long_runs(inside: np.ndarray, least: int) -> np.ndarray:
-    """Starts of the runs of True with at least ``least`` items."""
+def _long_runs(inside: np.ndarray, offs: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the runs of True with at least ``least`` items; a run ends
+    where its text does."""
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    cut = np.unique(offs[(offs > 0) & (offs < len(inside))])
+    cut = cut[inside[cut - 1] & inside[cut]]
+    start = np.sort(np.concatenate([np.flatnonzero(edge == 1), cut]))
+    end = np.sort(np.concatenate([np.flatnonzero(edge == -1), cut]))
     return start[end - start >= least]
 
 
 def _suspects(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Indexes of the texts that can hold a base or a bare finding.  Runs may
+    """Indexes of the texts that can hold a base or a bare finding.  Words may
     cross into the next text here, which only adds suspects."""
-    at = [_long_runs(_HEX[buf], 32), _long_runs(_B64[buf], 40)]
+    at = [_long_runs(_HEX[buf], offs, 32), _long_runs(_B64[buf], offs, 40)]
     for table, words in ((A.TO_LOWER[buf].tobytes(), STEMS), (buf.tobytes(), (b"AKIA",))):
         for w in words:
             i = table.find(w)
             while i >= 0:
                 at.append(np.array([i]))
-                i = table.find(w, i + len(w))
-    at = np.concatenate(at)
-    first = np.searchsorted(offs, at, "right") - 1
-    cross = np.searchsorted(offs, at + 31, "right") - 1
-    return np.unique(np.concatenate([first, np.minimum(cross, len(offs) - 2)]))
+                # a word that crosses may overlap one that does not
+                i = table.find(w, i + 1)
+    return np.unique(np.searchsorted(offs, np.concatenate(at), "right") - 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -62,3 +62,15 @@ def test_odd_rows_and_redaction(odd, empty, clashing, spark):
     assert out.columns == clashing.columns and out.drop("n_chars").exceptAll(clashing.drop("n_chars")).count() == 0
     df = spark.createDataFrame([(1, "a password=abcdefgh1234 b", 9), (2, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in S.redact(df).orderBy("doc_id").collect()] == [(1, "a [assign] b", 12), (2, None, None)]
+
+
+def test_runs_end_with_their_text(spark):
+    import pyarrow as pa
+    digest, other, bare = "0123456789abcdef" * 2, "fedcba9876543210" * 4, "qT7" + "aB3" * 14
+    texts = ["sum " + digest, digest + " is the sum", *[digest] * 50, "", None, *[other] * 50, "ends " + "a" * 20,
+             "b" * 20 + " begins", "ends with AKI", "AKIA" + "B" * 12, "x", "y" * 40, f"login: bob {bare}", bare + " login: bob"]
+    want = {i: found for i, t in enumerate(texts) if (found := S.spans_of(t or ""))}
+    assert len(want) == 105 and S._slice_spans(pa.array(texts)) == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in S.scan(df).collect() if r.spans} == want
+    assert all(not S.HEX.search(r.text or "") for r in S.redact(df).collect())
