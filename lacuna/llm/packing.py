@@ -138,13 +138,15 @@ class WordTokens:
 
 class Pool:
     """Pieces (text, start, length) by tier; the longest that fits a gap is
-    taken first, pieces of one length in the order they came."""
+    taken first, pieces of one length in the order they came.  ``held`` has the
+    ids of each tier."""
 
     def __init__(self, tiers):
         self.tiers = tiers
         self.by_length: list[dict[int, list]] = [{} for _ in tiers]
         self.lengths: list[list[int]] = [[] for _ in tiers]
         self.tokens = 0
+        self.held = [0] * len(tiers)
 
     def add(self, piece) -> None:
         import bisect
@@ -154,6 +156,7 @@ class Pool:
             bisect.insort(self.lengths[k], piece[2])
         held.append(piece)
         self.tokens += piece[2]
+        self.held[k] += piece[2]
 
     def _take(self, k: int, at: int):
         length = self.lengths[k][at]
@@ -162,6 +165,7 @@ class Pool:
         if not held:
             self.lengths[k].pop(at)
         self.tokens -= length
+        self.held[k] -= length
         return piece
 
     def longest(self, tier: int):
@@ -192,9 +196,7 @@ def windows(pool: Pool, last: bool):
         size = pool.tiers[tier]
         while True:
             # a window is opened only if this and the shorter tiers fill it
-            below = sum(n * len(p) for k in range(tier + 1) for n, p in pool.by_length[k].items()) \
-                if pool.tokens < 4 * size else size
-            if below < size or (piece := pool.longest(tier)) is None:
+            if sum(pool.held[:tier + 1]) < size or (piece := pool.longest(tier)) is None:
                 break
             filled, gap = [piece], size - piece[2]
             while gap:

@@ -82,3 +82,34 @@ def test_words_encode_as_the_whole_tokenizer_does(tokenizer):
         ids, at = w.encode(pa.array(texts), 2)
         for t, s, e in zip(texts, at, at[1:]):
             assert ids[s:e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [2]
+
+
+def test_long_pieces_left_over_do_not_open_short_windows(spark, tokenizer):
+    texts = [(1, "a " * 2999), (2, "a " * 99)]
+    assert [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts] == [3000, 100]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    check(K.pack(df, PATH).collect(), texts, tokenizer)
+
+
+def test_windows_lay_every_id_once():
+    import random
+    rng = random.Random(5)
+    for turn in range(300):
+        tops = rng.choice([[4095], [4095, 300], [2600, 2100, 100], [512, 1024, 2048, 4095]])
+        lengths = [rng.randint(1, rng.choice(tops)) for _ in range(rng.randint(1, 40))]
+        pool, seen = K.Pool(K.TIERS), []
+        for last in (False, True):
+            if not last:
+                for i, n in enumerate(lengths):
+                    pool.add((i, 0, n))
+            for size, pieces in K.windows(pool, last):
+                assert sum(n for *_, n in pieces) == size <= K.TIERS[-1]
+                seen += pieces
+            assert sum(pool.held) == pool.tokens
+        assert pool.tokens == 0
+        for i, n in enumerate(lengths):
+            at = 0
+            for start, length in sorted(p[1:] for p in seen if p[0] == i):
+                assert start == at
+                at += length
+            assert at == n
