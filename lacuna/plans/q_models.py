@@ -209,20 +209,20 @@ def q_rec_rf(spark, sf):
 
 @query("rec_gbt")
 def q_rec_gbt(spark, sf):
-    """M-07 one-vs-rest boosted trees (20 rounds of depth 5)."""
-    return _fit_score(spark, sf, recommender("XGB", SPEC, n_estimators=20, max_depth=5, learning_rate=0.1))
+    """M-07 one-vs-rest boosted trees (the preset: 100 rounds of depth 6)."""
+    return _fit_score(spark, sf, recommender("XGB", SPEC))
 
 
 @query("rec_lgbm")
 def q_rec_lgbm(spark, sf):
-    """M-08 (20 rounds)."""
-    return _fit_score(spark, sf, recommender("LGBM", SPEC, n_estimators=20))
+    """M-08 (the preset: 100 rounds)."""
+    return _fit_score(spark, sf, recommender("LGBM", SPEC))
 
 
 @query("rec_catb")
 def q_rec_catb(spark, sf):
-    """M-09 with nominal sparse features (20 rounds of depth 3)."""
-    return _fit_score(spark, sf, recommender("CatB", SPEC, n_estimators=20, max_depth=3, learning_rate=0.1))
+    """M-09 with nominal sparse features (the preset: 200 rounds of depth 6)."""
+    return _fit_score(spark, sf, recommender("CatB", SPEC))
 
 
 @query("rec_bn")

@@ -111,3 +111,11 @@ def test_kth_keys_exact(spark):
         thr = kth_keys(d, {"g": k}, "g", "u", "o_orderkey", max_exact=50)
         n = d.where(first_k_flag(F.col("u"), F.col("o_orderkey"), thr["g"])).count()
         assert n == min(k, 15000)
+
+
+@pytest.mark.parametrize("query,rounds,depth", [("q_rec_gbt", 100, 6), ("q_rec_lgbm", 100, 5), ("q_rec_catb", 200, 6)])
+def test_boosted_queries_run_the_presets(monkeypatch, query, rounds, depth):
+    from lacuna.plans import q_models
+    monkeypatch.setattr(q_models, "_fit_score", lambda spark, sf, model: model)
+    model = getattr(q_models, query)(None, None)
+    assert model.params == {} and (model._param("n_estimators"), model._param("max_depth")) == (rounds, depth)
