@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from main_data import SF_SMALL
 
 SQL = E.oracle_sql()
 FAST = sorted(SQL)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from main_data import SF_SMALL
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 

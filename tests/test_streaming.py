@@ -1,7 +1,7 @@
 """A batch-fitted NB model scores a parquet file stream row by row; the
 streamed top-3 equals the batch top-3."""
 
-from conftest import SF_SMALL
+from main_data import SF_SMALL
 
 
 def test_stream_scores_like_batch(spark, tmp_path):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from main_data import SF_MID, SF_SMALL
 
 
 def test_betainc_t_tail():
