@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from conftest import SF, odd_rows
+from llm_data import SF, odd_rows
 from lacuna.llm import arrays as A
 from lacuna.llm import byte_bpe as B
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from conftest import odd_rows
+from llm_data import odd_rows
 from lacuna.llm import exact_dedup as X
 
 

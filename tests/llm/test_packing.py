@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from conftest import SF, odd_rows
+from llm_data import SF, odd_rows
 from lacuna.llm import packing as K
 
 PATH = public_tokenizers.path("word_bpe_49k.json")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from conftest import SF
+from llm_data import SF
 from lacuna.llm import quality as Q
 from lacuna.llm import toxicity as T
 

@@ -10,7 +10,7 @@ from collections import Counter
 
 import pytest
 
-from conftest import SF, words
+from llm_data import SF, words
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -1,6 +1,6 @@
 import re
 
-from conftest import SF, odd_rows
+from llm_data import SF, odd_rows
 from lacuna.llm import secrets as S
 
 

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 
-from conftest import SF, odd_rows, words
+from llm_data import SF, odd_rows, words
 from lacuna.llm import substring_dedup as S
 
 
