@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import functions as F
 
-from lacuna.llm import decontaminate
+from lacuna.llm import decontaminate, merkle
 from lacuna.llm.registry import documents, query
 
 
@@ -41,3 +41,10 @@ def op12(spark, sf_dir):
                         F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                         (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op11_merkle_manifest")
+def op11(spark, sf_dir):
+    """All documents in one manifest; one in seven claims another length."""
+    m = merkle.build(merkle.document_leaves(documents(spark, sf_dir)))
+    return merkle.prove(m, m.rows).withColumnRenamed("proof", "proof_sha256")
