@@ -69,12 +69,12 @@ def slices(batches, name: str, limit: int = SLICE_BYTES):
             start = end
 
 
-def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and the offsets of
-    each text's words (n_texts + 1)."""
+def words_of(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in order (``[^\\x20\\x09-\\x0D]+``, or runs without
+    the bytes ``between``), and the offsets of each text's words (n_texts + 1)."""
     if len(buf) == 0:
         return EMPTY_WORDS, np.zeros(len(offs), np.int64)
-    solid = ~IS_SPACE[buf]
+    solid = ~between[buf]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = offs[:-1][offs[1:] > offs[:-1]]

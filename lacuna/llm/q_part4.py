@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import functions as F
 
-from lacuna.llm import decontaminate, merkle
+from lacuna.llm import decontaminate, lexical_search, merkle
 from lacuna.llm.registry import documents, query
 
 
@@ -48,3 +48,22 @@ def op11(spark, sf_dir):
     """All documents in one manifest; one in seven claims another length."""
     m = merkle.build(merkle.document_leaves(documents(spark, sf_dir)))
     return merkle.prove(m, m.rows).withColumnRenamed("proof", "proof_sha256")
+
+
+_TERMS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op13_lexical_search", rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+c AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, n),
+m AS (SELECT doc_id, 75 + (25 * len(t) * n) // l AS m FROM d, c WHERE len(t) > 0),
+q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER r AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20""")
+def op13(spark, sf_dir):
+    """The 20 best documents of every test item."""
+    return lexical_search.search(documents(spark, sf_dir), benchmark(spark, sf_dir), k=20)
