@@ -81,8 +81,28 @@ def weight(df: int, n_docs: int) -> int:
 
 # --------------------------------------------------------------------- grids
 
-_GRID = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())),
-                   ("df", pa.list_(pa.int64())), ("cells", pa.binary()), ("docs", pa.int64()), ("total", pa.int64())])
+_GRID = "ids array<long>, lengths array<long>, terms binary, df binary, cells binary, docs long, total long"
+_CODEC = "zstd"
+
+
+def _packed(a: np.ndarray | bytes) -> bytes:
+    """A blob with its length before the compressed bytes."""
+    raw = a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _unpacked(blob, kind: str = "<u4") -> np.ndarray:
+    raw = blob.as_buffer()
+    size = int.from_bytes(raw[:8].to_pybytes(), "little")
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec=_CODEC), kind)
+
+
+def _vocabulary(blob) -> pa.Array:
+    """The terms of a shard, in the order of its rows."""
+    text = _unpacked(blob, np.uint8)
+    ends = np.flatnonzero(text == 10)
+    offs = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offs), pa.py_buffer(text[text != 10]))
 
 
 def _cells(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -116,11 +136,15 @@ def _grid(parts: list) -> pa.RecordBatch:
     row = np.empty(len(df), np.int64)
     row[by_df] = np.arange(len(df))
     cells = np.stack([row[term], column[doc], tf]).astype("<u4")
-    lists = [ids.take(pa.array(order)), pa.array(lengths[order]), vocabulary.dictionary.take(pa.array(by_df)), pa.array(df[by_df])]
+    names = vocabulary.dictionary.take(pa.array(by_df))
+    listed = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+    # no term holds a line end
+    text = "".join(f"{t}\n" for t in names.to_pylist()).encode()
     return pa.RecordBatch.from_arrays(
-        [*[pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v.cast(f.type.value_type)) for v, f in zip(lists, _GRID)],
-         pa.array([cells.tobytes()], pa.binary()), pa.array([len(order)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())],
-        schema=_GRID)
+        [listed(ids.take(pa.array(order))), listed(pa.array(lengths[order], pa.int64())),
+         *[pa.array([_packed(v)], pa.binary()) for v in (text, df[by_df].astype("<u4"), cells)],
+         pa.array([len(order)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())],
+        ["ids", "lengths", "terms", "df", "cells", "docs", "total"])
 
 
 def grids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_postings: int = SHARD_POSTINGS) -> DataFrame:
@@ -137,8 +161,7 @@ def grids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if size:
             yield _grid(held)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        kernel, "ids array<long>, lengths array<long>, terms array<string>, df array<long>, cells binary, docs long, total long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(kernel, _GRID)
 
 
 # -------------------------------------------------------------------- treaps
@@ -174,26 +197,38 @@ def treap(row: np.ndarray, column: np.ndarray, value: np.ndarray) -> tuple[int,
     return height, np.concatenate(bits[::-1]), np.concatenate([value, *less[::-1]])
 
 
+#: Set bits of each byte.
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint8)
+
+
 class Treap:
-    """A quadtree that is read through ranks."""
-
-    def __init__(self, height: int, bits: np.ndarray, less: np.ndarray):
-        self.height, self.bits = height, bits
-        # the k-th set bit is node k; the root is node 0
-        self.rank = np.cumsum(bits, dtype=np.int32)
-        parent = np.flatnonzero(bits) // 4
-        self.top = np.empty(len(less), np.int64)
-        self.top[0] = less[0]
-        start, end = 1, 2
-        for _ in range(height):
-            end = start + int(np.searchsorted(parent[start - 1:], start))
-            self.top[start:end] = self.top[parent[start - 1:end - 1]] - less[start:end]
-            start = end
+    """A quadtree that is read through ranks: the k-th set bit is node k, the
+    root is node 0.  ``packed`` holds eight child bits in a byte."""
+
+    def __init__(self, height: int, n_bits: int, packed: np.ndarray, less: np.ndarray):
+        self.height, self.packed = height, packed
+        ones = _ONES[packed]
+        self.before = np.cumsum(ones, dtype=np.int32) - ones
+        children = np.stack([_ONES[packed >> 4], _ONES[packed & 15]], axis=1).ravel()[:n_bits // 4]
+        self.top = less.astype(np.int32)
+        start, end, first = 0, 1, 1
+        while first < len(less):
+            # nodes of a level are numbered in the order of their parents
+            last = first + int(children[start:end].sum())
+            self.top[first:last] = np.repeat(self.top[start:end], children[start:end]) - self.top[first:last]
+            start, end, first = first, last, last
+
+    def child(self, place: np.ndarray) -> np.ndarray:
+        """The node behind each child bit, or -1."""
+        byte, bit = place >> 3, (place & 7).astype(np.uint8)
+        held = self.packed[byte]
+        node = self.before[byte] + _ONES[held >> (7 - bit)]
+        return np.where((held >> (7 - bit)) & 1, node, -1)
 
     def search(self, rows: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Columns and scores of the k best, equal scores by column."""
         h = self.height
-        bound, start = np.array([(self.top[0] * weights).sum()]), np.zeros(1, np.int64)
+        bound, start = np.array([(int(self.top[0]) * weights).sum()]), np.zeros(1, np.int64)
         level, nodes = np.zeros(1, np.int64), np.zeros((1, len(rows)), np.int64)
         best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
         while len(bound):
@@ -207,8 +242,7 @@ class Treap:
             dead = nodes[pick] < 0
             halves = []
             for half in (0, 1):
-                place = np.where(dead, 0, bit + half)
-                halves.append(np.where(dead | ~self.bits[place], -1, self.rank[place]))
+                halves.append(np.where(dead, -1, self.child(np.where(dead, 0, bit + half))))
             child = np.concatenate(halves)
             reach = (np.where(child < 0, 0, self.top[child]) * weights).sum(axis=1)
             begin = np.concatenate([at, at + (1 << shift)])
@@ -230,22 +264,24 @@ class Treap:
 
 
 def index(shards: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
-    """The treap of each shard: child bits, eight to a byte, and the maxima's
-    differences in the narrowest width."""
+    """The treap of each shard: child bits, eight to a byte, and by how much
+    each maximum lies below its parent's, compressed."""
     def kernel(batches):
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
-                row, column, tf = np.frombuffer(one.column(2)[0].as_buffer(), "<u4").reshape(3, -1).astype(np.int64)
-                lengths = one.column(3).values.to_numpy()[one.column(3).offsets[0].as_py():]
-                height, bits, less = treap(row, column, impacts(tf, lengths[column], n_docs, n_terms))
+                row, column, tf = _unpacked(one.column(2)[0]).reshape(3, -1)
+                value = impacts(tf.astype(np.int64), one.column(3)[0].values.to_numpy()[column], n_docs, n_terms)
+                height, bits, less = treap(row, column, value)
                 yield pa.RecordBatch.from_arrays(
                     [one.column(0), one.column(1), pa.array([height], pa.int32()), pa.array([len(bits)], pa.int64()),
-                     pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([less.astype("<u4").tobytes()], pa.binary())],
+                     pa.array([_packed(np.packbits(bits))], pa.binary()), pa.array([_packed(less.astype("<u4"))], pa.binary())],
                     ["ids", "terms", "height", "n_bits", "bits", "less"])
+                del row, column, tf, value, bits, less
+                pa.default_memory_pool().release_unused()
 
     return shards.select("ids", "terms", "cells", "lengths").mapInArrow(
-        kernel, "ids array<long>, terms array<string>, height int, n_bits long, bits binary, less binary")
+        kernel, "ids array<long>, terms binary, height int, n_bits long, bits binary, less binary")
 
 
 # -------------------------------------------------------------------- search
@@ -259,10 +295,9 @@ def _found_in(items: list, weights: dict, k: int):
         for b in batches:
             for i in range(b.num_rows):
                 ids, terms, height, n_bits, bits, less = (c[0] for c in b.slice(i, 1).columns)
-                place = pc.index_in(asked, value_set=terms.values).to_numpy(zero_copy_only=False)
+                place = pc.index_in(asked, value_set=_vocabulary(terms)).to_numpy(zero_copy_only=False)
                 row_of = {t: int(r) for t, r in zip(asked.to_pylist(), place) if r == r}
-                t = Treap(height.as_py(), np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=n_bits.as_py()).astype(bool),
-                          np.frombuffer(less.as_buffer(), "<u4").astype(np.int64))
+                t = Treap(height.as_py(), n_bits.as_py(), _unpacked(bits, np.uint8), _unpacked(less))
                 who, column, score = [], [], []
                 for slot, (_, terms_asked) in enumerate(items):
                     own = [(row_of[w], n * weights[w]) for w, n in terms_asked.items() if w in row_of and weights[w] > 0]
@@ -278,6 +313,19 @@ def _found_in(items: list, weights: dict, k: int):
     return kernel
 
 
+def _frequencies(asked: list[str]):
+    """(term, df) of the asked terms in each shard."""
+    def kernel(batches):
+        names = pa.array(asked, pa.string())
+        for b in batches:
+            for i in range(b.num_rows):
+                place = pc.index_in(names, value_set=_vocabulary(b.column(0)[i]))
+                some = place.is_valid()
+                df = _unpacked(b.column(1)[i])[place.filter(some).to_numpy()]
+                yield pa.RecordBatch.from_arrays([names.filter(some), pa.array(df.astype(np.int64))], ["term", "df"])
+    return kernel
+
+
 def _blocks(items: DataFrame, item_col: str, text_col: str):
     """The items in blocks of a stated size, as (name, {term: count})."""
     whole = items.groupBy(F.col(item_col).cast("string").alias("item")).agg(
@@ -303,9 +351,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
         if not asked or not n_docs:
             continue
         treaps = treaps or stage(index(shards, n_docs, n_terms), "treaps")
-        wanted = spark.createDataFrame([(w,) for w in asked], "term string")
-        df = (shards.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.df").alias("df"))
-              .join(F.broadcast(wanted), "term").groupBy("term").agg(F.sum("df").alias("df")).collect())
+        df = (shards.select("terms", "df").mapInArrow(_frequencies(asked), "term string, df long")
+              .groupBy("term").agg(F.sum("df").alias("df")).collect())  # the terms of one block
         weights = {r.term: weight(r.df, n_docs) for r in df}
         part = treaps.mapInArrow(_found_in([(name, {w: n for w, n in t.items() if w in weights}) for name, t in block], weights, k),
                                  "item string, doc_id long, score long")
