@@ -1,108 +1,375 @@
 """Exact k-nearest neighbours between a query table and a donor table
-(M-04 recommender, I-05 imputer).
-
-No global cross join is emitted: queries and donors are dealt to tiles of
-about ``TILE_ROWS`` rows; every (query tile, donor tile) pair meets once
-in a ``cogroup`` whose Arrow kernel computes the distances in NumPy and emits
-only its local k best per query.  The global k best per query are then the
-k smallest of (#donor tiles x k) candidates - a bounded window.  Ties are
-broken by donor id so the result does not depend on the tiling.
+(M-04 recommender, I-05 imputer), pruned by boxes.
+
+Rows are dealt to tiles by missing pattern and by k-d splits that a bounded
+keyed sample fixes (``SAMPLE_ROWS``); any split is correct, as the boxes that
+prune are taken over all rows.  Two rows of known patterns share known
+coordinates, so the squared distance of two boxes over these, scaled alike, is
+a lower bound for every pair in them; it is added up in the order of the
+features, and so never above a distance by rounding.
+
+1. Each query tile meets its home, the donor tile whose boxes are closest.
+   Inside, both sides are cut into cells of ``CELL_ROWS`` by medians; the cells
+   of donors are visited by rising bound until the bound passes the k-th
+   distance found.
+2. The k-th distances then bound whole tiles: a query tile visits the donor
+   tiles whose bound is not above its largest k-th distance, and no others,
+   each query with its own limit.
+
+The k best of a query are the k smallest of what its tiles gave, ties by donor
+id, so the result depends on no tiling.  What reaches the driver are the sample
+and one box for each leaf of its splits; rows of patterns that the sample has
+not seen go to shared leaves without bounds.  A leaf larger than a tile (a hot
+value) is split by a keyed draw.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.draws import uniform
+from lacuna.session import stage, unstage
+
+#: Rows of a query tile and a donor tile, of a cell, of the sample of splits.
+QUERY_ROWS, DONOR_ROWS, CELL_ROWS, SAMPLE_ROWS = 8_192, 131_072, 64, 65_536
+#: Donors that a cell of queries meets at once.
+STEP_ROWS = 1_024
+_MIXED = -1
+
+
+def patterns(x: np.ndarray) -> np.ndarray:
+    """Known columns of each row as bits."""
+    return (~np.isnan(x)).astype(np.int64) @ (1 << np.arange(x.shape[1], dtype=np.int64))
+
+
+def _widest(x: np.ndarray) -> tuple[int, float]:
+    spread = np.where(np.isnan(x[0]), -1.0, x.max(axis=0) - x.min(axis=0))
+    return int(spread.argmax()), float(spread.max())
+
+
+@dataclass
+class Cells:
+    """Rows in the order of their cells, and each cell's box and pattern."""
+    order: np.ndarray
+    start: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    pattern: np.ndarray
+
+
+def cells(x: np.ndarray, rows: int) -> Cells:
+    """Rows of one pattern halved at the median of the widest column until a
+    cell holds ``rows`` or has one point."""
+    kind = patterns(x)
+    by_kind = np.argsort(kind, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], kind[by_kind][1:] != kind[by_kind][:-1]])) if len(x) else np.zeros(0, int)
+    open_, done = [p for p in np.split(by_kind, heads[1:])] if len(x) else [], []
+    while open_:
+        own = open_.pop()
+        if len(own) > rows:
+            j, spread = _widest(x[own])
+            if spread > 0:
+                half = len(own) // 2
+                own = own[np.argpartition(x[own, j], half)]
+                open_ += [own[half:], own[:half]]
+                continue
+        done.append(own)
+    start = np.concatenate([[0], np.cumsum([len(d) for d in done])]).astype(np.int64)
+    order = np.concatenate([np.zeros(0, np.int64), *done]).astype(np.int64)
+    at = start[:-1]
+    low, high = (f.reduceat(x[order], at, axis=0) if len(at) else np.zeros((0, x.shape[1])) for f in (np.minimum, np.maximum))
+    return Cells(order, start, low, high, kind[order[at]] if len(at) else np.zeros(0, np.int64))
+
+
+def box_distance(low, high, lows, highs, nan_euclidean: bool) -> np.ndarray:
+    """Squared distance between one box and others: over known coordinates of
+    both, added in their order; infinite where none is shared (nan-Euclidean)."""
+    p = len(low)
+    acc, shared = np.zeros(len(lows)), np.zeros(len(lows))
+    for j in range(p):
+        ok = ~np.isnan(lows[:, j]) & ~np.isnan(low[j])
+        gap = np.maximum(np.maximum(lows[:, j] - high[j], low[j] - highs[:, j]), 0.0)
+        acc += np.where(ok, gap * gap, 0.0)
+        shared += ok
+    if not nan_euclidean:
+        return acc
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, (float(p) / shared) * acc, np.inf)
+
+
+def distances(x: np.ndarray, y: np.ndarray, nan_euclidean: bool) -> np.ndarray:
+    """Squared distances, coordinates added in their order; infinite where no
+    coordinate is shared (nan-Euclidean)."""
+    p = x.shape[1]
+    acc, shared = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+    for j in range(p):
+        diff = x[:, j, None] - y[None, :, j]
+        diff *= diff
+        ok = ~np.isnan(diff)
+        np.add(acc, diff, out=acc, where=ok)
+        shared += ok
+    if not nan_euclidean:
+        return acc
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, (float(p) / shared) * acc, np.inf)
+
+
+class _Best:
+    """The k least (distance, id) of each query, with values."""
+
+    def __init__(self, limit: np.ndarray, k: int):
+        n = len(limit)
+        self.k, self.limit = k, limit
+        self.d2, self.id, self.value = np.full((n, k), np.inf), np.zeros((n, k), np.int64), np.zeros((n, k))
+
+    def edge(self) -> np.ndarray:
+        return np.minimum(self.d2[:, -1], self.limit)
+
+    def add(self, d2: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+        edge = self.edge()
+        if d2.shape[1] > self.k:
+            edge = np.minimum(edge, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1])
+        row, at = np.nonzero((d2 <= edge[:, None]) & (d2 < np.inf))
+        if not len(row):
+            return
+        old, place = np.nonzero(self.d2 < np.inf)
+        rows = np.concatenate([old, row])
+        far = np.concatenate([self.d2[old, place], d2[row, at]])
+        who = np.concatenate([self.id[old, place], ids[at]])
+        what = np.concatenate([self.value[old, place], values[at]])
+        order = np.lexsort((who, far, rows))
+        rows = rows[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = rank < self.k
+        rows, rank, order = rows[keep], rank[keep], order[keep]
+        touched = np.unique(rows)
+        self.d2[touched] = np.inf
+        self.d2[rows, rank], self.id[rows, rank], self.value[rows, rank] = far[order], who[order], what[order]
+
+
+def nearest(x, limits, y, ids, k: int, columns: list[int], nan_euclidean: bool):
+    """(query place, column, rank, donor id, distance, value) of the k nearest
+    donors of each query, within the query's limit for the column, and the
+    number of pairs compared.  A column of -1 takes every donor; another one
+    asks queries without it and donors with it."""
+    q, d = cells(x, CELL_ROWS), cells(y, CELL_ROWS)
+    sorted_y, sorted_ids = y[d.order], ids[d.order]
+    size, out, pairs = np.diff(d.start), [], 0
+    for c in range(len(q.pattern)):
+        own = q.order[q.start[c]:q.start[c + 1]]
+        asked = [j for j in columns if j < 0 or not q.pattern[c] >> j & 1]
+        if not asked:
+            continue
+        best = {j: _Best(limits[own, columns.index(j)], k) for j in asked}
+        bound = box_distance(q.low[c], q.high[c], d.low, d.high, nan_euclidean)
+        able = np.zeros(len(bound), bool)
+        for j in asked:
+            able |= (d.pattern >> j & 1 == 1) if j >= 0 else True
+        todo = np.flatnonzero(able & (bound < np.inf))
+        todo = todo[np.argsort(bound[todo], kind="stable")]
+        step = STEP_ROWS // 4
+        while len(todo):
+            reach = max(float(best[j].edge().max()) for j in asked)
+            todo = todo[:np.searchsorted(bound[todo], reach, "right")]
+            if not len(todo):
+                break
+            take = max(1, int(np.searchsorted(np.cumsum(size[todo]), step, "right")))
+            part, todo, step = todo[:take], todo[take:], STEP_ROWS
+            rows = np.concatenate([np.arange(d.start[i], d.start[i + 1]) for i in part])
+            d2 = distances(x[own], sorted_y[rows], nan_euclidean)
+            pairs += d2.size
+            for j in asked:
+                known = np.flatnonzero(~np.isnan(sorted_y[rows, j])) if j >= 0 else np.arange(len(rows))
+                if len(known):
+                    best[j].add(d2[:, known], sorted_ids[rows[known]], sorted_y[rows[known], j] if j >= 0 else np.zeros(len(known)))
+        for j in asked:
+            r, rank = np.nonzero(best[j].d2 < np.inf)
+            out.append((own[r], np.full(len(r), j), rank + 1, best[j].id[r, rank], best[j].d2[r, rank], best[j].value[r, rank]))
+    if not out:
+        return [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, float, float)], pairs
+    return [np.concatenate(v) for v in zip(*out)], pairs
 
-#: Mean rows of a tile (tiles are keyed draws) and rows of a block in memory.
-TILE_ROWS, BLOCK = 8_192, 1_024
 
+# ------------------------------------------------------------------- dealing
 
-def _tiles(df: DataFrame, key: str, n_tiles: int, salt: str) -> DataFrame:
-    return df.withColumn("_tile", F.floor(uniform(0, salt, key) * n_tiles).cast("int"))
+@dataclass
+class Dealt:
+    """``rows`` with ``_tile``; ``leaves``: (tile, last tile, pattern, low, high, rows)."""
+    rows: DataFrame
+    leaves: list
+    tiles: int
+
+
+def _splits(sample: np.ndarray, rows: int) -> dict:
+    """A tree of medians for each pattern seen: (column, value, low, high)."""
+    def grow(x):
+        if len(x) <= rows:
+            return None
+        j, spread = _widest(x)
+        cut = float(np.median(x[:, j]))
+        left = x[:, j] < cut
+        return (j, cut, grow(x[left]), grow(x[~left])) if spread > 0 and left.any() else None
+    kind = patterns(sample)
+    return {int(k): grow(sample[kind == k]) for k in np.unique(kind)}
+
+
+def _leaf_codes(x: np.ndarray, trees: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern, path) of each row; paths are bits behind a leading one."""
+    kind, path = patterns(x), np.ones(len(x), np.int64)
+
+    def walk(own, tree):
+        if tree is not None and len(own):
+            right = x[own, tree[0]] >= tree[1]
+            path[own] = path[own] * 2 + right
+            walk(own[~right], tree[2]), walk(own[right], tree[3])
+    for k in np.unique(kind):
+        own = np.flatnonzero(kind == k)
+        if int(k) in trees:
+            walk(own, trees[int(k)])
+        else:
+            kind[own] = _MIXED
+    return kind, path
+
+
+def _deal(df: DataFrame, feats: list[str], tile_rows: int, salt: str) -> Dealt:
+    """Rows (``_id`` and features) dealt to tiles of about ``tile_rows``."""
+    df = stage(df, "knn")
+    n, p = df.count(), len(feats)
+    draw = uniform(0, salt, "_id")
+    sample = df.where(draw < min(1.0, SAMPLE_ROWS / max(n, 1))).select(*feats).toPandas().to_numpy("float64", na_value=np.nan)
+    trees = _splits(sample, max(1, int(len(sample) * tile_rows / (4 * max(n, 1)))))
+
+    def kernel(batches):
+        for b in batches:
+            x = np.column_stack([b.column(b.schema.get_field_index(f)).to_numpy(zero_copy_only=False) for f in feats])
+            kind, path = _leaf_codes(x, trees)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kind), pa.array(path)], [*b.schema.names, "_kind", "_path"])
+
+    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + ["_kind long", "_path long"])
+    leafed = stage(df.mapInArrow(kernel, schema), "knn")
+    unstage(df)
+    found = leafed.groupBy("_kind", "_path").agg(F.count(F.lit(1)).alias("n"), *[F.min(f).alias(f"low{i}") for i, f in enumerate(feats)],
+                                                 *[F.max(f).alias(f"high{i}") for i, f in enumerate(feats)])
+    leaves, table, tile, held = [], [], 0, 0
+    # one row for each leaf of the sample's splits
+    for r in found.orderBy("_kind", "_path").collect():
+        if held and held + r["n"] > tile_rows:
+            tile, held = tile + 1, 0
+        parts = max(1, -(-r["n"] // tile_rows))
+        box = [np.array([np.nan if r[f"{s}{i}"] is None else r[f"{s}{i}"] for i in range(p)]) for s in ("low", "high")]
+        table.append((r["_kind"], r["_path"], tile, parts))
+        leaves.append((tile, tile + parts - 1, r["_kind"], *box, r["n"]))
+        tile, held = (tile, held + r["n"]) if parts == 1 else (tile + parts, 0)
+    small = df.sparkSession.createDataFrame(table, "_kind long, _path long, _first int, _parts int")
+    rows = leafed.join(F.broadcast(small), ["_kind", "_path"]).withColumn(
+        "_tile", F.col("_first") + F.floor(uniform(1, salt, "_id") * F.col("_parts")).cast("int"))
+    return Dealt(rows.select("_id", "_tile", *feats), leaves, max((x[1] for x in leaves), default=-1) + 1)
+
+
+def _tile_bounds(d: Dealt, nan_euclidean: bool):
+    """For a query leaf (pattern, low, high): the lower bound of each donor tile."""
+    tiles, bounded = d.tiles, [x for x in d.leaves if x[2] != _MIXED]
+    lows, highs = (np.array([x[k] for x in bounded]).reshape(len(bounded), -1) for k in (3, 4))
+    free = [x for x in d.leaves if x[2] == _MIXED]
+
+    def of(kind: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        out = np.full(tiles, np.inf)
+        if kind == _MIXED:
+            return np.zeros(tiles)
+        if bounded:
+            for x, b in zip(bounded, box_distance(low, high, lows, highs, nan_euclidean)):
+                out[x[0]:x[1] + 1] = np.minimum(out[x[0]:x[1] + 1], b)
+        for x in free:
+            out[x[0]:x[1] + 1] = 0.0
+        return out
+    return of
+
+
+def _tile_pairs(leaves: DataFrame, d: Dealt, nan_euclidean: bool) -> DataFrame:
+    """(a, b, home): for each query leaf (a, n, kind, low, high, reach) the
+    donor tiles within its reach, or its closest one where it has none yet."""
+    of = _tile_bounds(d, nan_euclidean)
+
+    def kernel(frames):
+        for pdf in frames:
+            for a, n, kind, low, high, reach in pdf[["a", "n", "kind", "low", "high", "reach"]].itertuples(index=False):
+                bound = of(kind, *(np.array(v, "float64") for v in (low, high)))
+                found = [int(bound.argmin())] if np.isnan(reach) else np.flatnonzero(bound <= reach).tolist()
+                yield pd.DataFrame({"a": a, "b": found, "n": n})
+
+    return leaves.mapInPandas(kernel, "a int, b int, n long")
 
 
 def knn_candidates(queries: DataFrame, donors: DataFrame, qid: str, did: str, feats: list[str], k: int,
                    nan_euclidean: bool = False, donor_values: list[str] | None = None) -> DataFrame:
-    """Long rows (qid, col, did, d2, value): for every query the k nearest
-    donors by squared distance (ties by donor id).
+    """Long rows (qid, col, donor, d2, value, rank): for every query the k
+    nearest donors by squared distance (ties by donor id).
 
     Plain mode: Euclidean over ``feats`` (col = '').  nan_euclidean mode
     (KNN imputation): distance over co-present coordinates scaled by
     p / present; for each column in ``donor_values`` (a subset of
-    ``feats``) only donors where that column is present compete, and
-    ``value`` carries the donor's value."""
-    nq, nd = queries.count(), donors.count()
-    qt, dt = max(1, math.ceil(nq / TILE_ROWS)), max(1, math.ceil(nd / TILE_ROWS))
-    cols = donor_values or []
-    q = _tiles(queries.select(F.col(qid).alias("_id"), *[F.col(c).cast("double").alias(c) for c in feats]),
-               "_id", qt, "qtile")
-    d = _tiles(donors.select(F.col(did).alias("_id"), *[F.col(c).cast("double").alias(c) for c in feats]),
-               "_id", dt, "dtile")
-    # every query tile meets every donor tile exactly once
-    q = q.withColumn("_pair", F.explode(F.sequence(F.col("_tile") * dt, F.col("_tile") * dt + dt - 1))).drop("_tile")
-    d = d.withColumn("_pair", F.explode(F.sequence(F.col("_tile"), F.lit(qt * dt - 1), F.lit(dt)))).drop("_tile")
-    p = len(feats)
-    schema = "_q long, _col string, _d long, _d2 double, _v double"
-
-    def distances(x, y):
-        """Squared distances of a block, NaN where no coordinate is shared;
-        coordinates are added in the order of ``feats``."""
-        acc, present = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
-        for j in range(p):
-            diff = x[:, j, None] - y[None, :, j]
-            ok = ~np.isnan(diff)
-            acc += np.where(ok, diff * diff, 0.0)
-            present += ok
-        if not nan_euclidean:
-            return acc
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(present > 0, (float(p) / present) * acc, np.nan)
-
-    def nearest(d2, eligible):
-        """(row, donor place) of the k least distances of each row, ties by
-        the donors' order."""
-        d2 = np.where(eligible[None, :] & ~np.isnan(d2), d2, np.inf)
-        if d2.shape[1] > k:
-            edge = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
-            row, at = np.nonzero((d2 <= edge) & (d2 < np.inf))
-        else:
-            row, at = np.nonzero(d2 < np.inf)
-        order = np.lexsort((at, d2[row, at], row))
-        row, at = row[order], at[order]
-        first = np.searchsorted(row, np.arange(len(d2)))
-        keep = np.arange(len(row)) - first[row] < k
-        return row[keep], at[keep]
-
-    def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        cells = {c: [] for c in ("_q", "_col", "_d", "_d2", "_v")}
-        if not (qpdf.empty or dpdf.empty):
-            dpdf = dpdf.sort_values("_id", kind="stable")
-            x, y = (f[feats].to_numpy(dtype="float64", na_value=np.nan) for f in (qpdf, dpdf))
-            dids, qids = dpdf["_id"].to_numpy(), qpdf["_id"].to_numpy()
-            for s in range(0, len(x), BLOCK):
-                # donors in blocks as well: a few arrays of BLOCK x BLOCK are live
-                for t in range(0, len(y), BLOCK):
-                    part = y[t:t + BLOCK]
-                    d2 = distances(x[s:s + BLOCK], part)
-                    for c in cols or [""]:
-                        values = part[:, feats.index(c)] if c else np.zeros(len(part))
-                        row, at = nearest(d2, ~np.isnan(values))
-                        cells["_q"].append(qids[s + row])
-                        cells["_col"].append(np.full(len(row), c, object))
-                        cells["_d"].append(dids[t + at])
-                        cells["_d2"].append(d2[row, at])
-                        cells["_v"].append(values[at])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in cells.items()})
-
-    cand = q.groupBy("_pair").cogroup(d.groupBy("_pair")).applyInPandas(kernel, schema)
+    ``feats``) that a query lacks, the donors where it is present compete,
+    and ``value`` carries the donor's value."""
+    spark = queries.sparkSession
+    given, feats = feats, [f"_f{i}" for i in range(len(feats))]
+    flat = lambda df, key: df.select(F.col(key).cast("long").alias("_id"), *[
+        F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(given)])
+    q, d = _deal(flat(queries, qid), feats, QUERY_ROWS, "qtile"), _deal(flat(donors, did), feats, DONOR_ROWS, "dtile")
+    names = donor_values or [""]
+    columns = [given.index(c) if c else -1 for c in names]
+    limit = [f"_l{i}" for i in range(len(names))]
+    place_of = np.zeros(len(feats) + 1, np.int64)
+    place_of[columns] = np.arange(len(columns))
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["_q", "_col", "_d", "_d2", "_v", "_rk"])
+        x, y = (f[feats].to_numpy(dtype="float64", na_value=np.nan) for f in (left, right))
+        limits = left[limit].to_numpy(dtype="float64")
+        (at, col, rank, ids, d2, value), _ = nearest(x, limits, y, right["_id"].to_numpy(), k, columns, nan_euclidean)
+        label = np.array(names, object)[place_of[col]]
+        return pd.DataFrame({"_q": left["_id"].to_numpy()[at], "_col": label, "_d": ids, "_d2": d2, "_v": value, "_rk": rank})
+
+    schema = "_q long, _col string, _d long, _d2 double, _v double, _rk long"
+
+    def met(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Query tiles (a) with donor tiles (b)."""
+        ours = pairs.select(F.col("a").alias("_tile"), F.col("b").alias("_other"))
+        theirs = pairs.select(F.col("a").alias("_other"), F.col("b").alias("_tile"))
+        left = rows.join(ours, "_tile").groupBy("_tile", "_other")
+        right = d.rows.join(theirs, "_tile").groupBy("_other", "_tile")
+        return left.cogroup(right).applyInPandas(kernel, schema)
+
+    result = lambda df: df.select(F.col("_q").alias(qid), F.col("_col").alias("col"), F.col("_d").alias("donor"),
+                                  F.col("_d2").alias("d2"), F.col("_v").alias("value"), F.col("_rk").cast("int").alias("rank"))
+    if not q.tiles or not d.tiles:
+        return result(spark.createDataFrame([], schema))
+    # one row for each leaf of the sample's splits and each tile it fills
+    leaves = spark.createDataFrame([(t, x[5], x[2], x[3].tolist(), x[4].tolist()) for x in q.leaves for t in range(x[0], x[1] + 1)],
+                                   "a int, n long, kind long, low array<double>, high array<double>")
+    open_ = q.rows.select("*", *[F.lit(float("inf")).alias(c) for c in limit])
+    # the home of a query tile is the donor tile closest to its largest leaf
+    home = stage(_tile_pairs(leaves.withColumn("reach", F.lit(float("nan"))), d, nan_euclidean).groupBy("a").agg(
+        F.max_by("b", F.struct("n", "b")).alias("b")), "knn_pairs")
+    first = met(open_, home)
+    if d.tiles == 1:
+        return result(first)
+    first = stage(first, "knn_home")
+    # a query's limits: its k-th distances at home; a column it has asks nothing
+    kth = first.where(F.col("_rk") == k).groupBy(F.col("_q").alias("_id")).agg(*[
+        F.min(F.when(F.col("_col") == c, F.col("_d2"))).alias(f"_k{i}") for i, c in enumerate(names)])
+    limits = [F.when(F.col(f"_f{columns[i]}").isNull() if c else F.lit(True), F.coalesce(f"_k{i}", F.lit(float("inf")))).otherwise(F.lit(-1.0)).alias(limit[i])
+              for i, c in enumerate(names)]
+    bounded = stage(q.rows.join(kth, "_id", "left").select("_id", "_tile", *feats, *limits), "knn_limits")
+    reach = bounded.groupBy(F.col("_tile").alias("a")).agg(F.greatest(*[F.max(c) for c in limit], F.lit(-1.0)).alias("reach"))
+    pairs = stage(_tile_pairs(leaves.join(reach, "a"), d, nan_euclidean).select("a", "b").distinct().join(
+        home.select("a", "b"), ["a", "b"], "left_anti"), "knn_pairs")
+    both = first.unionByName(met(bounded, pairs)).drop("_rk")
     w = Window.partitionBy("_q", "_col").orderBy("_d2", "_d")
-    best = cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
-    return best.select(F.col("_q").alias(qid), F.col("_col").alias("col"), F.col("_d").alias("donor"),
-                       F.col("_d2").alias("d2"), F.col("_v").alias("value"), F.col("_rk").alias("rank"))
+    return result(both.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k))
