@@ -1,4 +1,5 @@
-"""Chained-equation imputation (I-01, I-02, I-06, I-07, I-10, I-11).
+"""Chained-equation imputation (I-01, I-02, I-10, I-11; the base of I-03, I-04,
+I-06 and I-07 in ``chains``).
 
 ``MiceImputer`` uses Bayesian ridge conditionals with posterior draws.  Per
 round and column the regression needs only sufficient statistics of the rows
@@ -9,8 +10,9 @@ training rows is staged once per round and the previous stage deleted, so a
 fit writes ``rounds`` narrow tables, not one per column.  ``transform`` is
 row-local: all fitted steps are replayed in one kernel without any stage.
 
-``TreeChain`` uses Spark ML forests or boosted trees as conditionals, without
-draws.  Both clip to the training range and round the codes half to even.
+A step of another kind (see ``chains``) takes the ridge's place by overriding
+``_conditional``.  ``TreeChain`` uses Spark ML forests as conditionals, without
+draws.  All clip to the training range and round the codes half to even.
 
 Draws are keyed by (seed, round, column, row id), so completions do not
 depend on partitioning, and only missing cells draw.
@@ -80,6 +82,12 @@ class Step:
     sigma: np.ndarray
     mu: np.ndarray
 
+    def predict(self, others: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Mean and deviation of the column given the others."""
+        d = others - self.mu
+        spread = 1.0 / self.alpha + np.einsum("ij,jk,ik->i", d, self.sigma, d)
+        return self.intercept + self.mu @ self.coef + d @ self.coef, np.sqrt(np.maximum(spread, 1e-24))
+
 
 class _Replay:
     """Fills the missing cells of a (rows x columns) matrix step by step."""
@@ -92,11 +100,9 @@ class _Replay:
         rows = np.flatnonzero(missing[:, st.column])
         if not len(rows):
             return
-        others = np.delete(x[rows], st.column, axis=1) - st.mu
-        pred = st.intercept + st.mu @ st.coef + others @ st.coef
+        pred, sd = st.predict(np.delete(x[rows], st.column, axis=1))
         lo, hi = self.lo[st.column], self.hi[st.column]
-        if self.posterior:
-            sd = np.sqrt(np.maximum(1.0 / st.alpha + np.einsum("ij,jk,ik->i", others, st.sigma, others), 1e-24))
+        if self.posterior and sd is not None:
             a, b = (np.interp((v - pred) / sd, self.z, self.p) for v in (lo, hi))
             pred = pred + sd * np.interp(a + u[rows] * (b - a), self.p, self.z)
         x[rows, st.column] = np.clip(pred, lo, hi)
@@ -130,6 +136,8 @@ class MiceImputer:
 
     def _draws(self, steps: list) -> list:
         """One uniform column per step, drawn for missing cells only."""
+        if not self.sample_posterior:
+            return []
         return [F.when(F.col(f"_m{s.column}"),
                        uniform(self.seed, f"mice|{s.rnd}|{self.cols[s.column]}", self.row_id)).alias(f"_u{k}")
                 for k, s in enumerate(steps)]
@@ -150,7 +158,7 @@ class MiceImputer:
                     continue
                 missing, x = _matrix(b, 1, p) > 0, _matrix(b, 1 + p, p).copy()
                 for k, st in enumerate(steps):
-                    u = b.column(1 + 2 * p + k).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    u = b.column(1 + 2 * p + k).cast(pa.float64()).to_numpy(zero_copy_only=False) if replay.posterior else None
                     replay.step(x, missing, st, u)
                 yield emit(b.column(0), missing, x)
 
@@ -184,6 +192,19 @@ class MiceImputer:
                                            *[pa.array(x[:, i]) for i in range(p)]],
                                           [self.row_id, *[f"_m{i}" for i in range(p)], *[f"_x{i}" for i in range(p)]])
 
+    def _conditional(self, state: DataFrame, own: list, column: int, rnd: int):
+        """The fitted step of a column after the round's steps so far, or None."""
+        st = self._statistics(state, own, column)
+        if st["n"] < 2:
+            return None
+        coef, b, alpha, sigma, mu = bayesian_ridge(st)
+        mean = np.delete(self.means, column)
+        return Step(column, rnd, coef, b + self.means[column] - mean @ coef, alpha, sigma, mu + mean)
+
+    def _settled(self, state: DataFrame, own: list) -> bool:
+        """Whether the round moved no cell (with draws a chain never settles)."""
+        return False
+
     def fit(self, train: DataFrame) -> "MiceImputer":
         self._start(train)
         state = stage(self._opened(train), "chain")
@@ -193,14 +214,13 @@ class MiceImputer:
         for rnd in range(self.rounds):
             own: list = []
             for c in self.order:
-                st = self._statistics(state, own, c)
-                if st["n"] < 2:
-                    continue
-                coef, b, alpha, sigma, mu = bayesian_ridge(st)
-                mean = np.delete(self.means, c)
-                own.append(Step(c, rnd, coef, b + self.means[c] - mean @ coef, alpha, sigma, mu + mean))
+                step = self._conditional(state, own, c, rnd)
+                if step is not None:
+                    own.append(step)
             self.steps += own
             if rnd + 1 < self.rounds:
+                if self._settled(state, own):
+                    break
                 nxt = stage(self._replayed(state, own, self._emit_state, schema), "chain")
                 unstage(state)
                 state = nxt
@@ -242,12 +262,10 @@ def completions(train: DataFrame, frames: dict, cols: list, m: int = 3, seed: in
 
 @dataclass
 class TreeChain:
-    """I-02, I-06, I-07: chained equations with Spark ML tree conditionals of
-    20 trees of depth 5 (the reference's setting), predictions clipped to the
-    train range.  ``kind`` is "forest" or "boosted".  Rounds end early when no
-    cell moves by ``tol`` of the largest observed size."""
+    """I-02: chained equations with Spark ML forests of 20 trees of depth 5 (the
+    reference's setting), predictions clipped to the train range.  Rounds end
+    early when no cell moves by ``tol`` of the largest observed size."""
     cols: list
-    kind: str = "forest"
     rounds: int = 10
     trees: int = 20
     depth: int = 5
@@ -258,10 +276,9 @@ class TreeChain:
     steps: list = field(default_factory=list)
 
     def _regressor(self, column: str):
-        from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-        common = dict(featuresCol="_f", labelCol=column, predictionCol="_p", maxDepth=self.depth, seed=self.seed)
-        return RandomForestRegressor(numTrees=self.trees, **common) if self.kind == "forest" \
-            else GBTRegressor(maxIter=self.trees, **common)
+        from pyspark.ml.regression import RandomForestRegressor
+        return RandomForestRegressor(numTrees=self.trees, featuresCol="_f", labelCol=column, predictionCol="_p",
+                                     maxDepth=self.depth, seed=self.seed)
 
     def _vector(self, df: DataFrame, column: str) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
@@ -316,12 +333,13 @@ class TreeChain:
 
 
 #: I-10: imputers by name.
-IMPUTERS = ("mean", "knn", "mice_bayes", "mice_forest", "mice_boosted")
+IMPUTERS = ("mean", "knn", "mice_bayes", "mice_forest", "mice_xgb", "mice_lgbm", "mice_svm", "mice_gp")
 
 
 def imputer(name: str, cols: list, codes: tuple = (), seed: int = 42, rounds: int = 10):
     """An unfitted imputer by name; unknown names raise."""
     from lacuna.models.knn import KNNImputer
+    from lacuna.operators.chains import BoostedChain, GaussianProcessChain, SupportVectorChain
     from lacuna.operators.impute import MeanImputer
     from lacuna.spec import check_choice
     check_choice("imputer", name, IMPUTERS)
@@ -329,6 +347,13 @@ def imputer(name: str, cols: list, codes: tuple = (), seed: int = 42, rounds: in
         return MeanImputer(cols, codes=codes)
     if name == "knn":
         return KNNImputer(cols, 5, codes=codes)
+    options = dict(rounds=rounds, seed=seed, codes=codes)
     if name == "mice_bayes":
-        return MiceImputer(cols, rounds=rounds, seed=seed, codes=codes)
-    return TreeChain(cols, kind=name.removeprefix("mice_"), rounds=rounds, seed=seed, codes=codes)
+        return MiceImputer(cols, **options)
+    if name == "mice_forest":
+        return TreeChain(cols, **options)
+    if name == "mice_svm":
+        return SupportVectorChain(cols, **options)
+    if name == "mice_gp":
+        return GaussianProcessChain(cols, **options)
+    return BoostedChain(cols, preset=name.removeprefix("mice_"), **options)

@@ -278,8 +278,27 @@ def q_impute_forest(spark, sf):
 
 @query("impute_mice_boosted")
 def q_impute_boosted(spark, sf):
-    """I-06, I-07 + I-10: chained boosted trees."""
-    return _imputed(spark, sf, "mice_boosted")
+    """I-06 + I-10: chained boosted trees, 20 of depth 5 at rate 0.3."""
+    return _imputed(spark, sf, "mice_xgb")
+
+
+@query("impute_mice_lgbm")
+def q_impute_lgbm(spark, sf):
+    """I-07 + I-10: chained boosted trees, 20 of depth 5 at rate 0.1, leaves
+    of 20 rows or more."""
+    return _imputed(spark, sf, "mice_lgbm")
+
+
+@query("impute_mice_svm")
+def q_impute_svm(spark, sf):
+    """I-04 + I-10: chained epsilon-insensitive linear regressions."""
+    return _imputed(spark, sf, "mice_svm")
+
+
+@query("impute_mice_gp")
+def q_impute_gp(spark, sf):
+    """I-03 + I-10: chained Gaussian processes with posterior draws."""
+    return _imputed(spark, sf, "mice_gp")
 
 
 @query("impute_views")
