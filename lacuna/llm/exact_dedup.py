@@ -18,8 +18,9 @@ with a third of all rows is spread over ``SALTS`` keys.  A shard holds about
 
 Cases: null text counts as empty; a null id sorts after every other id and
 wins only a group without ids; equal texts whose smallest id occurs in several
-rows keep all rows of that id (an id names one document); an empty table gives
-an empty result; other columns pass through ``kept_rows`` untouched.
+rows show all rows of that id as kept, of which ``kept_rows`` keeps one; a very
+long text is hashed in the JVM and never moved; an empty table gives an empty
+result; other columns pass through ``kept_rows`` untouched.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.survivors import survivors
 from lacuna.session import stage
 
 SHARD_ROWS = 50_000
@@ -201,13 +203,17 @@ def dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id", text_col: st
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with all their columns."""
+    """One row of each group of equal texts, with all its columns: a row of the
+    smallest id, of several the one with the least hash over its columns."""
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own_id, own_text = (f"c{names.index(c)}" for c in (id_col, text_col))
-    dropped = (dedup(docs, None, id_col, text_col).where(~F.col("kept"))
-               .select(F.col("id").alias("drop_id"), F.col("digest").alias("drop_digest")).distinct())
+    verdict = dedup(docs, None, id_col, text_col)
+    entries = verdict.groupBy(F.col("id").alias("drop_id"), F.col("digest").alias("drop_digest")).agg(
+        F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    entries = stage(entries, "entries")
     norm = F.regexp_replace(F.coalesce(F.col(own_text), F.lit("")), WHITE_RUN, " ")
     digest = F.unhex(F.sha2(norm.cast("binary"), 256))
-    match = F.col(own_id).cast("long").eqNullSafe(F.col("drop_id")) & (digest == F.col("drop_digest"))
-    return flat.join(dropped, match, "left_anti").toDF(*names)
+    key = lambda t: t.select("drop_id", "drop_digest")
+    return survivors(flat, F.col(own_id).cast("long"), digest, key(entries.where("NOT kept")),
+                     key(entries.where("kept AND rows > 1"))).toDF(*names)

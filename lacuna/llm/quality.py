@@ -197,13 +197,17 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = D
 
 # ---------------------------------------------------------------- the operator
 
+#: Bytes of text at once: the statistics hold several numbers for each byte.
+SLICE_BYTES = 1 << 20
+
+
 def held_out(id_col):
     """crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _feature_rows(batches):
-    for b in A.slices(batches, "text"):
+    for b in A.slices(batches, "text", SLICE_BYTES):
         x = statistics(A.text_column(b, "text"))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
@@ -226,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     """(doc_id, score) of every row."""
     def kernel(batches):
-        for b in A.slices(batches, "text"):
+        for b in A.slices(batches, "text", SLICE_BYTES):
             s = model.score(statistics(A.text_column(b, "text")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
 
@@ -240,7 +244,7 @@ def accepted(docs: DataFrame, model: Trees, threshold: float) -> DataFrame:
     at = f"c{names.index('text')}"
 
     def kernel(batches):
-        for b in A.slices(batches, at):
+        for b in A.slices(batches, at, SLICE_BYTES):
             yield b.filter(pa.array(model.score(statistics(A.text_column(b, at))) >= threshold))
 
     return flat.mapInArrow(kernel, flat.schema).toDF(*names)

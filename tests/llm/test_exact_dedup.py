@@ -42,6 +42,13 @@ def test_empty_table_and_clashing_columns(empty, clashing):
     assert kept.where("doc_id = 2").count() == 0 and kept.where("doc_id = 1").count() == 1
 
 
+def test_one_row_stays_of_each_group(spark):
+    rows = [(None, "same"), (None, "same"), (None, "same "), (3, "a  b"), (3, "a b"), (4, "a b"), (5, "c"), (5, "c"), (5, "d")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, kept int")
+    got = sorted((str(r.doc_id), " ".join(r.text.split())) for r in X.kept_rows(df).collect())
+    assert got == [("3", "a b"), ("5", "c"), ("5", "d"), ("None", "same"), ("None", "same")]
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     rng = np.random.default_rng(1)
     matrix = rng.integers(0, 256, (5000, 32), dtype=np.uint8)
