@@ -56,6 +56,18 @@ PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, se
 _PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*")
 
 
+def spec_of(path: str) -> tuple[str | None, list[str]]:
+    """The pattern of pieces (None for a file of another make) and the special
+    tokens of a tokenizer file."""
+    with open(path, encoding="utf-8") as text:
+        spec = json.load(text)
+    kinds = lambda part, many: [x["type"] for x in (spec[part] or {}).get(many, [])]
+    plain = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and \
+        kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if plain else None
+    return pattern, [t["content"] for t in spec["added_tokens"]]
+
+
 class WordTokens:
     """Token ids of texts from a word-level tokenizer file: white space is
     dropped and words never merge, so each distinct word is encoded once.
@@ -64,18 +76,13 @@ class WordTokens:
     distinct piece goes to the merges alone; a file of another make than NFC,
     lower case and byte-level pieces takes the whole tokenizer throughout."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spec: tuple[str | None, list[str]] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        spec = json.loads(self.tokenizer.to_str())
-        kinds = lambda part, many: [x["type"] for x in (spec[part] or {}).get(many, [])]
-        self.pattern = None
-        if kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and \
-                kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]:
-            self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        pattern, self.specials = spec or spec_of(path)
+        self.pattern = regex.compile(pattern).findall if pattern is not None else None
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._clear()
 
@@ -189,6 +196,16 @@ class Pool:
         return None
 
 
+def worker_tokens(path: str, spec) -> WordTokens:
+    """The tokens of a file, kept for the tasks that follow in this worker."""
+    import tokenizers
+    held = tokenizers.__dict__.setdefault("_words_by_path", {})
+    if path not in held:
+        held.clear()
+        held[path] = WordTokens(path, spec)
+    return held[path]
+
+
 def windows(pool: Pool, last: bool):
     """Full windows (tier, pieces) from a pool; at the end of the input also
     windows of the remaining powers of two."""
@@ -282,10 +299,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers=TIERS, step_tokens:
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its document's ids [start, start + length) as
     little-endian unsigned 32-bit integers lie at ``offset`` of a sequence."""
-    tiers = tuple(tiers)
+    tiers, spec = tuple(tiers), spec_of(path)
 
     def kernel(batches):
-        feed, finish = _packer(WordTokens(path), end_id, tiers, step_tokens)
+        feed, finish = _packer(worker_tokens(path, spec), end_id, tiers, step_tokens)
 
         def as_batches(rows):
             rows = list(rows)
