@@ -8,10 +8,17 @@ where its column is known, as arrays of many rows in one value, kept by Spark
 an executor is lost.  Each pass over the blocks adds up a vector of sums of
 fixed length in every task; the tasks' vectors are added in Spark, and only the
 sum reaches the driver.
+
+A solver (``TreeSolver``, ``VectorSolver``) is written against these sums alone.
+A fit takes dozens of passes, and of a chain that fits one partition (at most
+``TASK_ROWS`` rows) each would be a job of a few milliseconds' work: there the
+same solver runs in the one task that holds the block, whose sums are the whole
+ones already.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +31,8 @@ from lacuna.operators.mice import MiceImputer
 
 #: Rows of a partition of the state.
 PARTITION_ROWS = 65_536
+#: A state of at most so many rows is one block, about 20 bytes a row and column.
+TASK_ROWS = 262_144
 #: Task vectors that are small enough to be added on the driver: tasks x length.
 DIRECT_CELLS = 1 << 20
 
@@ -33,7 +42,9 @@ class BlockChain(MiceImputer):
 
     def _opened(self, df: DataFrame) -> DataFrame:
         opened = super()._opened(df)
-        return opened.coalesce(max(1, -(-self.n // PARTITION_ROWS))) if self.fitting else opened
+        if not self.fitting:
+            return opened
+        return opened.coalesce(1 if self.n <= TASK_ROWS else -(-self.n // PARTITION_ROWS))
 
     def _start(self, train: DataFrame) -> None:
         super()._start(train)
@@ -54,35 +65,21 @@ class BlockChain(MiceImputer):
                 [pa.array([int(seen.sum())]), pa.array([(others if encode is None else encode(others)).tobytes()], pa.binary()),
                  pa.array([x[seen, column].tobytes()], pa.binary())], ["n", "x", "y"])
 
-        blocks = self._replayed(state, own, emit, "n long, x binary, y binary").persist(StorageLevel.MEMORY_AND_DISK)
-        blocks.tasks = state.rdd.getNumPartitions()
-        return blocks
-
-    @staticmethod
-    def _sums(blocks: DataFrame, length: int, add) -> np.ndarray:
-        """The sum of ``add(n, x bytes, y)`` over all blocks."""
-        def kernel(batches):
-            total = np.zeros(length)
-            for b in batches:
-                for n, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                    if n:
-                        total += add(n, x.as_buffer(), np.frombuffer(y.as_buffer()))
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
-
-        def spread(batches):
-            for b in kernel(batches):
-                v = np.frombuffer(b.column(0)[0].as_buffer())
-                k = np.flatnonzero(v)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v[k])], ["k", "v"])
-
-        out = np.zeros(length)
-        if blocks.tasks * length <= DIRECT_CELLS:
-            for r in blocks.mapInArrow(kernel, "v binary").collect():
-                out += np.frombuffer(r["v"])
-        else:
-            for r in blocks.mapInArrow(spread, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-                out[r["k"]] = r["v"]
-        return out
+        return self._replayed(state, own, emit, "n long, x binary, y binary")
+
+    def _solved(self, state: DataFrame, own: list, column: int, solver, encode=None):
+        """``solver.solve(sums)`` over the blocks of a column, where
+        ``sums(length, add)`` is the sum of ``add(n, x bytes, y, memo)``; ``memo``
+        is a dict that stays with a block as long as the block does."""
+        blocks = self._blocks(state, own, column, encode)
+        if self.n <= TASK_ROWS:
+            return pickle.loads(blocks.coalesce(1).mapInArrow(in_task(solver), "v binary").first()["v"])
+        blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = state.rdd.getNumPartitions()
+        try:
+            return solver.solve(lambda length, add: spark_sums(blocks, tasks, length, add))
+        finally:
+            blocks.unpersist()
 
     def _settled(self, state: DataFrame, own: list) -> bool:
         """No cell moved by ``tol`` of the largest observed size."""
@@ -101,6 +98,49 @@ class BlockChain(MiceImputer):
         return moved is None or moved < self.tol * scale
 
 
+def block_sums(parts, length: int, add) -> np.ndarray:
+    total = np.zeros(length)
+    for n, x, y, memo in parts:
+        if n:
+            total += add(n, x, np.frombuffer(y), memo)
+    return total
+
+
+def rows_of(batches):
+    for b in batches:
+        for n, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            yield n, x.as_buffer(), y.as_buffer(), {}
+
+
+def in_task(solver):
+    """The solver beside the only partition's blocks."""
+    def kernel(batches):
+        parts = list(rows_of(batches))
+        out = solver.solve(lambda length, add: block_sums(parts, length, add))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], ["v"])
+    return kernel
+
+
+def spark_sums(blocks: DataFrame, tasks: int, length: int, add) -> np.ndarray:
+    def kernel(batches):
+        total = block_sums(rows_of(batches), length, add)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    def spread(batches):
+        v = block_sums(rows_of(batches), length, add)
+        k = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v[k])], ["k", "v"])
+
+    out = np.zeros(length)
+    if tasks * length <= DIRECT_CELLS:
+        for r in blocks.mapInArrow(kernel, "v binary").collect():
+            out += np.frombuffer(r["v"])
+    else:
+        for r in blocks.mapInArrow(spread, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            out[r["k"]] = r["v"]
+    return out
+
+
 # ------------------------------------------------------------- boosted trees
 
 @dataclass
@@ -164,30 +204,21 @@ def best_split(hist: np.ndarray, penalty: float, least: float):
     return divmod(at, hist.shape[1])
 
 
-#: Learning rate, leaf penalty and least rows of a leaf of the two boosting presets.
-PRESETS = {"xgb": (0.3, 1.0, 1.0), "lgbm": (0.1, 0.0, 20.0)}
-
-
-class BoostedChain(BlockChain):
-    """I-06, I-07: chained boosted trees, 20 of depth 5, without draws.
-
-    Columns are binned once, at quantiles of the known training values.  A pass
-    adds up histograms of column *pairs* for the open nodes, which decide two
-    levels of a tree: the first from the margins, the second from the pairs
-    with the first one's column.  A tree of depth 5 takes three passes."""
-
-    def __init__(self, cols, preset: str = "xgb", trees: int = 20, depth: int = 5, bins: int = 32, tol: float = 1e-3, **options):
-        super().__init__(cols, sample_posterior=False, **options)
-        (self.rate, self.penalty, self.least), self.trees, self.depth, self.bins, self.tol = PRESETS[preset], trees, depth, bins, tol
-
-    def _start(self, train: DataFrame) -> None:
-        super()._start(train)
-        share = [(k + 1) / self.bins for k in range(self.bins - 1)]
-        marks = train.agg(*[F.percentile_approx(F.col(c).cast("double"), share, 10_000).alias(c) for c in self.cols]).first()
-        self.edges = [np.unique(np.array(marks[c] if marks[c] is not None else [], float)) for c in self.cols]
+@dataclass
+class TreeSolver:
+    """Boosted trees from sums of pair histograms."""
+    q: int
+    bins: int
+    trees: int
+    depth: int
+    rate: float
+    penalty: float
+    least: float
+    base: float
 
-    def _two_levels(self, hist: np.ndarray, of: dict, q: int):
+    def _two_levels(self, hist: np.ndarray, of: dict):
         """Splits of a node and of its two children from its pair histogram."""
+        q = self.q
         margin = np.stack([hist[of[f, f]].sum(axis=0) for f in range(q)])
         feature, cut = best_split(margin, self.penalty, self.least)
         out = [(feature, cut)]
@@ -198,61 +229,91 @@ class BoostedChain(BlockChain):
             out.append(best_split(child, self.penalty, self.least))
         return out
 
-    def _conditional(self, state: DataFrame, own: list, column: int, rnd: int):
-        q, bins, rate, penalty = len(self.cols) - 1, self.bins, self.rate, self.penalty
-        edges = [e for j, e in enumerate(self.edges) if j != column]
-        if not q:
-            return None
-        coder = TreesStep(column, rnd, 0.0, edges, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0)))
-        blocks = self._blocks(state, own, column, coder.codes)
-        base, inner = float(self.means[column]), (1 << self.depth) - 1
-        feature, cut = np.zeros((0, inner), np.int64), np.zeros((0, inner), np.int64)
-        leaf = np.zeros((0, inner + 1))
+    def solve(self, sums):
+        """(features, cuts, leaves, whether two rows were seen)."""
+        q, bins, depth = self.q, self.bins, self.depth
+        inner = (1 << depth) - 1
+        feature, cut, leaf = np.zeros((0, inner), np.int64), np.zeros((0, inner), np.int64), np.zeros((0, inner + 1))
         both = [(f, g) for f in range(q) for g in range(f, q)]
         same = [(f, f) for f in range(q)]
-
-        def hist(pairs, tree_f, tree_c, depth):
+        seen, base = False, self.base
+        for _ in range(self.trees):
+            f, c, v = np.zeros(inner, np.int64), np.full(inner, bins, np.int64), np.zeros(inner + 1)
             done = (feature, cut, leaf)
 
-            def add(n, x, y):
-                codes = np.frombuffer(x, np.uint8).reshape(q, n)
-                residual = y - base - boosted(codes, *done)
-                node = nodes_of(codes, tree_f, tree_c, depth) - ((1 << depth) - 1)
-                return histogram(codes, residual, node, 1 << depth, bins, pairs).ravel()
-            shape = (1 << depth, len(pairs), bins, bins, 2)
-            return self._sums(blocks, int(np.prod(shape)), add).reshape(shape)
+            def hist(pairs, level):
+                def add(n, x, y, memo):
+                    codes = np.frombuffer(x, np.uint8).reshape(q, n)
+                    known, residual = memo.get("residual", (0, None))
+                    if residual is None or known < len(done[0]):
+                        residual = (y - base if residual is None else residual) - boosted(codes, *(t[known:] for t in done))
+                        memo["residual"] = len(done[0]), residual
+                    node = nodes_of(codes, f, c, level) - ((1 << level) - 1)
+                    return histogram(codes, residual, node, 1 << level, bins, pairs).ravel()
+                shape = (1 << level, len(pairs), bins, bins, 2)
+                return sums(int(np.prod(shape)), add).reshape(shape)
 
-        seen = False
-        for _ in range(self.trees):
-            f, c, v = np.zeros(inner, np.int64), np.full(inner, bins, np.int64), np.zeros(inner + 1)
             level = 0
-            while level < self.depth:
-                two = level + 2 <= self.depth
+            while level < depth:
+                two = level + 2 <= depth
                 pairs = both if two else same
                 of = {p: k for k, p in enumerate(pairs)}
-                h = hist(pairs, f, c, level)
+                h = hist(pairs, level)
                 first = (1 << level) - 1
                 for k in range(1 << level):
                     node = first + k
                     if two:
-                        (f[node], c[node]), *rest = self._two_levels(h[k], of, q)
+                        (f[node], c[node]), *rest = self._two_levels(h[k], of)
                         for child, (cf, cc) in zip((2 * node + 1, 2 * node + 2), rest):
                             f[child], c[child] = cf, cc
                     else:
                         margin = np.stack([h[k, of[j, j]].sum(axis=0) for j in range(q)])
-                        f[node], c[node] = best_split(margin, penalty, self.least)
-                        sums = np.cumsum(margin[f[node]], axis=0)
-                        left, right = sums[c[node]], sums[-1] - sums[c[node]]
-                        for side, (rows, total) in enumerate((left, right)):
-                            v[2 * k + side] = rate * total / (rows + penalty) if rows > 0 else 0.0
-                        seen = seen or sums[-1][0] > 1
+                        f[node], c[node] = best_split(margin, self.penalty, self.least)
+                        total = np.cumsum(margin[f[node]], axis=0)
+                        left, right = total[c[node]], total[-1] - total[c[node]]
+                        for side, (rows, part) in enumerate((left, right)):
+                            v[2 * k + side] = self.rate * part / (rows + self.penalty) if rows > 0 else 0.0
+                        seen = seen or total[-1][0] > 1
                 level += 2 if two else 1
-            if self.depth % 2 == 0:   # the leaves' sums take a pass of their own
-                h = hist(same[:1], f, c, self.depth)[:, 0].sum(axis=(1, 2))
-                v = np.where(h[:, 0] > 0, rate * h[:, 1] / np.maximum(h[:, 0] + penalty, 1e-300), 0.0)
+            if depth % 2 == 0:   # the leaves' sums take a pass of their own
+                h = hist(same[:1], depth)[:, 0].sum(axis=(1, 2))
+                v = np.where(h[:, 0] > 0, self.rate * h[:, 1] / np.maximum(h[:, 0] + self.penalty, 1e-300), 0.0)
                 seen = seen or h[:, 0].sum() > 1
             feature, cut, leaf = np.vstack([feature, f[None]]), np.vstack([cut, c[None]]), np.vstack([leaf, v[None]])
-        blocks.unpersist()
+        return feature, cut, leaf, bool(seen)
+
+
+#: Learning rate, leaf penalty and least rows of a leaf of the two boosting presets.
+PRESETS = {"xgb": (0.3, 1.0, 1.0), "lgbm": (0.1, 0.0, 20.0)}
+
+
+class BoostedChain(BlockChain):
+    """I-06, I-07: chained boosted trees, 20 of depth 5, without draws.
+
+    Columns are binned once, at quantiles of the known training values.  A pass
+    adds up histograms of column *pairs* for the open nodes, which decide two
+    levels of a tree: the first from the margins, the second from the pairs
+    with the first one's column.  A tree of depth 5 takes three passes."""
+
+    def __init__(self, cols, preset: str = "xgb", trees: int = 20, depth: int = 5, bins: int = 32, tol: float = 1e-3, **options):
+        super().__init__(cols, sample_posterior=False, **options)
+        (self.rate, self.penalty, self.least), self.trees, self.depth, self.bins, self.tol = PRESETS[preset], trees, depth, bins, tol
+
+    def _start(self, train: DataFrame) -> None:
+        super()._start(train)
+        share = [(k + 1) / self.bins for k in range(self.bins - 1)]
+        marks = train.agg(*[F.percentile_approx(F.col(c).cast("double"), share, 10_000).alias(c) for c in self.cols]).first()
+        self.edges = [np.unique(np.array(marks[c] if marks[c] is not None else [], float)) for c in self.cols]
+
+    def _conditional(self, state: DataFrame, own: list, column: int, rnd: int):
+        q = len(self.cols) - 1
+        if not q:
+            return None
+        edges, base = [e for j, e in enumerate(self.edges) if j != column], float(self.means[column])
+        empty = np.zeros((0, 0))
+        coder = TreesStep(column, rnd, base, edges, empty, empty, empty)
+        solver = TreeSolver(q, self.bins, self.trees, self.depth, self.rate, self.penalty, self.least, base)
+        feature, cut, leaf, seen = self._solved(state, own, column, solver, coder.codes)
         return TreesStep(column, rnd, base, edges, feature, cut, leaf) if seen else None
 
 
@@ -285,39 +346,60 @@ class SupportVectorChain(BlockChain):
         self.cost, self.epsilon, self.passes, self.stop, self.tol, self.last = cost, epsilon, passes, stop, tol, {}
 
     def _conditional(self, state: DataFrame, own: list, column: int, rnd: int):
-        blocks, q = self._blocks(state, own, column), len(self.cols) - 1
+        q = len(self.cols) - 1
         mean = np.delete(self.means, column)
         scale = np.maximum(np.delete(np.maximum(np.abs(self.hi - self.means), np.abs(self.lo - self.means)), column), 1e-12)
         unit = max(float(max(abs(self.hi[column] - self.means[column]), abs(self.lo[column] - self.means[column]))), 1e-12)
-        centre, epsilon, touch = float(self.means[column]), self.epsilon, 1e-7 * unit
         # z = ((x - mean) / scale, 1): w = u / scale, b = u0 + centre - mean w
         back = np.zeros((q + 1, q + 1))
         back[:q, :q], back[q, :q], back[q, q] = np.diag(1 / scale), -mean / scale, 1.0
-        shift = np.append(np.zeros(q), centre)
-        u = self.last.get(column, np.zeros(q + 1))
-        n = 0.0
+        shift = np.append(np.zeros(q), float(self.means[column]))
+        solver = VectorSolver(mean, scale, float(self.means[column]), self.epsilon, 1e-7 * unit, self.cost, back, shift,
+                              self.passes, self.stop, self.last.get(column, np.zeros(q + 1)))
+        u, n = self._solved(state, own, column, solver)
+        self.last[column] = u
+        if n < 2:
+            return None
+        w = back @ u + shift
+        return LinearStep(column, rnd, w[:q], float(w[q]))
+
+
+@dataclass
+class VectorSolver:
+    """Coefficients from sums of the parabolas' normal equations."""
+    mean: np.ndarray
+    scale: np.ndarray
+    centre: float
+    epsilon: float
+    touch: float
+    cost: float
+    back: np.ndarray
+    shift: np.ndarray
+    passes: int
+    stop: float
+    start: np.ndarray
+
+    def solve(self, sums):
+        """(coefficients, rows)."""
+        q, u, n = len(self.mean), self.start, 0.0
+        mean, scale, centre, epsilon, touch = self.mean, self.scale, self.centre, self.epsilon, self.touch
         for _ in range(self.passes):
             at = u
 
-            def add(n, x, y):
+            def add(n, x, y, memo):
                 z = np.column_stack([(np.frombuffer(x).reshape(n, q) - mean) / scale, np.ones(n)])
                 r = y - centre - z @ at
                 near, far = (0.5 / np.maximum(np.abs(r + e), touch) for e in (-epsilon, epsilon))
                 weighted = z * (near + far)[:, None]
                 return np.concatenate([(z.T @ weighted).ravel(), z.T @ (near * (y - centre - epsilon) + far * (y - centre + epsilon)), [n]])
-            total = self._sums(blocks, (q + 1) ** 2 + q + 2, add)
+            total = sums((q + 1) ** 2 + q + 2, add)
             n = total[-1]
             gram, right = total[:(q + 1) ** 2].reshape(q + 1, q + 1), total[(q + 1) ** 2:-1]
             # the penalty |back u + shift|^2 / 2
-            u = np.linalg.lstsq(self.cost * gram + back.T @ back, self.cost * right - back.T @ shift, rcond=None)[0]
+            u = np.linalg.lstsq(self.cost * gram + self.back.T @ self.back, self.cost * right - self.back.T @ self.shift, rcond=None)[0]
             if np.abs(u - at).max() <= self.stop * max(np.abs(u).max(), 1e-300):
                 break
-        blocks.unpersist()
-        self.last[column] = u
-        if n < 2:
-            return None
-        w = back @ u + shift
-        return LinearStep(column, rnd, w[:q], float(w[q]))
+        return u, n
 
 
 # ------------------------------------------------------------ Gaussian process
@@ -361,6 +443,31 @@ def inverse(a: np.ndarray) -> np.ndarray:
     return a
 
 
+@dataclass
+class FeatureSums:
+    """The Gram matrix of the features, their products with y, the rows."""
+    mean: np.ndarray
+    scale: np.ndarray
+    frequency: np.ndarray
+    phase: np.ndarray
+    centre: float
+    unit: float
+
+    def solve(self, sums):
+        (q, d), s = self.frequency.shape, self
+
+        def add(n, x, y, memo):
+            out = np.zeros(d * d + d + 1)
+            x = np.frombuffer(x).reshape(n, q)
+            for k in range(0, n, 4096):
+                phi = fourier((x[k:k + 4096] - s.mean) / s.scale, s.frequency, s.phase)
+                out[:d * d] += (phi.T @ phi).ravel()
+                out[d * d:-1] += phi.T @ ((y[k:k + 4096] - s.centre) / s.unit)
+            out[-1] = n
+            return out
+        return sums(d * d + d + 1, add)
+
+
 class GaussianProcessChain(BlockChain):
     """I-03: chained Gaussian processes with a squared-exponential kernel over
     standardised columns, posterior draws within the train range.
@@ -388,19 +495,7 @@ class GaussianProcessChain(BlockChain):
         frequency, phase = rng.normal(0.0, 1.0 / self.length, (q, d)), rng.uniform(0.0, 2 * np.pi, d)
         mean, scale = np.delete(self.means, column), np.delete(self.dev, column)
         centre, unit = float(self.means[column]), float(self.dev[column])
-        blocks = self._blocks(state, own, column)
-
-        def add(n, x, y):
-            out = np.zeros(d * d + d + 1)
-            x = np.frombuffer(x).reshape(n, q)
-            for k in range(0, n, 4096):
-                phi = fourier((x[k:k + 4096] - mean) / scale, frequency, phase)
-                out[:d * d] += (phi.T @ phi).ravel()
-                out[d * d:-1] += phi.T @ ((y[k:k + 4096] - centre) / unit)
-            out[-1] = n
-            return out
-        total = self._sums(blocks, d * d + d + 1, add)
-        blocks.unpersist()
+        total = self._solved(state, own, column, FeatureSums(mean, scale, frequency, phase, centre, unit))
         if total[-1] < 2:
             return None
         spread = inverse(total[:d * d].reshape(d, d) + self.noise * np.eye(d))

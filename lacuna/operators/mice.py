@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,7 @@ def bayesian_ridge(st: dict, max_iter: int = 300, tol: float = 1e-3):
     return coef, float(ybar - mu @ coef), float(alpha), sigma, mu
 
 
+@cache
 def _normal_table(reach: float = 8.3, per_unit: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     z = np.linspace(-reach, reach, int(2 * reach * per_unit) + 1)
     return z, np.array([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in z])
@@ -94,7 +96,7 @@ class _Replay:
 
     def __init__(self, lo, hi, posterior: bool):
         self.lo, self.hi, self.posterior = lo, hi, posterior
-        self.z, self.p = _normal_table()
+        self.z, self.p = _normal_table() if posterior else (None, None)
 
     def step(self, x: np.ndarray, missing: np.ndarray, st: Step, u: np.ndarray) -> None:
         rows = np.flatnonzero(missing[:, st.column])

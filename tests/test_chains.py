@@ -22,6 +22,14 @@ def frame(spark, x, miss=None):
 COLS = ["y", "a", "b", "c"]
 
 
+@pytest.fixture(params=["in one task", "over jobs"])
+def way(request, monkeypatch):
+    """The solver beside a single block, and its sums over Spark's blocks."""
+    if request.param == "over jobs":
+        monkeypatch.setattr(C, "TASK_ROWS", 0)
+        monkeypatch.setattr(C, "PARTITION_ROWS", 200)
+
+
 def one_step(chain, df):
     """The first round's conditional of the first column alone."""
     from lacuna.session import stage
@@ -51,7 +59,7 @@ def plain_trees(codes, y, base, trees, depth, bins, rate, penalty, least):
 
 
 @pytest.mark.parametrize("preset,depth", [("xgb", 5), ("lgbm", 5), ("xgb", 4), ("xgb", 1)])
-def test_leaves_equal_plain_boosting(spark, preset, depth):
+def test_leaves_equal_plain_boosting(spark, way, preset, depth):
     x = table()
     chain = C.BoostedChain(COLS, preset=preset, trees=4, depth=depth, rounds=1)
     step = one_step(chain, frame(spark, x))
@@ -69,7 +77,7 @@ def loss(w, b, x, y, cost, epsilon):
 
 
 @pytest.mark.parametrize("cost,epsilon", [(1.0, 0.0), (0.01, 0.0), (1.0, 0.5)])
-def test_support_vector_step_is_the_minimum(spark, cost, epsilon):
+def test_support_vector_step_is_the_minimum(spark, way, cost, epsilon):
     x = table(300)
     chain = C.SupportVectorChain(COLS, cost=cost, epsilon=epsilon, rounds=1)
     step = one_step(chain, frame(spark, x))
@@ -114,6 +122,9 @@ def test_sums_by_either_way_are_equal(spark, monkeypatch):
     x = table(200)
     fit = lambda: one_step(C.GaussianProcessChain(COLS, features=32, rounds=1), frame(spark, x)).weight
     one = fit()
+    monkeypatch.setattr(C, "TASK_ROWS", 0)
+    monkeypatch.setattr(C, "PARTITION_ROWS", 64)
+    assert np.allclose(fit(), one)
     monkeypatch.setattr(C, "DIRECT_CELLS", 0)
     assert np.allclose(fit(), one)
 
