@@ -1,13 +1,13 @@
-"""F-13, F-14, F-16: field-interaction maths and view perturbations as
+"""F-13 to F-16: field-interaction maths and view perturbations as
 column expressions (F-14 as an Arrow kernel: a cross layer feeds each
 layer's dot product back into every element, which nested array lambdas
-would recompute per element)."""
+would recompute per element; F-15 as one for its block matrix products)."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,57 @@ def cross_sql(x0: str, weights) -> str:
     return xl
 
 
+#: Weights of bilinear pairs travel with each task: at most so many numbers.
+MAX_WEIGHTS = 1 << 22
+
+
+def bilinear_weights(table: DataFrame, n_fields: int, dim: int) -> np.ndarray:
+    """(1 or fields, dim, dim) from a table (field, row, col, weight); one
+    matrix without a field (null) is shared by all.  Cells left out are zero."""
+    cells = table.select(F.coalesce(F.col("field"), F.lit(-1)).cast("int"), F.col("row").cast("int"), F.col("col").cast("int"),
+                         F.col("weight").cast("double")).limit(MAX_WEIGHTS + 1).collect()
+    if len(cells) > MAX_WEIGHTS:
+        raise ValueError(f"bilinear weights hold more than {MAX_WEIGHTS} numbers")
+    shared = {c[0] for c in cells} <= {-1}
+    if not shared and any(c[0] < 0 for c in cells):
+        raise ValueError("bilinear weights are either shared or per field")
+    out = np.zeros((1 if shared else n_fields, dim, dim))
+    for f, r, c, v in cells:
+        out[max(f, 0), r, c] = v
+    return out
+
+
+def bilinear_pairs(emb: Column, n_fields: int, dim: int, weights) -> Column:
+    """F-15: (v_i W) * v_j for fields i < j in the order of (i, j), flat, over
+    an array of n_fields x dim values; ``weights`` is one (dim, dim) matrix for
+    all fields or (n_fields, dim, dim).  Null, shorter or longer arrays and
+    arrays with a null give null."""
+    w = np.asarray(weights, float).reshape(-1, dim, dim)
+    if len(w) not in (1, n_fields) or w.size > MAX_WEIGHTS:
+        raise ValueError("bilinear weights: one matrix or one for each field")
+    first, second = np.triu_indices(n_fields, 1)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def _pairs(col: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(col), dtype=object)
+        good = np.flatnonzero(col.notna().to_numpy())
+        if len(good):
+            v = np.stack(col.to_numpy()[good]).astype("float64").reshape(len(good), n_fields, dim)
+            left = np.matmul(v.transpose(1, 0, 2), w).transpose(1, 0, 2)
+            found = (left[:, first] * v[:, second]).reshape(len(good), -1)
+            for k, row in zip(good, found):
+                out[k] = row
+        return out
+
+    whole = (F.size(emb) == n_fields * dim) & ~F.exists(emb, lambda x: x.isNull())
+    return _pairs(F.when(whole, emb.cast("array<double>")))
+
+
+def pair_fields(n_fields: int) -> list:
+    """The (i, j) of each block of ``bilinear_pairs``."""
+    return [(i, j) for i in range(n_fields) for j in range(i + 1, n_fields)]
+
+
 def perturb_random(c: str, ratio: float, seed: int, row_id: str = "row_id") -> Column:
     """F-16 random: keep a cell with probability 1 - r, else 0."""
     if ratio <= 0:

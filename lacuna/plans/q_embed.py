@@ -1,13 +1,15 @@
 """Contrastive losses and field-interaction operators on ``embeddings``
-(M-18, M-19, F-12..F-14) and view perturbations on ``policy`` (F-16)."""
+(M-18, M-19, F-13..F-15), field embeddings (F-12) and view perturbations on ``policy`` (F-16)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lacuna.functions.draws import uniform
+from lacuna.functions.draws import sql_uniform, uniform
 from lacuna.functions import interactions as I
 from lacuna.operators.contrastive import batch_losses, with_batches
+from lacuna.operators.fields import field_embed
+from lacuna.operators.missing import py_uniform
 from lacuna.plans.registry import query, r6
 from lacuna.sources.fixtures import POLICY_SPEC, POLICY_SQL, policy, with_sql
 from lacuna.sources.tables import read_table
@@ -101,6 +103,71 @@ def q_cross(spark, sf):
     return e.select("vec_id", F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 4).alias("cross_sum"))
 
 
+def _matrix(name: str) -> list:
+    return [[py_uniform(7, name, f"{r}|{c}") - 0.5 for c in range(8)] for r in range(8)]
+
+
+_SHARED, _EACH = [_matrix("pair")], [_matrix(f"pair{f}") for f in range(8)]
+
+
+def _columns_sql(matrices) -> str:
+    """Matrices as lists of their columns."""
+    return "[" + ", ".join("[" + ", ".join("[" + ", ".join(repr(m[r][c]) for r in range(8)) + "]" for c in range(8)) + "]"
+                           for m in matrices) + "]::DOUBLE[][][]"
+
+
+_PAIR_SQL = " UNION ALL ".join(
+    f"SELECT vec_id, '{kind}' AS kind, i AS field_i, j AS field_j, " + ", ".join(
+        f"round(list_dot_product(e[i * 8 + 1:i * 8 + 8], {w}[{at}][{d + 1}]) * e[j * 8 + {d + 1}], 6) AS p{d}" for d in range(8))
+    + " FROM x, fi, fj, w WHERE i < j" for kind, w, at in (("shared", "ws", "1"), ("each", "we", "i + 1")))
+
+
+@query("bilinear_pairs", f"""
+WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = 64),
+fi AS (SELECT CAST(range AS INTEGER) AS i FROM range(8)), fj AS (SELECT CAST(range AS INTEGER) AS j FROM range(8)),
+w AS (SELECT {_columns_sql(_SHARED)} AS ws, {_columns_sql(_EACH)} AS we)
+""" + _PAIR_SQL)
+def q_bilinear(spark, sf):
+    """F-15: bilinear pairs of 8 fields x 8 dims by one shared matrix and by
+    one for each field, a row for each pair of fields."""
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    blocks = lambda w: F.transform(F.sequence(F.lit(0), F.lit(27)), lambda t: F.slice(w, t * 8 + 1, 8))
+    both = e.select("vec_id", I.bilinear_pairs(F.col("embedding"), 8, 8, _SHARED).alias("shared"),
+                    I.bilinear_pairs(F.col("embedding"), 8, 8, _EACH).alias("each"))
+    kinds = both.select("vec_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v"))
+                                                      for k in ("shared", "each")])).alias("k"))
+    rows = kinds.where("k.v IS NOT NULL").select("vec_id", "k.kind", F.posexplode(blocks(F.col("k.v"))).alias("at", "v"))
+    name = lambda side: F.element_at(F.array(*[F.lit(p[side]) for p in I.pair_fields(8)]), F.col("at") + 1)
+    return rows.select("vec_id", "kind", name(0).alias("field_i"), name(1).alias("field_j"),
+                       *[r6(F.col("v")[d]).alias(f"p{d}") for d in range(8)])
+
+
+_DIM = 4
+_LINES = {c: ([py_uniform(9, f"w|{c}", d) - 0.5 for d in range(_DIM)], [py_uniform(9, f"b|{c}", d) - 0.5 for d in range(_DIM)])
+          for c in POLICY_SPEC.dense}
+
+
+def _embed_sql() -> str:
+    key = lambda c, d: f"concat_ws('|', '{c}', CAST({c} AS VARCHAR), '{d}')"
+    cells = [f"{sql_uniform(9, 'embed', key(c, d))} - 0.5" for c in POLICY_SPEC.sparse for d in range(_DIM)]
+    cells += [f"{w!r}::DOUBLE * {c} + {b!r}::DOUBLE" for c in POLICY_SPEC.dense for w, b in zip(*_LINES[c])]
+    return with_sql(POLICY_SQL) + "\nSELECT row_id, " + ", ".join(f"round({v}, 4) AS e{k}" for k, v in enumerate(cells)) + " FROM policy"
+
+
+@query("field_embed", _embed_sql())
+def q_field_embed(spark, sf):
+    """F-12: three sparse and three dense fields of four components each; the
+    table holds a keyed vector for each code that occurs."""
+    p = policy(spark, sf)
+    codes = p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("long").alias("code"))
+                                         for c in POLICY_SPEC.sparse])).alias("e")).select("e.*").distinct()
+    table = codes.select("field", "code", F.array(*[uniform(9, "embed", F.concat_ws("|", "field", F.col("code").cast("string"), F.lit(str(d))))
+                                                    - F.lit(0.5) for d in range(_DIM)]).alias("vector"))
+    x = field_embed(p, table, POLICY_SPEC.sparse, POLICY_SPEC.dense, _LINES, _DIM)
+    n = _DIM * len(POLICY_SPEC.features)
+    return x.select("row_id", *[F.round(F.col("fields")[k], 4).alias(f"e{k}") for k in range(n)])
+
+
 # ---------------------------------------------------------------- F-16
 
 FEATS = POLICY_SPEC.features
