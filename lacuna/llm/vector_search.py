@@ -6,7 +6,8 @@ class a code of 64 bits, split into ``PARTS`` substrings that are indexed one
 by one.  A code within Hamming radius r of a query agrees with it in at least
 one substring up to r // PARTS bits, so probing every substring bucket at that
 distance retrieves every code within the radius.  What passes the full Hamming
-test is ranked by the cosine of the original vectors in double precision.
+test, and nothing else, is multiplied and ranked by the cosine of the original
+vectors in double precision.
 
 The radius is calibrated on the sample: the ``COVER`` quantile of the Hamming
 distances between sample vectors and their true neighbours there (in the whole
@@ -42,6 +43,8 @@ BITS, PARTS = 64, 4
 PART_BITS = BITS // PARTS
 SAMPLE_ROWS, SAMPLE_QUERIES, COVER = 4_096, 512, 0.985
 SHARD_ROWS, QUERY_BLOCK = 20_000, 4_096
+#: Scores that differ by less are equal: ties go to the smaller id.
+TIE, TIE_PLACES = 1e-11, 12
 
 
 def usable(vec):
@@ -117,35 +120,41 @@ def _search(dim: int, radius: int, k: int):
     def part(codes, j):
         return (codes >> np.uint64(PART_BITS * j)) & mask
 
+    def members(first, count):
+        """The places first, first + 1, ... of several runs, one after the other."""
+        ends = np.cumsum(count)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
     def kernel(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "ids": [], "score": []}
         if len(index) and len(queries):
             j = int(index["part"].iloc[0])
+            # classes in the order of their bucket, so that a bucket is a run
+            index = index.iloc[np.argsort(part(index["code"].to_numpy().view(np.uint64), j), kind="stable")]
             x, y = _matrix(index["vec"], dim), _matrix(queries["vec"], dim)
             xn, yn = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-            xu, yu = x / xn[:, None], y / yn[:, None]
+            xu = x / xn[:, None]
             xc, yc = index["code"].to_numpy().view(np.uint64), queries["code"].to_numpy().view(np.uint64)
-            buckets, at = np.unique(part(xc, j), return_inverse=True)
+            buckets, first, count = np.unique(part(xc, j), return_index=True, return_counts=True)
             ids, names = index["ids"].tolist(), queries["id"].tolist()
-            step = max(1, 2_000_000 // len(x))
-            for s in range(0, len(y), step):
-                code = yc[s:s + step, None]
-                probe = np.bitwise_count(buckets[None, :] ^ part(code, j)) <= part_radius
-                ok = probe[:, at]
+            for q, code in enumerate(yc):
+                probed = np.flatnonzero(np.bitwise_count(buckets ^ part(code, j)) <= part_radius)
+                hit = members(first[probed], count[probed])
+                hit = hit[np.bitwise_count(xc[hit] ^ code) <= radius]
                 for i in range(j):   # retrieved by an earlier substring already
-                    ok &= np.bitwise_count(part(xc, i)[None, :] ^ part(code, i)) > part_radius
-                ok &= np.bitwise_count(xc[None, :] ^ code) <= radius
-                near = np.where(ok, yu[s:s + step] @ xu.T, -np.inf)
-                for r in range(len(near)):
-                    row = near[r]
-                    best = np.argpartition(-row, min(k + 3, len(row) - 1))[:k + 3]
-                    best = best[row[best] > -np.inf]
-                    q = s + r
-                    dots = np.einsum("ij,j->i", x[best], y[q]) / (xn[best] * yn[q])
-                    for c, score in sorted(zip(best.tolist(), dots.tolist()), key=lambda t: (-t[1], ids[t[0]][0]))[:k]:
-                        out["query"].append(names[q])
-                        out["ids"].append(ids[c])
-                        out["score"].append(score)
+                    hit = hit[np.bitwise_count(part(xc[hit], i) ^ part(code, i)) > part_radius]
+                if not len(hit):
+                    continue
+                near = xu[hit] @ (y[q] / yn[q])
+                # every class within rounding of the k-th best: the exact score and the id settle ties
+                least = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -np.inf
+                best = hit[near >= least - TIE]
+                scores = np.einsum("ij,j->i", x[best], y[q]) / (xn[best] * yn[q])
+                ranked = sorted(zip(best.tolist(), scores.tolist()), key=lambda t: (-round(t[1], TIE_PLACES), ids[t[0]][0]))
+                for c, score in ranked[:k]:
+                    out["query"].append(names[q])
+                    out["ids"].append(ids[c])
+                    out["score"].append(score)
         return pd.DataFrame({"query": pd.Series(out["query"], dtype="int64"), "ids": pd.Series(out["ids"], dtype=object),
                              "score": pd.Series(out["score"], dtype="float64")})
 
@@ -173,7 +182,7 @@ def _probe(classes: DataFrame, queries: DataFrame, shards: DataFrame, dim: int,
     best = (index.groupBy(*keys).cogroup(asked.groupBy(*keys))
             .applyInPandas(_search(dim, radius, k), "query long, ids array<long>, score double"))
     each = best.select("query", "score", F.explode("ids").alias("id"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", TIE_PLACES)), "id")
     return (each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("query")
             .agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("found")))
 

@@ -79,3 +79,28 @@ def test_pigeonhole_probing_retrieves_the_whole_radius():
         assert not found & set(out)
         found |= set(out)
     assert found == set(np.flatnonzero(np.bitwise_count(code ^ code[0]) <= 6).tolist())
+
+
+def test_many_scaled_copies_keep_the_smallest_ids(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal(6).round(2)
+    # 40 different vectors of one direction, in an order unlike that of their ids
+    rows = [(i, (base * s).tolist()) for i, s in zip(range(40), rng.permutation(np.arange(1, 41)).astype(float))]
+    rows += [(i, rng.standard_normal(6).tolist()) for i in range(40, 120)]
+    have = got(V.nearest(frame(spark, rows), is_query()))
+    assert [i for i, _ in have[0]] == [1, 2, 3, 4, 5]
+    assert all(abs(s - 1.0) < 1e-6 for _, s in have[0])
+
+
+def test_only_codes_within_the_radius_are_multiplied(monkeypatch):
+    import pandas as pd
+    rng = np.random.default_rng(6)
+    x, code = rng.standard_normal((500, 8)), rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    code[:60] = code[0] ^ (np.uint64(1) << rng.integers(0, 63, 60).astype(np.uint64))
+    scored, plain = [], np.einsum
+    monkeypatch.setattr(V.np, "einsum", lambda how, a, b: scored.append(len(a)) or plain(how, a, b))
+    q = pd.DataFrame({"id": [0], "code": code[:1].view(np.int64), "vec": [x[0].tobytes()]})
+    for j in range(V.PARTS):
+        index = pd.DataFrame({"ids": [[i] for i in range(500)], "code": code.view(np.int64), "vec": [r.tobytes() for r in x], "part": j})
+        V._search(8, 4, 500)(index, q)
+    assert sum(scored) == (np.bitwise_count(code ^ code[0]) <= 4).sum()
