@@ -110,6 +110,24 @@ class _Replay:
         x[rows, st.column] = np.clip(pred, lo, hi)
 
 
+def ridge_length(p: int) -> int:
+    """Sums that the regression of one of ``p`` columns on the others needs."""
+    return 1 + (p - 1) + 2 + (p - 1) + (p - 1) ** 2
+
+
+def ridge_sums(missing: np.ndarray, x: np.ndarray, mean: np.ndarray, column: int) -> np.ndarray:
+    seen = ~missing[:, column]
+    d = x[seen] - mean
+    others, y = np.delete(d, column, axis=1), d[:, column]
+    return np.concatenate([[seen.sum()], others.sum(axis=0), [y.sum(), y @ y], others.T @ y, (others.T @ others).ravel()])
+
+
+def ridge_parts(flat: np.ndarray, p: int) -> dict:
+    q = p - 1
+    return {"n": flat[0], "sx": flat[1:p], "sy": flat[p], "yy": flat[p + 1], "xy": flat[p + 2:p + 2 + q],
+            "xx": flat[p + 2 + q:].reshape(q, q)}
+
+
 def _matrix(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
     return np.column_stack([batch.column(first + i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(n)]) \
         if n else np.zeros((batch.num_rows, 0))
@@ -170,23 +188,18 @@ class MiceImputer:
     def _statistics(self, state: DataFrame, steps: list, column: int) -> dict:
         """Centred-safe sums for the regression of ``column`` on the others,
         about the train means, over rows where it is observed."""
-        p, mean = len(self.cols), self.means
+        mean = self.means
 
         def emit(_, missing, x):
-            seen = ~missing[:, column]
-            d = x[seen] - mean
-            others, y = np.delete(d, column, axis=1), d[:, column]
-            flat = np.concatenate([[seen.sum()], others.sum(axis=0), [y.sum(), y @ y], others.T @ y, (others.T @ others).ravel()])
+            flat = ridge_sums(missing, x, mean, column)
             return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(float))], ["k", "v"])
 
         rows = (self._replayed(state, steps, emit, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
                 .collect())  # p * p + 2 p + 1 sums
-        flat = np.zeros(1 + (p - 1) + 2 + (p - 1) + (p - 1) ** 2)
+        flat = np.zeros(ridge_length(len(self.cols)))
         for r in rows:
             flat[r["k"]] = r["v"]
-        q = p - 1
-        return {"n": flat[0], "sx": flat[1:p], "sy": flat[p], "yy": flat[p + 1], "xy": flat[p + 2:p + 2 + q],
-                "xx": flat[p + 2 + q:].reshape(q, q)}
+        return ridge_parts(flat, len(self.cols))
 
     def _emit_state(self, row, missing, x):
         p = len(self.cols)
@@ -196,7 +209,9 @@ class MiceImputer:
 
     def _conditional(self, state: DataFrame, own: list, column: int, rnd: int):
         """The fitted step of a column after the round's steps so far, or None."""
-        st = self._statistics(state, own, column)
+        return self._ridge(self._statistics(state, own, column), column, rnd)
+
+    def _ridge(self, st: dict, column: int, rnd: int):
         if st["n"] < 2:
             return None
         coef, b, alpha, sigma, mu = bayesian_ridge(st)
@@ -246,14 +261,92 @@ class MiceImputer:
         return named if rest == [self.row_id] else df.select(*rest).join(named, self.row_id)
 
 
+class ViewChain:
+    """I-11: M chained Bayesian ridges that differ in their seed alone, fitted
+    in one chain: the state holds the values of all views beside shared missing
+    flags, a pass replays each view's steps and adds up the sums of all of them.
+    The passes do not grow with M; each view equals its own ``MiceImputer``."""
+
+    def __init__(self, cols: list, m: int = 3, seed: int = 42, rounds: int = 10, row_id: str = "row_id", codes: tuple = ()):
+        self.views = [MiceImputer(cols, rounds=rounds, seed=seed + v, row_id=row_id, codes=codes) for v in range(m)]
+        self.cols, self.row_id = list(cols), row_id
+
+    def _replayed(self, state: DataFrame, own: list, emit, schema: str) -> DataFrame:
+        """``emit(row ids, missing, [x of each view])`` after each view's steps."""
+        p, m, first = len(self.cols), len(self.views), self.views[0]
+        replay = _Replay(first.lo, first.hi, True)
+        draws = [d.alias(f"_u{v}_{k}") for v, view in enumerate(self.views) for k, d in enumerate(view._draws(own[v]))]
+
+        def kernel(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                missing, xs, at = _matrix(b, 1, p) > 0, [], 1 + p + m * p
+                for v in range(m):
+                    x = _matrix(b, 1 + p + v * p, p).copy()
+                    for st in own[v]:
+                        replay.step(x, missing, st, b.column(at).cast(pa.float64()).to_numpy(zero_copy_only=False))
+                        at += 1
+                    xs.append(x)
+                yield emit(b.column(0), missing, xs)
+
+        return state.select(self.row_id, *[F.col(f"_m{i}").cast("int") for i in range(p)],
+                            *[f"_x{v}_{i}" for v in range(m) for i in range(p)], *draws).mapInArrow(kernel, schema)
+
+    def _statistics(self, state: DataFrame, own: list, column: int) -> list:
+        p, mean, m = len(self.cols), self.views[0].means, len(self.views)
+        length = ridge_length(p)
+
+        def emit(_, missing, xs):
+            flat = np.concatenate([ridge_sums(missing, x, mean, column) for x in xs]).astype(float)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "v"])
+
+        flat = np.zeros(m * length)
+        for r in self._replayed(state, own, emit, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            flat[r["k"]] = r["v"]
+        return [ridge_parts(part, p) for part in flat.reshape(m, length)]
+
+    def fit(self, train: DataFrame) -> "ViewChain":
+        first, p, m = self.views[0], len(self.cols), len(self.views)
+        first._start(train)
+        for view in self.views[1:]:
+            view.means, view.lo, view.hi, view.order = first.means, first.lo, first.hi, first.order
+        opened = first._opened(train)
+        state = stage(opened.select(self.row_id, *[f"_m{i}" for i in range(p)],
+                                    *[F.col(f"_x{i}").alias(f"_x{v}_{i}") for v in range(m) for i in range(p)]), "views")
+        names = [self.row_id, *[f"_m{i}" for i in range(p)], *[f"_x{v}_{i}" for v in range(m) for i in range(p)]]
+        schema = f"{self.row_id} long, " + ", ".join([f"_m{i} boolean" for i in range(p)] + [f"{c} double" for c in names[1 + p:]])
+
+        def emit(row, missing, xs):
+            return pa.RecordBatch.from_arrays([row, *[pa.array(missing[:, i]) for i in range(p)],
+                                               *[pa.array(x[:, i]) for x in xs for i in range(p)]], names)
+
+        for view in self.views:
+            view.steps = []
+        for rnd in range(first.rounds):
+            own: list = [[] for _ in self.views]
+            for c in first.order:
+                for v, st in enumerate(self._statistics(state, own, c)):
+                    step = self.views[v]._ridge(st, c, rnd)
+                    if step is not None:
+                        own[v].append(step)
+            for view, steps in zip(self.views, own):
+                view.steps += steps
+            if rnd + 1 < first.rounds:
+                nxt = stage(self._replayed(state, own, emit, schema), "views")
+                unstage(state)
+                state = nxt
+        unstage(state)
+        return self
+
+
 def completions(train: DataFrame, frames: dict, cols: list, m: int = 3, seed: int = 42, rounds: int = 10,
                 row_id: str = "row_id", codes: tuple = ()) -> DataFrame:
     """I-11: M completions of train with seeds s..s+M-1, row-aligned by
     row_id, in long form with a ``view`` column; view 0's imputer also serves
     the other splits (returned under their names in ``split``)."""
     out = None
-    for v in range(m):
-        imp = MiceImputer(cols, rounds=rounds, seed=seed + v, row_id=row_id, codes=codes).fit(train)
+    for v, imp in enumerate(ViewChain(cols, m, seed, rounds, row_id, codes).fit(train).views):
         for name, f in frames.items():
             if v > 0 and name != "train":
                 continue

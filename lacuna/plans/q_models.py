@@ -242,10 +242,9 @@ SELECT round(sum(j.c / n * ln(CAST(j.c AS DOUBLE) * py.c / (CAST(pa.c AS DOUBLE)
 FROM j JOIN py USING (y) JOIN pa USING (y, a) JOIN pr USING (y, r), n""")
 def q_bn_cmi(spark, sf):
     """M-05: conditional mutual information of segment and region."""
-    from lacuna.models.bayes import mutual_information
     m = recommender("BN", SPEC).fit(planted_split(spark, sf).where("split = 'train'"))
     i, j = SPEC.features.index("seg"), SPEC.features.index("region")
-    return spark.range(1).select(F.round(F.lit(mutual_information(m.tables[i, j])), 6).alias("cmi"))
+    return m.information.where((F.col("i") == i) & (F.col("j") == j)).select(r6(F.col("cmi")).alias("cmi"))
 
 
 @query("model_roundtrip", with_sql(*_PSPLIT, O.zscore_sql("split", SPEC), O.nb_proba_sql("z", SPEC)) + """
