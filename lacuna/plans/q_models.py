@@ -396,14 +396,8 @@ def q_fit_timing(spark, sf):
 
 @query("parameter_search", None)
 def q_search(spark, sf):
-    """X-03: the variance smoothing of NB with the best valid log-loss, over
-    a stated list of candidates (rows-only)."""
+    """X-03: the spaces of LR, KNN and the random forest by successive halving
+    on valid log-loss (rows-only; the halving is tested on its own)."""
+    from lacuna.search import search
     s = planted_split(spark, sf)
-    rows = []
-    for v in (1e-9, 1e-6, 1e-3, 1e-1):
-        m = recommender("NB", SPEC, var_smoothing=v).fit(s.where("split = 'train'"))
-        rows.append(m.score(s.where("split = 'valid'"), ("logloss",)).select(
-            F.lit(v).alias("var_smoothing"), r6(F.col("score")).alias("logloss")))
-    u = cut_lineage(reduce(lambda a, b: a.unionByName(b), rows))
-    best = u.agg(F.min_by("var_smoothing", F.struct("logloss", "var_smoothing")).alias("best"))
-    return u.join(F.broadcast(best), how="inner").withColumn("chosen", F.col("var_smoothing") == F.col("best")).drop("best")
+    return reduce(lambda a, b: a.unionByName(b), [search(s, SPEC, name) for name in ("LR", "KNN", "RF")])
