@@ -13,9 +13,14 @@ only is done.  Equal super-k-mers are one content, held by its least document;
 every later holder loses the whole span at once.  Only contents whose
 minimiser has several contents send a packed string, once, from the least
 holder.  So a passage or text that is copied any number of times reaches its
-bucket once.  A minimiser with more than ``HOT`` different contents is not
-given to one bucket: its windows are dealt by a 128-bit hash of their words,
-with map-side minima.
+bucket once.  Within a minimiser a content is named by a 64-bit hash.
+
+A phrase that many texts share makes a minimiser with many contents.  Where
+they are more than ``HOT``, their super-k-mers are cut again, by the least hash
+of runs of ``LONG_MER`` words, so that only texts that share that much meet.
+Buckets that are still crowded (a passage longer than that, within different
+surroundings) send their windows as words, which are grouped as they are with
+map-side minima.  All three ways compare words, and give the same spans.
 
 Scale: announcements are 40 bytes for about 22 words; text moves once to cut
 packed strings out of documents that need it, and once for documents that lose
@@ -35,16 +40,20 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import arrays as A
 from lacuna.session import stage, unstage
 
-WINDOW, MER = 50, 8
+WINDOW, MER, LONG_MER = 50, 8, 24
 LONGEST = 64
 HOT = 4_096
 BUCKET_ROWS = 6_000
+#: Parts that the marks of a repeated window are dealt to, and packed strings
+#: that are cut into windows at a time.
+SALTS, CUT_ROWS = 16, 400
 _LAST = 9223372036854775807
 #: An odd base and its inverse modulo 2 ** 64, for sums over word runs.
 _BASE = 0x9E3779B97F4A7C15
@@ -143,44 +152,60 @@ def _sha(data, at, start, end) -> str:
     return hashlib.sha256(_joined(data, at, start, end)).hexdigest()
 
 
-_PACKED = "key long, same long, start int, minimiser long, packed binary, h1 long, h2 long"
+_PACKED = "key long, same long, start int, minimiser long, longer long, packed binary"
 
 
 def _second(h: np.ndarray) -> np.ndarray:
     return A.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
 
 
+def _recut(sums: Sums, first: int, n: int):
+    """(offset, windows, least hash of ``LONG_MER`` words) of the parts of a
+    super-k-mer of ``n`` windows that starts at word ``first``."""
+    least = _sliding_min(sums.run(first + np.arange(n + WINDOW - LONG_MER), LONG_MER), WINDOW - LONG_MER + 1)
+    head = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    return zip(head.tolist(), np.diff(np.append(head, n)).tolist(), least[head].view(np.int64).tolist())
+
+
 def _cut_out(batches):
     """Packed strings of the super-k-mers that a text must send; those of hot
-    minimisers are sent as windows."""
+    minimisers are cut by longer ones."""
     for b in A.slices(batches, "text"):
         buf, offs = A.text_buffer(A.text_column(b, "text"))
         words, woffs = A.words_of(buf, offs)
         code, distinct = A.coded(words)
-        h = A.hashes(distinct)[code]
-        one, two = Sums(h), Sums(_second(h))
+        sums = Sums(A.hashes(distinct)[code])
         data, at = A.text_buffer(words)
-        cols: list[list] = [[] for _ in range(7)]
-
-        def add(*values):
-            for c, v in zip(cols, values):
-                c.append(v)
-
+        cols: list[list] = [[] for _ in range(6)]
         for i, (key, same, parts) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
                                                    b.column(2).to_pylist())):
-            base = int(woffs[i])
             for p in parts:
-                s, n = p["start"], p["windows"]
-                if not p["hot"]:
-                    add(key, same, s, p["minimiser"], _joined(data, at, base + s, base + s + n + WINDOW - 1), 0, 0)
-                    continue
-                place = base + s + np.arange(n)
-                for k, (x, y) in enumerate(zip(one.run(place, WINDOW).view(np.int64).tolist(),
-                                               two.run(place, WINDOW).view(np.int64).tolist())):
-                    add(key, same, s + k, p["minimiser"], None, x, y)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                first = int(woffs[i]) + p["start"]
+                cuts = _recut(sums, first, p["windows"]) if p["hot"] else [(0, p["windows"], 0)]
+                for skip, n, longer in cuts:
+                    packed = _joined(data, at, first + skip, first + skip + n + WINDOW - 1)
+                    for c, v in zip(cols, (key, same, p["start"] + skip, p["minimiser"], longer, packed)):
+                        c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                         ["key", "same", "start", "minimiser", "packed", "h1", "h2"])
+                                         ["key", "same", "start", "minimiser", "longer", "packed"])
+
+
+def _each_window(batches):
+    """The windows of packed strings, as words joined by one space."""
+    spread = np.arange(WINDOW)
+    for batch in batches:
+        for k in range(0, batch.num_rows, CUT_ROWS):
+            b = batch.slice(k, CUT_ROWS)
+            words, woffs = A.words_of(*A.text_buffer(b.column(3)))
+            n = np.diff(woffs) - WINDOW + 1
+            row, step = np.repeat(np.arange(len(n)), n), A.runs(n)
+            at = (woffs[:-1][row] + step)[:, None] + spread
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * WINDOW), words.take(pa.array(at.ravel())))
+            start = b.column(2).to_numpy()[row] + step
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)),
+                                              pa.array(start.astype(np.int32)), pc.binary_join(lists, " ")],
+                                             ["key", "same", "start", "window"])
 
 
 _SPAN = "key long, same long, low int, high int"
@@ -268,16 +293,21 @@ def _spans(texts: DataFrame, rows: DataFrame) -> DataFrame:
         F.collect_list(F.struct("start", "windows", "minimiser", "hot")).alias("parts"))
     packed = stage(texts.join(sent, ["key", "same"]).select("key", "same", "parts", "text")
                    .mapInArrow(_cut_out, _PACKED), "packed")
-    strings, windows = packed.where("packed is not null"), packed.where("packed is null")
-    buckets = 1 + strings.count() // BUCKET_ROWS
-    counted = (strings.withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(buckets).cast("long")))
+    place = ["minimiser", "longer"]
+    crowded = packed.where("longer != 0").groupBy(*place).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > HOT).drop("held")
+    buckets = 1 + packed.count() // BUCKET_ROWS
+    counted = (packed.join(crowded, place, "left_anti")
+               .withColumn("bucket", F.pmod(F.xxhash64(*place), F.lit(buckets).cast("long")))
                .select("bucket", "key", "same", "start", "packed").groupBy("bucket").applyInPandas(_count_windows, _SPAN))
-    least = (windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-             .where("least < most").select("h1", "h2", "least"))
-    dealt = (windows.join(least, ["h1", "h2"]).where("key > least")
+    windows = stage(packed.join(crowded, place, "left_semi").select("key", "same", "start", "packed")
+                    .mapInArrow(_each_window, "key long, same long, start int, window string"), "windows")
+    first = (windows.groupBy("window").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+             .select("window", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    dealt = (windows.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int"))
+             .join(first, ["window", "salt"]).where("key > least")
              .select("key", "same", F.col("start").alias("low"), (F.col("start") + WINDOW).cast("int").alias("high")))
     out = stage(whole.unionByName(counted).unionByName(dealt), "spans")
-    unstage(contents, held, packed)
+    unstage(contents, held, packed, windows)
     return out
 
 

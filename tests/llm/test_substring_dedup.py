@@ -51,8 +51,20 @@ def test_shared_passages_in_differing_texts(spark, monkeypatch):
     rows = passages()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(S.substring_dedup(df)) == brute(rows)
-    monkeypatch.setattr(S, "HOT", 2)      # the same by dealt windows
-    assert got(S.substring_dedup(df)) == brute(rows)
+    for hot in (2, 0):      # the same by longer minimisers and by windows
+        monkeypatch.setattr(S, "HOT", hot)
+        assert got(S.substring_dedup(df)) == brute(rows)
+
+
+def test_longer_minimisers_cover_a_super_kmer():
+    h = np.random.default_rng(5).integers(0, 1 << 60, 300).astype(np.uint64)
+    sums = S.Sums(h)
+    cuts = list(S._recut(sums, 90, 64))
+    assert [c[0] for c in cuts] == np.cumsum([0] + [c[1] for c in cuts[:-1]]).tolist() and sum(c[1] for c in cuts) == 64
+    for skip, n, longer in cuts:
+        for k in range(skip, skip + n):
+            runs = sums.run(90 + k + np.arange(S.WINDOW - S.LONG_MER + 1), S.LONG_MER)
+            assert runs.min().view(np.int64) == longer
 
 
 def test_odd_rows(odd, empty, clashing):
