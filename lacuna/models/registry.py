@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from lacuna.models.base import Recommender
 from lacuna.models.bayes import BayesNetRecommender
+from lacuna.models.ensemble import Augment, Ensemble
 from lacuna.models.knn import KNNRecommender
 from lacuna.models.linear import LogisticRecommender
 from lacuna.models.nb import GaussianNB
@@ -15,7 +16,7 @@ from lacuna.models.trees import CatBoostStyle, ForestRecommender, LightGBMStyle,
 from lacuna.spec import FeatureSpec, check_choice
 
 MODELS = {c.name: c for c in (GaussianNB, KNNRecommender, LogisticRecommender, ForestRecommender, XGBoostStyle,
-                              LightGBMStyle, CatBoostStyle, BayesNetRecommender)}
+                              LightGBMStyle, CatBoostStyle, BayesNetRecommender, Ensemble, Augment)}
 
 
 def recommender(name: str, spec: FeatureSpec, **params) -> Recommender:

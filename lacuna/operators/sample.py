@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.draws import uniform
 from lacuna.operators.dictionary import factorize
-from lacuna.operators.rank import first_k_flag, join_small, kth_keys, rank_by_draw
+from lacuna.operators.rank import first_k_flag, join_small, kth_keys, ordered_positions, rank_by_draw
 from lacuna.session import cut_lineage
 from lacuna.spec import FeatureSpec, check_ratios
 
 
 def head_limit(df: DataFrame, n: int | None, order_by: str = "row_id") -> DataFrame:
-    """T-01: the first ``n`` rows in row-id order; n None or <= 0 keeps all."""
+    """T-01: the first ``n`` rows in row-id order; n None or <= 0 keeps all.
+    Rows are numbered by range partitions, so a large ``n`` does not meet in
+    one task."""
     if n is None or n <= 0:
         return df
-    return df.orderBy(order_by).limit(n)
+    return ordered_positions(df, [order_by], "_at").where(F.col("_at") <= n).drop("_at")
 
 
 def member_filter(df: DataFrame, keys: DataFrame, on) -> DataFrame:

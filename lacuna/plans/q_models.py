@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from lacuna.models.ensemble import Augment, Ensemble
 from lacuna.models.knn import KNNRecommender
-from lacuna.models.nb import GaussianNB
 from lacuna.models.registry import recommender
 from lacuna.operators import metrics as M
 from lacuna.operators.ranking import proba_long
@@ -147,26 +147,13 @@ def _ensemble_sql():
         f"SELECT row_id, cid, p FROM nb_{x}" for x in _MEMBERS) + ") GROUP BY row_id, cid"
 
 
-def _filled_by(spark, sf):
-    from lacuna.operators.mice import imputer
-    s = planted_split(spark, sf, nulls=True)
-    out = {}
-    for x in _MEMBERS:
-        imp = imputer(x, FEATS, codes=tuple(SPEC.sparse)).fit(s.where("split = 'train'").select("row_id", *FEATS))
-        out[x] = cut_lineage(imp.transform(s.select("row_id", "split", "product_item", *FEATS)))
-    return out
-
-
 @query("ensemble_average", _ensemble_sql())
 def q_ensemble(spark, sf):
     """M-21: members with an imputer of their own, fitted on all train rows;
-    their long probabilities are averaged by (row, class)."""
-    longs = []
-    for filled in _filled_by(spark, sf).values():
-        m = GaussianNB(SPEC).fit(filled.where("split = 'train'"))
-        longs.append(proba_long(m.proba(filled.where("split = 'test'"))))
-    u = reduce(lambda a, b: a.unionByName(b), longs)
-    return u.groupBy("row_id", "class_id").agg(r6(F.avg("proba")).alias("proba"))
+    their probabilities are averaged by row and class."""
+    s = planted_split(spark, sf, nulls=True)
+    m = Ensemble(SPEC, views=_MEMBERS, backbone="NB").fit(s.where("split = 'train'"))
+    return proba_long(m.proba(s.where("split = 'test'"))).select("row_id", "class_id", r6(F.col("proba")).alias("proba"))
 
 
 def _augment_sql():
@@ -180,10 +167,9 @@ def _augment_sql():
 def q_augment(spark, sf):
     """M-22: the completions of one train table stacked as training rows of
     one model; test rows are filled by the first imputer."""
-    filled = _filled_by(spark, sf)
-    train = reduce(lambda a, b: a.unionByName(b), [f.where("split = 'train'") for f in filled.values()])
-    m = GaussianNB(SPEC).fit(cut_lineage(train))
-    return proba_long(m.proba(filled[_MEMBERS[0]].where("split = 'test'"))).select(
+    s = planted_split(spark, sf, nulls=True)
+    m = Augment(SPEC, views=_MEMBERS, backbone="NB").fit(s.where("split = 'train'"))
+    return proba_long(m.proba(s.where("split = 'test'"))).select(
         "row_id", "class_id", F.round("proba", 4).alias("proba"))
 
 
