@@ -70,3 +70,21 @@ def test_box_distance_is_below_every_distance():
         x[:, rng.random(4) < 0.3], y[:, rng.random(4) < 0.3] = np.nan, np.nan
         low = N.box_distance(x.min(0), x.max(0), y.min(0)[None], y.max(0)[None], True)[0]
         assert (N.distances(x, y, True) >= low).all()
+
+
+def test_ties_do_not_grow_with_the_donors():
+    """Donors that share only codes with a query are as far as many others: the
+    cells leave out columns that the query lacks, equal points count k times."""
+    def pairs(n):
+        rng = np.random.default_rng(5)
+        y = np.column_stack([rng.integers(0, 3, n), rng.integers(0, 4, n), rng.normal(0, 1000, n), rng.normal(0, 9, n)]).astype(float)
+        x = np.column_stack([rng.integers(0, 3, 64), rng.integers(0, 4, 64), np.full(64, np.nan), np.full(64, np.nan)])
+        ids = rng.permutation(n)
+        got, compared = N.nearest(x, np.full((64, 2), np.inf), y, ids, 3, [2, 3], True)
+        far = N.distances(x, y, True)
+        for at, col, rank, who, d2, value in zip(*got):
+            order = np.lexsort((ids, far[at]))
+            assert ids[order[rank - 1]] == who and far[at][order[rank - 1]] == d2 and y[order[rank - 1], col] == value
+        assert len(got[0]) == 64 * 2 * 3
+        return compared
+    assert pairs(20_000) < 1.2 * pairs(5_000)
