@@ -23,7 +23,7 @@ N_BUCKETS = 65536
 
 def _key(seed, salt, key) -> Column:
     key_col = key if isinstance(key, Column) else F.col(key)
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), key_col.cast("string")))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), salt if isinstance(salt, Column) else F.lit(str(salt)), key_col.cast("string")))
 
 
 def uniform(seed, salt, key) -> Column:

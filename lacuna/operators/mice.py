@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +66,6 @@ def bayesian_ridge(st: dict, max_iter: int = 300, tol: float = 1e-3):
     return coef, float(ybar - mu @ coef), float(alpha), sigma, mu
 
 
-@cache
 def _normal_table(reach: float = 8.3, per_unit: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     z = np.linspace(-reach, reach, int(2 * reach * per_unit) + 1)
     return z, np.array([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in z])
@@ -133,6 +131,15 @@ def _matrix(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
         if n else np.zeros((batch.num_rows, 0))
 
 
+def _sums(flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([flat.astype(float).tobytes()], pa.binary())], ["v"])
+
+
+def _added(tasks: DataFrame, length: int) -> np.ndarray:
+    """The sum of the tasks' vectors (p * p + 2 p + 1 numbers each)."""
+    return np.sum([np.frombuffer(r["v"]) for r in tasks.collect()] or [np.zeros(length)], axis=0)
+
+
 @dataclass
 class MiceImputer:
     """Chained Bayesian ridge: start at train means, columns by ascending
@@ -155,12 +162,20 @@ class MiceImputer:
         self.order = sorted(range(len(self.cols)), key=lambda i: (-seen[i], i))
 
     def _draws(self, steps: list) -> list:
-        """One uniform column per step, drawn for missing cells only."""
+        """An array of one uniform per step, drawn for missing cells only.  One
+        expression goes through the salts: a column for each of dozens of steps
+        makes a method that the JVM no longer compiles."""
+        if not self.sample_posterior or not steps:
+            return []
+        salts = F.array(*[F.when(F.col(f"_m{s.column}"), F.lit(f"mice|{s.rnd}|{self.cols[s.column]}")) for s in steps])
+        return [F.transform(salts, lambda salt: F.when(salt.isNotNull(), uniform(self.seed, salt, self.row_id))).alias("_u")]
+
+    def _round_draws(self, rnd: int, mark: str = "") -> list:
+        """The draws of all steps of a round, staged with its state."""
         if not self.sample_posterior:
             return []
-        return [F.when(F.col(f"_m{s.column}"),
-                       uniform(self.seed, f"mice|{s.rnd}|{self.cols[s.column]}", self.row_id)).alias(f"_u{k}")
-                for k, s in enumerate(steps)]
+        return [F.when(F.col(f"_m{i}"), uniform(self.seed, f"mice|{rnd}|{c}", self.row_id)).alias(f"_u{mark}{i}")
+                for i, c in enumerate(self.cols)]
 
     def _opened(self, df: DataFrame) -> DataFrame:
         """Row id, missing flags and values with the missing ones at the mean."""
@@ -168,22 +183,35 @@ class MiceImputer:
                          *[F.coalesce(F.col(c).cast("double"), F.lit(float(m))).alias(f"_x{i}")
                            for i, (c, m) in enumerate(zip(self.cols, self.means))])
 
-    def _replayed(self, state: DataFrame, steps: list, emit, schema: str) -> DataFrame:
-        """``emit(row ids, missing, x)`` of each batch after ``steps``."""
+    def _replayed(self, state: DataFrame, steps: list, emit, schema: str, total: int = 0) -> DataFrame:
+        """``emit(row ids, missing, x)`` of each batch after ``steps``, which take
+        the draws staged with the state, if it has any.  With ``total`` the
+        batches' vectors of that length are added up in the task."""
         p, replay = len(self.cols), _Replay(self.lo, self.hi, self.sample_posterior)
+        staged = "_u0" in state.columns
+        draws = [F.col(f"_u{s.column}") for s in steps] if staged else self._draws(steps)
 
         def kernel(batches):
+            out = np.zeros(total)
             for b in batches:
                 if not b.num_rows:
                     continue
-                missing, x = _matrix(b, 1, p) > 0, _matrix(b, 1 + p, p).copy()
+                missing, x, u = _matrix(b, 1, p) > 0, _matrix(b, 1 + p, p).copy(), None
+                if replay.posterior and steps:
+                    u = _matrix(b, 1 + 2 * p, len(steps)) if staged else b.column(1 + 2 * p).flatten().to_numpy(
+                        zero_copy_only=False).reshape(b.num_rows, len(steps))
                 for k, st in enumerate(steps):
-                    u = b.column(1 + 2 * p + k).cast(pa.float64()).to_numpy(zero_copy_only=False) if replay.posterior else None
-                    replay.step(x, missing, st, u)
-                yield emit(b.column(0), missing, x)
+                    replay.step(x, missing, st, None if u is None else u[:, k])
+                got = emit(b.column(0), missing, x)
+                if total:
+                    out += got
+                else:
+                    yield got
+            if total:
+                yield _sums(out)
 
         return state.select(self.row_id, *[F.col(f"_m{i}").cast("int") for i in range(p)],
-                            *[f"_x{i}" for i in range(p)], *self._draws(steps)).mapInArrow(kernel, schema)
+                            *[f"_x{i}" for i in range(p)], *draws).mapInArrow(kernel, schema)
 
     def _statistics(self, state: DataFrame, steps: list, column: int) -> dict:
         """Centred-safe sums for the regression of ``column`` on the others,
@@ -191,15 +219,10 @@ class MiceImputer:
         mean = self.means
 
         def emit(_, missing, x):
-            flat = ridge_sums(missing, x, mean, column)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(float))], ["k", "v"])
+            return ridge_sums(missing, x, mean, column)
 
-        rows = (self._replayed(state, steps, emit, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
-                .collect())  # p * p + 2 p + 1 sums
-        flat = np.zeros(ridge_length(len(self.cols)))
-        for r in rows:
-            flat[r["k"]] = r["v"]
-        return ridge_parts(flat, len(self.cols))
+        length = ridge_length(len(self.cols))
+        return ridge_parts(_added(self._replayed(state, steps, emit, "v binary", length), length), len(self.cols))
 
     def _emit_state(self, row, missing, x):
         p = len(self.cols)
@@ -224,7 +247,7 @@ class MiceImputer:
 
     def fit(self, train: DataFrame) -> "MiceImputer":
         self._start(train)
-        state = stage(self._opened(train), "chain")
+        state = stage(self._opened(train).select("*", *self._round_draws(0)), "chain")
         self.steps, p = [], len(self.cols)
         schema = f"{self.row_id} long, " + ", ".join(f"_m{i} boolean" for i in range(p)) + ", " + ", ".join(
             f"_x{i} double" for i in range(p))
@@ -238,7 +261,7 @@ class MiceImputer:
             if rnd + 1 < self.rounds:
                 if self._settled(state, own):
                     break
-                nxt = stage(self._replayed(state, own, self._emit_state, schema), "chain")
+                nxt = stage(self._replayed(state, own, self._emit_state, schema).select("*", *self._round_draws(rnd + 1)), "chain")
                 unstage(state)
                 state = nxt
         unstage(state)
@@ -271,13 +294,14 @@ class ViewChain:
         self.views = [MiceImputer(cols, rounds=rounds, seed=seed + v, row_id=row_id, codes=codes) for v in range(m)]
         self.cols, self.row_id = list(cols), row_id
 
-    def _replayed(self, state: DataFrame, own: list, emit, schema: str) -> DataFrame:
+    def _replayed(self, state: DataFrame, own: list, emit, schema: str, total: int = 0) -> DataFrame:
         """``emit(row ids, missing, [x of each view])`` after each view's steps."""
         p, m, first = len(self.cols), len(self.views), self.views[0]
         replay = _Replay(first.lo, first.hi, True)
-        draws = [d.alias(f"_u{v}_{k}") for v, view in enumerate(self.views) for k, d in enumerate(view._draws(own[v]))]
+        draws = [F.col(f"_u{v}_{s.column}") for v in range(m) for s in own[v]]
 
         def kernel(batches):
+            out = np.zeros(total)
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -288,7 +312,13 @@ class ViewChain:
                         replay.step(x, missing, st, b.column(at).cast(pa.float64()).to_numpy(zero_copy_only=False))
                         at += 1
                     xs.append(x)
-                yield emit(b.column(0), missing, xs)
+                got = emit(b.column(0), missing, xs)
+                if total:
+                    out += got
+                else:
+                    yield got
+            if total:
+                yield _sums(out)
 
         return state.select(self.row_id, *[F.col(f"_m{i}").cast("int") for i in range(p)],
                             *[f"_x{v}_{i}" for v in range(m) for i in range(p)], *draws).mapInArrow(kernel, schema)
@@ -298,12 +328,9 @@ class ViewChain:
         length = ridge_length(p)
 
         def emit(_, missing, xs):
-            flat = np.concatenate([ridge_sums(missing, x, mean, column) for x in xs]).astype(float)
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "v"])
+            return np.concatenate([ridge_sums(missing, x, mean, column) for x in xs])
 
-        flat = np.zeros(m * length)
-        for r in self._replayed(state, own, emit, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            flat[r["k"]] = r["v"]
+        flat = _added(self._replayed(state, own, emit, "v binary", m * length), m * length)
         return [ridge_parts(part, p) for part in flat.reshape(m, length)]
 
     def fit(self, train: DataFrame) -> "ViewChain":
@@ -312,8 +339,9 @@ class ViewChain:
         for view in self.views[1:]:
             view.means, view.lo, view.hi, view.order = first.means, first.lo, first.hi, first.order
         opened = first._opened(train)
+        draws = lambda rnd: [d for v, view in enumerate(self.views) for d in view._round_draws(rnd, f"{v}_")]
         state = stage(opened.select(self.row_id, *[f"_m{i}" for i in range(p)],
-                                    *[F.col(f"_x{i}").alias(f"_x{v}_{i}") for v in range(m) for i in range(p)]), "views")
+                                    *[F.col(f"_x{i}").alias(f"_x{v}_{i}") for v in range(m) for i in range(p)], *draws(0)), "views")
         names = [self.row_id, *[f"_m{i}" for i in range(p)], *[f"_x{v}_{i}" for v in range(m) for i in range(p)]]
         schema = f"{self.row_id} long, " + ", ".join([f"_m{i} boolean" for i in range(p)] + [f"{c} double" for c in names[1 + p:]])
 
@@ -333,7 +361,7 @@ class ViewChain:
             for view, steps in zip(self.views, own):
                 view.steps += steps
             if rnd + 1 < first.rounds:
-                nxt = stage(self._replayed(state, own, emit, schema), "views")
+                nxt = stage(self._replayed(state, own, emit, schema).select("*", *draws(rnd + 1)), "views")
                 unstage(state)
                 state = nxt
         unstage(state)

@@ -41,3 +41,20 @@ def test_completions_are_complete(spark):
     out = completions(df, {"train": df, "test": df}, COLS, m=2, rounds=2, codes=("c",))
     assert out.where("a IS NULL OR b IS NULL OR c IS NULL").count() == 0
     assert sorted(tuple(r) for r in out.groupBy("view", "split").count().collect()) == [(0, "test", 300), (0, "train", 300), (1, "train", 300)]
+
+
+def test_a_pass_of_a_chain_needs_no_shuffle_and_no_package(spark, monkeypatch):
+    """Sums are added in the tasks, draws are staged once a round, kernels
+    travel by value."""
+    from functools import _lru_cache_wrapper
+
+    from lacuna.operators import mice
+    assert not isinstance(mice._normal_table, _lru_cache_wrapper)   # would be pickled by name
+    plans, plain = [], mice._added
+
+    def added(batches, length):
+        plans.append(batches._jdf.queryExecution().executedPlan().toString())
+        return plain(batches, length)
+    monkeypatch.setattr(mice, "_added", added)
+    MiceImputer(COLS, rounds=2).fit(frame(spark))
+    assert len(plans) == 2 * 3 and not any("md5" in p or "Exchange" in p for p in plans)
