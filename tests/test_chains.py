@@ -136,3 +136,55 @@ def test_chain_without_known_or_missing_cells(spark):
     for chain in (C.BoostedChain(COLS, rounds=2, trees=2), C.SupportVectorChain(COLS, rounds=2, passes=5), C.GaussianProcessChain(COLS, features=16, rounds=2)):
         out = chain.fit(frame(spark, x, gone)).transform(frame(spark, x, gone)).orderBy("row_id").collect()
         assert np.allclose([(r.y, r.b, r.c) for r in out], x[:, [0, 2, 3]]) and all(r.a == 0.0 for r in out)
+
+
+def jobs_of(spark, run):
+    """Spark jobs that ``run`` starts, and its result."""
+    sc, group = spark.sparkContext, f"jobs-{np.random.default_rng().integers(1 << 40)}"
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group)), out
+
+
+@pytest.mark.parametrize("chain", [C.BoostedChain(COLS, trees=3, rounds=2), C.BoostedChain(COLS, preset="lgbm", trees=3, rounds=2),
+                                   C.SupportVectorChain(COLS, rounds=2)])
+def test_round_of_a_small_chain_is_one_job(spark, monkeypatch, chain):
+    from lacuna.session import stage
+    x, miss = table(300), np.random.default_rng(2).random((300, 4)) < 0.2
+    df = frame(spark, x, miss)
+    chain._start(df)
+    state = stage(chain._opened(df))
+    n, (own, after) = jobs_of(spark, lambda: chain._round(state, 0))
+    assert n <= 2 and len(own) == 4     # four before, one a column
+    moved = chain.moved
+    rows = lambda t: np.array(t.orderBy("row_id").select(*[f"_x{i}" for i in range(4)]).collect(), float)
+    assert np.isclose(moved, np.abs(rows(after) - rows(state)).max())
+    # over jobs: the same steps, and the same change without a join by row
+    chain.last = {}
+    monkeypatch.setattr(C, "TASK_ROWS", 0)
+    monkeypatch.setattr(C, "PARTITION_ROWS", 100)
+    again, after2 = chain._round(state, 0)
+    assert np.allclose(rows(after), rows(after2), atol=1e-6) and chain.moved is None
+    for tol in (0.99, 1.01):
+        chain.tol = tol * moved / max(np.abs(chain.lo).max(), np.abs(chain.hi).max())
+        assert chain._settled(state, again) == (tol > 1)
+
+
+def test_process_is_fitted_over_tasks_and_replays_a_step_once(spark, monkeypatch):
+    from lacuna.session import stage
+    monkeypatch.setattr(C, "PASS_ROWS", 64)
+    x, miss = table(300), np.random.default_rng(2).random((300, 4)) < 0.2
+    df = frame(spark, x, miss)
+    chain = C.GaussianProcessChain(COLS, features=16, rounds=1)
+    chain._start(df)
+    opened = chain._opened(df)
+    assert opened.rdd.getNumPartitions() == min(5, chain.slots)     # one before
+    state = stage(opened.select("*", *chain._round_draws(0)))
+    own, after = chain._round(state, 0)
+    rows = lambda t: np.array(t.orderBy("row_id").select(*[f"_x{i}" for i in range(4)]).collect(), float)
+    assert len(own) == 4 and len(chain.kept) == 2 and np.allclose(rows(after), rows(chain._after(state, own)))
+    chain._release()
+    assert not chain.kept
