@@ -30,10 +30,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -68,62 +69,108 @@ def spec_of(path: str) -> tuple[str | None, list[str]]:
     return pattern, [t["content"] for t in spec["added_tokens"]]
 
 
+#: What a pattern must not have if texts are to be cut together: groups that
+#: look around, anchors.
+_LOOKS = re.compile(r"\(\?[^:]|\$|(?<!\[)\^|\\[bBAzZGmMK]")
+
+
+def _byte_level() -> dict[int, int]:
+    """The letters that byte-level tokenizers write bytes as."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {**{b: b for b in own}, **{b: 256 + k for k, b in enumerate(others)}}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def _strings(distinct: pa.Array) -> list[str]:
+    """The values of a string column (``to_pylist`` makes a scalar of each first)."""
+    return distinct.to_numpy(zero_copy_only=False).tolist()
+
+
+def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and the length of each."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum())), n
+
+
 class WordTokens:
     """Token ids of texts from a word-level tokenizer file: white space is
     dropped and words never merge, so each distinct word is encoded once.
 
-    Plain words are cut into the pieces of the file's own pattern, and each
-    distinct piece goes to the merges alone; a file of another make than NFC,
+    Plain words are cut together into the pieces of the file's own pattern, and
+    each distinct piece goes to the merges alone; a file of another make than NFC,
     lower case and byte-level pieces takes the whole tokenizer throughout."""
 
     def __init__(self, path: str, spec: tuple[str | None, list[str]] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         pattern, self.specials = spec or spec_of(path)
         self.pattern = regex.compile(pattern).findall if pattern is not None else None
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # words are cut together, an end of line behind each, unless the pattern looks around
+        self.cut = regex.compile(f"(?:{pattern})|\n").findall if pattern is not None and _LOOKS.search(pattern) is None else None
         self._clear()
 
     def _clear(self):
         self.known: dict[str, int] = {}
-        self.pieces: dict[str, list] = {}
+        # the end of line between words that are cut together has no ids
+        self.pieces: dict[str, int] = {"\n": 0}
+        self.piece_ids, self.piece_offs = np.zeros(0, np.uint32), np.zeros(2, np.int64)
         self.ids, self.offs = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _piece(self, piece: str) -> list:
-        got = self.pieces.get(piece)
-        if got is None:
-            mapped = piece if piece.isascii() else self.byte_level.pre_tokenize_str(piece)[0][0]
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
-        return got
-
-    def _ids_of(self, words: list[str]) -> list[list]:
-        plain = _PLAIN.fullmatch
-        out, rest = [], []
-        for i, w in enumerate(words):
-            if self.pattern is None or plain(w) is None or "<|" in w and any(s in w for s in self.specials):
-                rest.append(i)
-                out.append(None)
-                continue
-            parts = self.pattern(w.lower())
-            out.append(self._piece(parts[0]) if len(parts) == 1 else [k for p in parts for k in self._piece(p)])
-        if rest:
-            for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-                out[i] = e.ids
-        return out
+    def _piece_places(self, pieces: list[str]) -> np.ndarray:
+        """Where the ids of each piece are; numbers and flat arrays alone are
+        kept, which Python's collector need not visit."""
+        fresh = list(dict.fromkeys(p for p in pieces if p not in self.pieces))
+        if fresh:
+            ids, n, tokenize = [], [], self.model.tokenize
+            for p in fresh:
+                got = tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LEVEL))
+                n.append(len(got))
+                ids += [t.id for t in got]
+            base = len(self.pieces)
+            self.pieces.update(zip(fresh, range(base, base + len(fresh))))
+            self.piece_offs = np.concatenate([self.piece_offs, len(self.piece_ids) + np.cumsum(n)])
+            self.piece_ids = np.concatenate([self.piece_ids, np.array(ids, np.uint32)])
+        return np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+
+    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, one word after the other, and the number of each."""
+        place = upto = None
+        if self.cut is not None:
+            code, distinct = A.coded(pa.array(self.cut("\n".join([*words, ""]).lower()), pa.string()))
+            place = self._piece_places(_strings(distinct))[code]
+            upto = np.flatnonzero(place == 0) + 1
+        if upto is None or len(upto) != len(words):
+            pieces = [self.pattern(w.lower()) for w in words]
+            place = self._piece_places(list(chain.from_iterable(pieces)))
+            upto = np.cumsum([len(p) for p in pieces])
+        first, n = self.piece_offs[place], self.piece_offs[place + 1] - self.piece_offs[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(first - ends[:-1], n)
+        at += np.arange(len(at))
+        return self.piece_ids[at], np.diff(ends[upto], prepend=0)
 
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self._clear()
         fresh = [w for w in words if w not in self.known]
         if fresh:
-            got = self._ids_of(fresh)
+            plain = _PLAIN.fullmatch
+            simple = [self.pattern is not None and plain(w) is not None and not ("<|" in w and any(s in w for s in self.specials))
+                      for w in fresh]
+            here, rest = list(compress(fresh, simple)), [w for w, s in zip(fresh, simple) if not s]
+            ids, n = self._plain_ids(here) if here else _flat([])
+            if rest:
+                more, m = _flat([e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+                ids, n = np.concatenate([ids, more]), np.concatenate([n, m])
             base = len(self.known)
-            self.known.update(zip(fresh, range(base, base + len(fresh))))
-            n = np.fromiter(map(len, got), np.int64, len(got))
+            self.known.update(zip(chain(here, rest), range(base, base + len(fresh))))
             self.offs = np.concatenate([self.offs, len(self.ids) + np.cumsum(n)])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
+            self.ids = np.concatenate([self.ids, ids])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +178,7 @@ class WordTokens:
         buf, offs = A.text_buffer(col)
         words, woffs = A.words_of(buf, offs)
         code, distinct = A.coded(words)
-        place = self._places(distinct.to_pylist())
+        place = self._places(_strings(distinct))
         first, n = self.offs[place][code].astype(np.int32), (self.offs[place + 1] - self.offs[place])[code].astype(np.int32)
         # the end of a text is one more word, found behind all others
         first = np.insert(first, woffs[1:], np.int32(len(self.ids)))

@@ -113,3 +113,26 @@ def test_windows_lay_every_id_once():
                 assert start == at
                 at += length
             assert at == n
+
+
+def test_words_are_cut_together(tokenizer):
+    """Fresh words take one call of the pattern, with the ids of single words;
+    a pattern that runs over the end of a word is used word by word."""
+    import random
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aAbé'sS1290_-^$ ßÜñɏµ²ĀİΣ<|>x.ll文\x7f") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["<|endoftext|> a<|endoftext|>b", "'S 'LL can't", ""]
+    together, calls = K.WordTokens(PATH), []
+    cut = together.cut
+    together.cut = lambda text: calls.append(text) or cut(text)
+    pattern, specials = K.spec_of(PATH)
+    over = K.WordTokens(PATH, (pattern + "\\n?", specials))
+    assert over.cut is not None
+    over.pattern = together.pattern
+    each = K.WordTokens(PATH, ("(?=.)(?:" + pattern + ")", specials))
+    assert each.cut is None
+    for w in (together, over, each):
+        ids, at = w.encode(pa.array(texts), 2)
+        for t, s, e in zip(texts, at[:-1], at[1:]):
+            assert ids[s:e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [2]
+    assert len(calls) == 1
