@@ -188,3 +188,20 @@ def test_process_is_fitted_over_tasks_and_replays_a_step_once(spark, monkeypatch
     assert len(own) == 4 and len(chain.kept) == 2 and np.allclose(rows(after), rows(chain._after(state, own)))
     chain._release()
     assert not chain.kept
+
+
+@pytest.mark.parametrize("preset", ["xgb", "lgbm"])
+def test_trees_beside_a_block_are_those_of_the_sums_bit_by_bit(preset):
+    """Ties between columns are broken by the last bits of the sums."""
+    rng = np.random.default_rng(6)
+    rate, penalty, least = C.PRESETS[preset]
+    parts = []
+    for n in (700, 0, 900, 3):
+        a = rng.integers(0, 20, n)
+        codes = np.stack([a, a % 5, rng.integers(0, 5, n), rng.integers(0, 32, n), a // 3]).astype(np.uint8)
+        parts.append((n, codes.tobytes(), (a * 1.7 + codes[2] * 0.3 + rng.normal(0, 9, n)).tobytes(), {}))
+    solver = C.TreeSolver(5, 32, 12, 5, rate, penalty, least, 3.3)
+    whole = [(n, x, y, {}) for n, x, y, _ in parts]
+    want = solver.solve(lambda length, add: C.block_sums(whole, length, add))
+    got = solver.beside(parts)
+    assert all((a == b).all() for a, b in zip(want[:3], got[:3])) and want[3] == got[3]
