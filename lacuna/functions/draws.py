@@ -12,8 +12,10 @@ monotone in ``u`` used by the distributed rank (operators.rank).
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,23 @@ def normal(seed, salt, key) -> Column:
     return r * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def key_bytes(keys: list) -> list:
+    """Row ids as bytes (None where null), as ``uniforms`` takes them: a null id
+    leaves no part in the key."""
+    return [b"" if k is None else b"|" + k for k in keys]
+
+
+def uniforms(seed, salt, keys: list) -> np.ndarray:
+    """``uniform`` of each key of ``key_bytes``, in a task."""
+    start, out = hashlib.md5(f"{seed}|{salt}".encode()), []
+    for key in keys:
+        h = start.copy()
+        h.update(key)
+        out.append(h.digest())
+    # the first 13 hex digits are the upper 52 of 64 bits
+    return (np.frombuffer(b"".join(out), ">u8")[::2] >> np.uint64(12)).astype(np.float64) / TWO52
+
+
 # ---- DuckDB text of the same draws (oracle side) -------------------------
 
 def sql_uniform(seed, salt, key_sql: str) -> str:

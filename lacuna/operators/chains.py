@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators.mice import MiceImputer, _Replay
+from lacuna.session import stage, unstage
 
 #: Rows of a partition of the state.
 PARTITION_ROWS = 65_536
@@ -67,13 +68,30 @@ class BlockChain(MiceImputer):
 
     def _start(self, train: DataFrame) -> None:
         super()._start(train)
-        self.n, self.fitting = train.count(), True
+        self.fitting = True
 
     def fit(self, train: DataFrame):
-        super().fit(train)
+        self._start(train)
+        state = stage(self._opened(train).select("*", *self._round_draws(0)), "chain")
+        self.steps = []
+        for rnd in range(self.rounds):
+            own, after = self._round(state, rnd)
+            self.steps += own
+            if rnd + 1 < self.rounds:
+                if self._settled(state, own):
+                    break
+                nxt = stage(after.select("*", *self._round_draws(rnd + 1)), "chain")
+                unstage(state)
+                state = nxt
+            self._release()
+        self._release()
+        unstage(state)
         self.fitting = False
         return self
 
+    def _release(self) -> None:
+        """Frees what a round has kept, once the state after it is staged."""
+
     def _conditional(self, state: DataFrame, own: list, column: int, rnd: int):
         plan = self._plan(column, rnd)
         if plan is None:
@@ -84,20 +102,24 @@ class BlockChain(MiceImputer):
         return make(got)
 
     def _round(self, state: DataFrame, rnd: int) -> tuple:
-        self.moved = None
+        """The fitted steps of a round and the state after them."""
+        self.moved, own = None, []
         if not self._beside():
-            return super()._round(state, rnd)
+            for c in self.order:
+                step = self._conditional(state, own, c, rnd)
+                if step is not None:
+                    own.append(step)
+            return own, self._after(state, own)
         plans = [(c, self._plan(c, rnd)) for c in self.order]
 
         def emit(_, missing, x):
             return pa.RecordBatch.from_arrays([pa.array([missing.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
                                               ["missing", "x"])
 
-        kernel = whole_round(plans, _Replay(self.lo, self.hi, False))
+        kernel = whole_round(plans, _Replay(self.lo, self.hi))
         found = pickle.loads(self._replayed(state, [], emit, "missing binary, x binary").coalesce(1)
                              .mapInArrow(kernel, "v binary").first()["v"])
         solved, self.moved = found
-        own: list = []
         for (c, plan), got in zip(plans, solved):
             if plan is None:
                 continue

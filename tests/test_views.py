@@ -58,3 +58,34 @@ def test_a_pass_of_a_chain_needs_no_shuffle_and_no_package(spark, monkeypatch):
     monkeypatch.setattr(mice, "_added", added)
     MiceImputer(COLS, rounds=2).fit(frame(spark))
     assert len(plans) == 2 * 3 and not any("md5" in p or "Exchange" in p for p in plans)
+
+
+def test_draws_in_a_task_are_those_of_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    from lacuna.functions.draws import key_bytes, uniform, uniforms
+    rows = spark.createDataFrame([(7,), (-3,), (None,), (1 << 62,)], "row_id long").select(
+        F.col("row_id").cast("string").cast("binary").alias("k"), uniform(42, "mice|3|a", "row_id").alias("u")).collect()
+    assert uniforms(42, "mice|3|a", key_bytes([None if r.k is None else bytes(r.k) for r in rows])).tolist() == [r.u for r in rows]
+    assert len(uniforms(1, "s", [])) == 0
+
+
+def test_a_pass_moves_blocks_of_rows(spark, monkeypatch):
+    """The state of all views is a few values for thousands of rows, not a
+    column for each cell of a row."""
+    from lacuna.operators import mice
+    seen, plain = [], mice.ViewChain._replayed
+    monkeypatch.setattr(mice.ViewChain, "_replayed", lambda self, state, *a: seen.append((len(state.columns), state.count())) or plain(self, state, *a))
+    df = frame(spark)
+    mice.ViewChain(COLS, m=3, rounds=2).fit(df)
+    assert all(columns == 6 and rows <= 8 for columns, rows in seen)
+    missing = np.random.default_rng(3).random((50, 3)) < 0.3
+    for gone in (missing, np.zeros((50, 3), bool)):
+        x = np.random.default_rng(1).normal(size=(50, 3))
+        block = mice.StateBlock([b"|%d" % i if i else b"" for i in range(50)], gone, [x, np.where(gone, 1.0, x)], [])
+        block.drawn(["s|a", "s|b", "s|c"], [42, 43])
+        row = mice._state_row(block)
+        back = mice.StateBlock.unpacked([c[0].as_buffer() for c in row.columns[1:]], 50, 3, 2)
+        assert (back.missing == gone).all() and all((a == b).all() for a, b in zip(back.xs, block.xs))
+        assert bytes(back.keys).split(b"\n") == block.keys and len(block.draws[0]) == gone.sum()
+        assert not back.draws or all((a == b).all() for a, b in zip(back.draws, block.draws))
