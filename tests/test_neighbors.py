@@ -88,3 +88,30 @@ def test_ties_do_not_grow_with_the_donors():
         assert len(got[0]) == 64 * 2 * 3
         return compared
     assert pairs(20_000) < 1.2 * pairs(5_000)
+
+
+def test_query_tiles_visit_a_donor_tile_together(spark, monkeypatch):
+    """A donor tile is moved once for a pack of query tiles, not for each."""
+    from lacuna.operators import neighbors as N
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(5) if (a + b) % 4], "a int, b int")
+    packs = [tuple(r) for r in N._packs(pairs, 16, 1).collect()]
+    assert sorted((a, b) for a, b, _ in packs) == sorted(tuple(r) for r in pairs.collect())
+    size = {}
+    for _, b, pack in packs:
+        size[b, pack] = size.get((b, pack), 0) + 1
+    assert max(size.values()) == 16 and len(size) == 2 * 5
+    assert len({(b, pack) for _, b, pack in N._packs(pairs, 16, 100).select("a", "b", "pack").toLocalIterator()}) == 150
+    # the neighbours do not depend on packs
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(900, 3)).round(2), rng.normal(size=(1500, 3)).round(2)
+    frame = lambda v: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "row_id long, a double, b double, c double")
+    monkeypatch.setattr(N, "QUERY_ROWS", 32)
+    monkeypatch.setattr(N, "DONOR_ROWS", 256)
+    plain, moved = N._packs, []
+    monkeypatch.setattr(N, "_packs", lambda pairs, most, slots: moved.append((pairs.count(), most)) or plain(pairs, most, 1))
+    got = sorted((r.row_id, r["rank"], r.donor) for r in N.knn_candidates(frame(x), frame(y), "row_id", "row_id", ["a", "b", "c"], 4).collect())
+    d2 = ((x[:, None] - y[None]) ** 2).sum(-1)
+    order = np.lexsort((np.broadcast_to(np.arange(len(y)), d2.shape), d2), axis=1)[:, :4]
+    assert [g[:2] for g in got] == [(i, r) for i in range(900) for r in (1, 2, 3, 4)]
+    assert np.allclose([d2[i, donor] for i, _, donor in got], np.take_along_axis(d2, order, axis=1).ravel())
+    assert len(moved) == 2 and all(n > 16 == most for n, most in moved)
