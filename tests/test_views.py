@@ -89,3 +89,26 @@ def test_a_pass_moves_blocks_of_rows(spark, monkeypatch):
         assert (back.missing == gone).all() and all((a == b).all() for a, b in zip(back.xs, block.xs))
         assert bytes(back.keys).split(b"\n") == block.keys and len(block.draws[0]) == gone.sum()
         assert not back.draws or all((a == b).all() for a, b in zip(back.draws, block.draws))
+
+
+def test_a_forest_is_applied_once(spark, monkeypatch):
+    """Each column is fitted on the kept state after the one before it, not on
+    a chain of forests that every pass of the fit applies anew."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from lacuna.operators import mice
+    plans, plain = [], RandomForestRegressor.fit
+
+    def fit(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(self, df)
+    monkeypatch.setattr(RandomForestRegressor, "fit", fit)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    chain = mice.TreeChain(COLS, rounds=1, trees=2, depth=2).fit(frame(spark))
+    assert len(plans) == len(chain.steps) == 3 and "InMemoryRelation" not in plans[0] and all("InMemoryRelation" in p for p in plans[1:])
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    monkeypatch.setattr(mice, "TASK_ROWS", 100)
+    monkeypatch.setattr(mice, "LEAST_ROWS", 100)
+    assert chain._dealt(chain._opened(frame(spark)), 300).rdd.getNumPartitions() == 3
+    out = chain.transform(frame(spark))
+    assert out.count() == 300 and out.where("a IS NULL OR b IS NULL OR c IS NULL").count() == 0
