@@ -205,3 +205,16 @@ def test_trees_beside_a_block_are_those_of_the_sums_bit_by_bit(preset):
     want = solver.solve(lambda length, add: C.block_sums(whole, length, add))
     got = solver.beside(parts)
     assert all((a == b).all() for a, b in zip(want[:3], got[:3])) and want[3] == got[3]
+
+
+def test_a_step_of_a_tree_goes_through_all_blocks_at_once(monkeypatch):
+    """Many small blocks in one task cost no call of each step for each of them."""
+    taken, plain = [], np.take
+    monkeypatch.setattr(C.np, "take", lambda *a, **k: taken.append(1) or plain(*a, **k))
+    rng = np.random.default_rng(1)
+    for blocks in (1, 30):
+        taken.clear()
+        parts = [(40, rng.integers(0, 32, (3, 40)).astype(np.uint8).tobytes(), rng.normal(size=40).tobytes(), {}) for _ in range(blocks)]
+        C.TreeSolver(3, 32, 2, 5, 0.3, 1.0, 1.0, 0.0).beside(parts)
+        calls = len(taken)
+        assert 0 < calls < 100
